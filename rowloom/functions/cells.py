@@ -9,7 +9,6 @@ from rowloom.functions.dates import date_serial, in_date_years, parse_date, seri
 from rowloom.functions.numbers import (
     export_number,
     is_integral,
-    parse_lenient_number,
     parse_number,
     strict_integer,
 )
@@ -87,9 +86,11 @@ def boolean_text(value: Column) -> Column:
     return F.when(value == "1", "TRUE").otherwise("FALSE")
 
 
-def stored_kind(cell_type: Column, value: Column, is_date: Column) -> Column:
-    """Kind of a stored cell: shared string, boolean, string, dated number, number, text."""
-    num = parse_lenient_number(value)
+def stored_kind(cell_type: Column, value: Column, num: Column, is_date: Column) -> Column:
+    """Kind of a stored cell: shared string, boolean, string, dated number, number, text.
+
+    ``num`` is the value parsed as a lenient number.
+    """
     return (
         F.when(value.isNull(), "empty")
         .when(cell_type.isin(SHARED, STRING), "text")
@@ -100,16 +101,14 @@ def stored_kind(cell_type: Column, value: Column, is_date: Column) -> Column:
     )
 
 
-def stored_text(cell_type: Column, value: Column, shared: Column, is_date: Column) -> Column:
+def stored_text(kind: Column, cell_type: Column, value: Column, shared: Column, num: Column) -> Column:
     """Exported text of a stored cell. ``shared`` is the shared string it points to."""
-    num = parse_lenient_number(value)
     return (
-        F.when(value.isNull(), "")
+        F.when(kind == "empty", "")
         .when(cell_type == SHARED, F.coalesce(shared, value))
-        .when(cell_type == BOOLEAN, boolean_text(value))
-        .when(cell_type == STRING, value)
-        .when(num.isNull(), value)
-        .when(is_date & serial_in_range(num), serial_text(num))
+        .when(kind == "boolean", boolean_text(value))
+        .when((kind == "text") | num.isNull(), value)
+        .when(kind == "date", serial_text(num))
         .otherwise(export_number(num))
     )
 

@@ -15,27 +15,30 @@ MAX_YEAR = 2100
 _DAY_MS = 86400000
 _TIME = r"(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?\s*\z"
 
-# Date patterns and the order their groups take in an ISO date.
-_YEAR_FIRST = (rf"\A\s*([0-9]{{4}})([-/])([0-9]{{1,2}})\2([0-9]{{1,2}}){_TIME}", "$1-$3-$4 $5")
-_GERMAN = (rf"\A\s*([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}){_TIME}", "$3-$2-$1 $4")
-_DAY_FIRST = (rf"\A\s*([0-9]{{1,2}})([-/])([0-9]{{1,2}})\2([0-9]{{4}}){_TIME}", "$4-$3-$1 $5")
-_MONTH_FIRST = (rf"\A\s*([0-9]{{1,2}})([-/])([0-9]{{1,2}})\2([0-9]{{4}}){_TIME}", "$4-$1-$3 $5")
+# Date patterns, and the order the groups of the last two take in an ISO date.
+_YEAR_FIRST = rf"\A\s*[0-9]{{4}}([-/])[0-9]{{1,2}}\1[0-9]{{1,2}}{_TIME}"
+_GERMAN = rf"\A\s*([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}){_TIME}"
+_SLASHED = rf"\A\s*([0-9]{{1,2}})([-/])([0-9]{{1,2}})\2([0-9]{{4}}){_TIME}"
+_DAY_FIRST = "$4-$3-$1 $5"
+_MONTH_FIRST = "$4-$1-$3 $5"
 
 
 def parse_date(value: Column, date_order: str = "dmy") -> Column:
     """Date with optional time of day as ``timestamp_ntz``, else null.
 
-    Year first, German, and day first or month first by ``date_order``. One regex decides
-    what looks like a date; only then the value is rearranged and cast.
+    Year first, German, and day first or month first by ``date_order``. The first character
+    spares most texts the patterns; what fits one is put in ISO order and cast.
     """
     if date_order not in ("dmy", "mdy"):
         raise ValueError("date_order is 'dmy' or 'mdy'")
-    patterns = [_YEAR_FIRST, _GERMAN, _DAY_FIRST if date_order == "dmy" else _MONTH_FIRST]
-    iso = F.lit(None).cast("string")
-    for pattern, order in reversed(patterns):
-        iso = F.when(value.rlike(pattern), F.regexp_replace(value, pattern, order)).otherwise(iso)
-    maybe = value.rlike(r"\A\s*[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}")
-    return F.when(maybe, F.rtrim(iso).try_cast("timestamp_ntz"))
+    slashed = _DAY_FIRST if date_order == "dmy" else _MONTH_FIRST
+    iso = (
+        F.when(value.rlike(_YEAR_FIRST), F.trim(F.replace(value, F.lit("/"), F.lit("-"))))
+        .when(value.rlike(_GERMAN), F.rtrim(F.regexp_replace(value, _GERMAN, "$3-$2-$1 $4")))
+        .when(value.rlike(_SLASHED), F.rtrim(F.regexp_replace(value, _SLASHED, slashed)))
+    )
+    first = F.ascii(value)
+    return F.when(first.between(48, 57) | first.between(1, 32), iso.try_cast("timestamp_ntz"))
 
 
 def in_date_years(dt: Column) -> Column:

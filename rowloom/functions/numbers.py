@@ -27,19 +27,33 @@ def _finite(n: Column) -> Column:
     return F.when(F.abs(n) < F.lit(float("inf")), n)
 
 
+def _may_start_number(value: Column) -> Column:
+    """By its first character alone: digit, sign, mark or white space. Spares texts the regex."""
+    first = F.ascii(value)
+    return first.between(48, 57) | first.isin(43, 44, 45, 46) | (first.between(1, 32))
+
+
+def _cast(text: Column) -> Column:
+    """A checked number text as double. Only exponents and very long texts can overflow."""
+    n = text.try_cast("double")
+    safe = ~(text.contains("e") | text.contains("E")) & (F.length(text) < 300)
+    return F.when(safe, n).otherwise(_finite(n))
+
+
 def parse_number(value: Column) -> Column:
     """English or German number as double, else null."""
-    parsed = F.translate(value, ",", ".").try_cast("double")
-    return F.when(value.rlike(NUMBER), _finite(parsed))
+    parsed = _cast(F.replace(value, F.lit(","), F.lit(".")))
+    return F.when(_may_start_number(value) & value.rlike(NUMBER), parsed)
 
 
 def parse_lenient_number(value: Column) -> Column:
     """English number in any common notation as double, else null."""
+    plain = _may_start_number(value) & ~value.contains(",") & value.rlike(NUMBER)
     bare = F.regexp_replace(value, r"[^0-9.eE+-]", "")
     negative = value.contains("(") | bare.endswith("-")
     unsigned = F.regexp_replace(bare, r"[+-]\z", "").try_cast("double")
     signed = F.when(negative, -unsigned).otherwise(unsigned)
-    return F.when(value.rlike(LENIENT_NUMBER), _finite(signed))
+    return F.when(plain, _cast(value)).when(value.rlike(LENIENT_NUMBER), _finite(signed))
 
 
 def is_integral(n: Column) -> Column:
@@ -52,45 +66,55 @@ def strict_integer(n: Column) -> Column:
     return F.when((n == F.floor(n)) & n.between(INT_MIN, INT_MAX), n.cast("int"))
 
 
-def _scientific(n: Column) -> Column:
-    """15 significant digits, e.g. 1.23450000000000e+02."""
-    return F.format_string("%.14e", n)
-
-
-def _exponent(sci: Column) -> Column:
-    return F.regexp_extract(sci, r"e([+-][0-9]+)\z", 1).try_cast("int")
+def _rounded(n: Column) -> Column:
+    """``n`` at 15 significant digits, half away from zero, for 1e-5 <= abs(n) < 1e15."""
+    exact = n.try_cast("decimal(38,20)")
+    size = F.abs(n)
+    chain = F.when(size < 1e-4, F.round(exact, 19))
+    for power in range(-3, 16):
+        chain = chain.when(size < 10.0**power, F.round(exact, 15 - power))
+    return chain.cast("decimal(38,20)")
 
 
-def _digits(sci: Column) -> Column:
-    return F.regexp_extract(F.replace(sci, F.lit("."), F.lit("")), r"\A-?([0-9]+)e", 1)
+def _strip_zeros(decimal: Column) -> Column:
+    """Text of a decimal without zeros behind its last digit, nor a bare point."""
+    return F.rtrim(F.rtrim(decimal.cast("string"), F.lit("0")), F.lit("."))
 
 
-def _strip_zeros(text: Column) -> Column:
-    """Drop zeros behind the decimal point, and the point if nothing is left behind it."""
-    return F.regexp_replace(text, r"(\.[0-9]*?)0+\z", "$1")
+def _scientific(n: Column) -> Column:
+    """15 significant digits, e.g. 1.23450000000000e+02. Slow; for very large and small numbers."""
+    return F.format_string("%.14e", n)
 
 
-def _plain(text: Column) -> Column:
-    return F.regexp_replace(_strip_zeros(text), r"\.\z", "")
+def _whole(n: Column) -> Column:
+    return (n == F.floor(n)) & (F.abs(n) < 1e15)
 
 
 def number_text(n: Column) -> Column:
     """Stored form: up to 15 digits, point as decimal mark, exponent only when far from 1."""
     sci = _scientific(n)
-    exp = _exponent(sci)
-    plain = _plain(sci.try_cast("decimal(38,20)").cast("string"))
-    mantissa = _plain(F.regexp_extract(sci, r"\A(-?[0-9.]+)e", 1))
+    mantissa = F.rtrim(F.rtrim(F.regexp_extract(sci, r"\A(-?[0-9.]+)e", 1), F.lit("0")), F.lit("."))
     far = F.concat(mantissa, F.lit("E"), F.regexp_extract(sci, r"e([+-][0-9]+)\z", 1))
-    return F.when(n == 0, "0").when(exp.between(-5, 14), plain).when(n.isNotNull(), far)
+    return (
+        F.when(_whole(n), n.cast("bigint").cast("string"))
+        .when(F.abs(n).between(1e-5, 999999999999999.0), _strip_zeros(_rounded(n)))
+        .when(n.isNotNull(), far)
+    )
 
 
 def export_number(n: Column) -> Column:
-    """Exported form: at most two places, comma as decimal mark, no thousands marks."""
+    """Exported form: at most two places, comma as decimal mark, no thousands marks.
+
+    Rounding starts from 15 digits, half away from zero.
+    """
     sci = _scientific(n)
-    exp = _exponent(sci)
-    large = F.concat(
-        F.when(n < 0, "-").otherwise(""), F.rpad(_digits(sci), exp + 1, F.lit("0"))
+    digits = F.regexp_extract(F.replace(sci, F.lit("."), F.lit("")), r"\A-?([0-9]+)e", 1)
+    places = F.regexp_extract(sci, r"e([+-][0-9]+)\z", 1).try_cast("int") + 1
+    large = F.concat(F.when(n < 0, "-").otherwise(""), F.rpad(digits, places, F.lit("0")))
+    two = F.round(_rounded(n), 2)
+    return (
+        F.when(_whole(n), n.cast("bigint").cast("string"))
+        .when(F.abs(n) < 1e-5, "0")
+        .when(F.abs(n) < 1e15, F.replace(_strip_zeros(two), F.lit("."), F.lit(",")))
+        .when(n.isNotNull(), large)
     )
-    rounded = F.round(n, 2).try_cast("decimal(38,2)")
-    small = F.translate(_plain(rounded.cast("string")), ".", ",")
-    return F.when(exp >= 15, large).when(n.isNotNull(), small)

@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 INVALID_IN_NAME = r'[<>:"/\\|?*\x00-\x1F ]'
 
 _LETTERS = 26
+_ALPHABET = [chr(ord("A") + i) for i in range(_LETTERS)]
+_ONE_OR_TWO = ",".join(_ALPHABET + [a + b for a in _ALPHABET for b in _ALPHABET])
 
 
 def column_letters(index: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, up to three letters."""
-    i = index.cast("bigint")
-
-    def letter(n: Column) -> Column:
-        return F.char(F.lit(65) + F.pmod(n, F.lit(_LETTERS)))
-
-    two, three = _LETTERS, _LETTERS + _LETTERS * _LETTERS
-    first = F.when(i >= three, letter(F.floor((i - three) / (_LETTERS * _LETTERS)))).otherwise("")
-    second = F.when(i >= two, letter(F.floor((i - two) / _LETTERS))).otherwise("")
-    return F.concat(first, second, letter(i))
+    """0 -> A, 25 -> Z, 26 -> AA, up to three letters.
+
+    Looked up in a constant array: spelled out as arithmetic it alone makes the generated code
+    of a typing stage too long for the JVM to compile.
+    """
+    names = F.split(F.lit(_ONE_OR_TWO), ",", -1)
+    short = len(_ALPHABET) * (len(_ALPHABET) + 1)
+    pairs = _LETTERS * _LETTERS
+    above = index - short
+    long = F.concat(
+        F.get(names, F.floor(above / F.lit(float(pairs))).cast("int")), F.get(names, above % pairs + _LETTERS)
+    )
+    return F.when(index < short, F.get(names, index)).otherwise(long)
 
 
 def cell_ref(col: Column, row: Column) -> Column:

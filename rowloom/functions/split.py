@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,27 +19,34 @@ LINE_END = r"\r\n|\r|\n"
 BLANK = r"(?U)^\s*$"
 
 
+# Stands in for "no separator" where a character is needed; text lines do not hold it.
+_ABSENT = "\0"
+
+
 def as_separator(sep: Column | str) -> Column:
     return F.lit(sep) if isinstance(sep, str) else sep
 
 
-def per_separator(sep: Column | str, build: Callable[[str], Column]) -> Column:
-    """``build(s)`` for the separator at hand; each branch holds literal patterns only.
+def _mark(sep: Column | str) -> Column:
+    """The separating character."""
+    if isinstance(sep, str):
+        return F.lit(sep or _ABSENT)
+    return F.when(sep == NO_SEPARATOR, _ABSENT).otherwise(sep)
+
+
+def _pattern(sep: Column | str) -> Column:
+    """The separating character as a regex, inside and outside a character class.
 
-    A pattern taken from a column is compiled again whenever it changes from row to row,
-    a literal one is compiled once.
+    An escaped single character is split at without compiling a pattern.
     """
     if isinstance(sep, str):
-        return build(sep)
-    chain = F.when(sep == ALL_SEPARATORS[0], build(ALL_SEPARATORS[0]))
-    for s in ALL_SEPARATORS[1:]:
-        chain = chain.when(sep == s, build(s))
-    return chain.otherwise(build(NO_SEPARATOR))
+        return F.lit("\\" + (sep or _ABSENT))
+    return F.concat(F.lit("\\"), _mark(sep))
 
 
-def escaped(sep: str) -> str:
-    """``sep`` as a regex that stands for itself, inside and outside a character class."""
-    return sep if sep in ("", "\t") else "\\" + sep
+def split_plain(line: Column, sep: Column | str) -> Column:
+    """Parts of a line between separators, quotes ignored."""
+    return F.split(line, _pattern(sep), -1)
 
 
 def is_blank(line: Column) -> Column:
@@ -56,32 +61,35 @@ def line_array(text: Column) -> Column:
     return F.when(last_is_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def field_pattern(sep: str) -> str:
+def field_pattern(sep: Column | str) -> Column:
     """Regex whose group 1 is one raw field, quotes included, separator left out.
 
     A quoted field runs to the first quote not followed by another, else to the end of the
     line, and takes one directly following separator with it. Any other field runs to the
     next separator.
     """
-    quoted = r'"(?:[^"]++|"")*+(?:"|\z)'
-    if sep == NO_SEPARATOR:
-        return rf'({quoted}|(?s:.++))'
-    s = escaped(sep)
-    return rf'({quoted}|[^"{s}][^{s}]*+|(?={s})){s}?'
+    quoted = r'("(?:[^"]++|"")*+(?:"|\z)'
+    s = _pattern(sep)
+    return F.concat(
+        F.lit(quoted + r'|[^"'), s, F.lit("][^"), s, F.lit("]*+|(?="), s, F.lit("))"), s, F.lit("?")
+    )
 
 
 def raw_fields(line: Column, sep: Column | str) -> Column:
-    """The raw fields of a line: quoted ones still in quotes. An empty line has none."""
-
-    def build(s: str) -> Column:
-        fields = F.regexp_extract_all(line, F.lit(field_pattern(s)), F.lit(1))
-        if s == NO_SEPARATOR:
-            return fields
-        quoted_line = F.when(line.endswith(s), F.concat(fields, F.array(F.lit("")))).otherwise(fields)
-        # Without a quote in the line a plain split says the same at a fraction of the cost.
-        return F.when(line.contains('"'), quoted_line).otherwise(F.split(line, escaped(s), -1))
+    """The raw fields of a line: quoted ones still in quotes. An empty line has none.
 
-    return F.when(line == "", F.array().cast("array<string>")).otherwise(per_separator(sep, build))
+    Only a line with a quote in it needs the pattern; a plain split says the same of any other
+    at a fraction of the cost. Pass ``line`` as a column, not as an expression: it is read
+    more than once.
+    """
+    matched = F.regexp_extract_all(line, field_pattern(sep), F.lit(1))
+    # A separator at the end of the line is followed by one more, empty field.
+    last = F.when(F.endswith(line, _mark(sep)), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return (
+        F.when(line == "", F.array().cast("array<string>"))
+        .when(line.contains('"'), F.concat(matched, last))
+        .otherwise(split_plain(line, sep))
+    )
 
 
 def field_quoted(raw: Column) -> Column:
@@ -104,8 +112,7 @@ def split_fields(line: Column, sep: Column | str) -> Column:
 
 def plain_names(line: Column, sep: Column | str) -> Column:
     """Header-name clean-up: plain split, white space trimmed, then all edge quotes."""
-    parts = per_separator(sep, lambda s: F.array(line) if s == NO_SEPARATOR else F.split(line, escaped(s), -1))
-    return F.transform(parts, lambda p: F.regexp_replace(trim_space(p), r'\A"+|"+\z', ""))
+    return F.transform(split_plain(line, sep), lambda p: F.regexp_replace(trim_space(p), r'\A"+|"+\z', ""))
 
 
 def trim_space(value: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def number_rows(
-    df: DataFrame, group: str, key: Column, name: str = "line_no", span: int = 1 << 17
+    df: DataFrame, group: str, key: Column, name: str = "line_no", span: int = 1 << 15
 ) -> DataFrame:
     """1-based number of each row inside ``group`` by ascending ``key`` (unique whole numbers).
 

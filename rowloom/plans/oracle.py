@@ -174,7 +174,7 @@ def checksum(v: str) -> str:
 
 def half_up_text(x: str) -> str:
     """At most two places, decimal comma."""
-    rounded = f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,12)), 2) AS DECIMAL(38,2))"
+    rounded = f"CAST(round(CAST(printf('%.14e', {x}) AS DECIMAL(38,18)), 2) AS DECIMAL(38,2))"
     return rf"replace(regexp_replace(CAST({rounded} AS VARCHAR), '\.?0+$', ''), '.', ',')"
 
 
@@ -255,13 +255,18 @@ def kinds_per_column(tables: list[str], overrides: bool = False) -> str:
         for t in tables
         for i, c in enumerate(COLUMNS[t])
     )
+    return counted_kinds(cells, "path, col")
+
+
+def counted_kinds(cells: str, keys: str) -> str:
+    """Kinds per key of a query that gives the keys, a value ``v`` and a type asked for ``o``."""
     return f"""
     WITH cells AS ({cells}),
-    typed AS (SELECT path, col, v, {kind('v', override='o')} AS kind FROM cells),
-    counted AS (SELECT path, col, count(*) AS cells, count(*) FILTER (v = '') AS empty,
+    typed AS (SELECT {keys}, v, {kind('v', override='o')} AS kind FROM cells),
+    counted AS (SELECT {keys}, count(*) AS cells, count(*) FILTER (v = '') AS empty,
       count(*) FILTER (kind = 'text' AND v <> '') AS texts, count(*) FILTER (kind = 'integer') AS integers,
       count(*) FILTER (kind = 'decimal') AS decimals, count(*) FILTER (kind = 'date') AS dates
-      FROM typed GROUP BY path, col)
+      FROM typed GROUP BY {keys})
     SELECT *, {ROLL_UP} AS data_type FROM counted"""
 
 
@@ -471,4 +476,28 @@ def oracle_sql() -> dict[str, str]:
                   WHERE i NOT IN (0, 2) AND i <> top),
       free AS (SELECT p_name, i, row_number() OVER (PARTITION BY p_name ORDER BY i) AS k FROM numbers)
       SELECT p_partkey, a.p_name || '_' || i || '.xlsx' AS name FROM asked a JOIN free f ON a.p_name = f.p_name AND a.k = f.k"""
+    sql["charset_files"] = f"""
+      WITH lines AS ({DOCUMENT_LINES})
+      SELECT charset, count(*) AS lines, sum(length(line)) AS chars, {checksum('line')} AS checksum
+      FROM lines, (VALUES ('UTF-8'), ('windows-1252'), ('ISO-8859-1'), ('ISO-8859-15')) c(charset) GROUP BY charset"""
+    sql["line_file_numbers"] = f"""
+      SELECT event_type, count(*) AS lines, sum(event_id) AS ids, count(*) AS numbers,
+             {checksum(f"concat_ws(';', event_id, user_id, {two_places('value')})")} AS checksum
+      FROM events GROUP BY event_type"""
+    sql["file_profiles"] = """
+      SELECT c_mktsegment AS segment, '.txt' AS extension, 'UTF-8' AS encoding, '|' AS separator,
+             100.0::DOUBLE AS separator_probability, 1 AS start_line, count(*) AS total_lines, 5 AS field_count,
+             TRUE AS is_field_count_equal FROM customer GROUP BY c_mktsegment"""
+    per_status = " UNION ALL ".join(
+        f"SELECT o_orderstatus AS path, {i} AS col, {printed(c)} AS v, 'Auto' AS o FROM orders"
+        for i, c in enumerate(COLUMNS["orders"])
+    )
+    sql["file_cells"] = counted_kinds(per_status, "path, col")
+    dropped = " UNION ALL ".join(
+        f"SELECT {i} AS col, {printed(c)} AS v, 'Auto' AS o FROM events{again}"
+        for i, c in enumerate(["event_id", "event_type", "value", "ts"])
+        for again in ("", " WHERE event_type = 'click'")
+    )
+    sql["file_stream"] = counted_kinds(dropped, "col")
+    sql["stream_report"] = "SELECT 'ok' AS status, 1 AS times, count(*) AS lines FROM pages"
     return sql

@@ -37,7 +37,7 @@ from rowloom.operators.cells import (
 from rowloom.operators.densify import densify, render_lines
 from rowloom.operators.numbering import number_rows
 from rowloom.operators.profile import ANALYZE_LINES, profile_files, profile_heads
-from rowloom.rules import DEFAULT_RULES, is_header_name, override_of, resolve_overrides
+from rowloom.rules import DEFAULT_RULES, is_header_name, override_of, overrides_of_names, resolve_overrides
 from rowloom.session import materialize
 from rowloom.sinks.naming import free_names
 from rowloom.sinks.workbooks import export_workbooks
@@ -68,7 +68,16 @@ PROFILE_REPORT = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, as text work is bound by the processor.
+
+    Does nothing for a table with enough splits of its own, as any large one has.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def checksum(value: Column) -> Column:
@@ -153,8 +162,8 @@ def field_count_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     counts = None
     for name, mode in (("bare", 0), ("quoted", 2)):
-        line = print_line(events, events.columns, ";", mode)
-        part = events.select(F.lit(name).alias("path"), raw_fields(line, ";").alias("fields"))
+        lines = events.select(print_line(events, events.columns, ";", mode).alias("line"))
+        part = lines.select(F.lit(name).alias("path"), raw_fields(F.col("line"), ";").alias("fields"))
         counts = part if counts is None else counts.unionByName(part)
     sized = counts.select(
         "path",
@@ -188,8 +197,8 @@ def split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     out = None
     for mode in (1, 2):
-        line = print_line(events, events.columns, ",", mode)
-        fields = events.select(F.lit(mode).alias("mode"), split_fields(line, ",").alias("f"))
+        lines = events.select(print_line(events, events.columns, ",", mode).alias("line"))
+        fields = lines.select(F.lit(mode).alias("mode"), split_fields(F.col("line"), ",").alias("f"))
         part = fields.select(
             "mode", *[F.get("f", F.lit(i))["value"].alias(c) for i, c in enumerate(events.columns)]
         )
@@ -202,8 +211,8 @@ def split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _printed_fields(df: DataFrame, name: str, sep: str) -> DataFrame:
     """Raw fields of a printed table, one per row."""
-    line = print_line(df, df.columns, sep)
-    return df.select(F.lit(name).alias("path"), F.posexplode(raw_fields(line, sep)).alias("col", "_raw"))
+    lines = df.select(print_line(df, df.columns, sep).alias("line"))
+    return lines.select(F.lit(name).alias("path"), F.posexplode(raw_fields(F.col("line"), sep)).alias("col", "_raw"))
 
 
 TYPE_REPORT = ("path", "col", "cells", "empty", "texts", "integers", "decimals", "dates", "data_type")
@@ -219,7 +228,7 @@ def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def override_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the types that the names of the columns ask for."""
     lineitem = table(spark, sf_dir, "lineitem")
-    overrides = F.array(*[override_of(F.lit(c)) for c in lineitem.columns])
+    overrides = F.array(*[F.lit(o) for o in overrides_of_names(spark, lineitem.columns)])
     fields = _printed_fields(lineitem, "lineitem", ";")
     typed = type_fields(fields, F.col("_raw"), F.get(overrides, F.col("col")))
     return column_types(typed).select(*TYPE_REPORT)
@@ -491,15 +500,16 @@ def _customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workbook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers packed into one workbook per nation, unpacked, and resolved again."""
-    books = export_workbooks(_customer_rows(spark, sf_dir))
-    cells = workbook_cells(books.select("path", "content"))
+    # The parts of a workbook are read one kind at a time, so the workbooks are written first.
+    books = materialize(export_workbooks(_customer_rows(spark, sf_dir)).select("path", "content"))
+    cells = workbook_cells(books)
     return cells.select("path", "sheet", "row", "col", "ref", "kind", "text", "style")
 
 
 def workbook_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same workbooks rendered as delimited text, small sheets forcing further workbooks."""
     books = export_workbooks(_customer_rows(spark, sf_dir), rows_per_workbook=40)
-    named = books.select(F.concat_ws("#", "path", "chunk").alias("path"), "content")
+    named = materialize(books.select(F.concat_ws("#", "path", "chunk").alias("path"), "content"))
     rows = densify(workbook_cells(named), ("path", "sheet", "row"))
     return render_lines(rows, ";", 1).select("path", "row", "line")
 

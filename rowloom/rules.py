@@ -112,8 +112,24 @@ class Rules:
 DEFAULT_RULES = Rules()
 
 
+def _core(pattern: str) -> str:
+    """A pattern to search for without the ``.*`` at its ends, which a search does not need.
+
+    Kept, they make a search that fails quadratic in the length of the name.
+    """
+    if pattern.startswith(".*") and not pattern[2:3] in ("?", "+", "*", "{"):
+        pattern = pattern[2:]
+    if pattern.endswith(".*") and not pattern.endswith("\\.*"):
+        pattern = pattern[:-2]
+    return pattern
+
+
 def _matches(name: Column, pattern: str, is_regex: bool) -> Column:
-    return name.rlike("(?iu)" + pattern) if is_regex else name.contains(pattern.lower())
+    """Does the pattern occur in the lower-case name?"""
+    core = _core(pattern) if is_regex else pattern
+    if not is_regex or core.isalnum():
+        return name.contains(core.lower())
+    return name.rlike("(?iu)" + core)
 
 
 def _key(name: Column) -> Column:
@@ -145,6 +161,14 @@ def override_of(name: Column, rules: Rules = DEFAULT_RULES) -> Column:
     return F.get(F.transform(F.array(_key(name)), first_rule), F.lit(0))
 
 
+def overrides_of_names(spark: SparkSession, names: list[str], rules: Rules = DEFAULT_RULES) -> list[str]:
+    """:func:`override_of` for the known column names of one table, worked out once."""
+    if not names:
+        return []
+    row = spark.range(1).select(F.array(*[override_of(F.lit(n), rules) for n in names]).alias("o")).first()
+    return row["o"]
+
+
 def resolve_overrides(names: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
     """Names joined with a table of rules: ``data_type`` of the matching rule of least priority.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions.cells import SHARED, is_date_format, stored_kind, stored_text
+from rowloom.functions.cells import BOOLEAN, SHARED, STRING, is_date_format, stored_kind, stored_text
 from rowloom.functions.numbers import parse_lenient_number
 from rowloom.functions.dates import serial_date
 from rowloom.functions.refs import path_extension, ref_column
@@ -184,13 +184,14 @@ def resolve_cells(
         .join(strings, ["path", "idx"], "left")
     )
     dated = is_date_format(F.col("format_id"), F.col("format_code") if format_code_check else None)
-    num = parse_lenient_number(F.col("v"))
+    numeric = F.col("t").isNull() | ~F.col("t").isin(SHARED, STRING, BOOLEAN)
     return (
         joined.withColumn("_dated", dated)
-        .withColumn("kind", stored_kind(F.col("t"), F.col("v"), F.col("_dated")))
-        .withColumn("text", stored_text(F.col("t"), F.col("v"), F.col("shared"), F.col("_dated")))
-        .withColumn("num", F.when(F.col("kind").isin("number", "date"), num))
-        .withColumn("dt", F.when(F.col("kind") == "date", serial_date(num).cast("timestamp_ntz")))
+        .withColumn("_num", F.when(numeric, parse_lenient_number(F.col("v"))))
+        .withColumn("kind", stored_kind(F.col("t"), F.col("v"), F.col("_num"), F.col("_dated")))
+        .withColumn("text", stored_text(F.col("kind"), F.col("t"), F.col("v"), F.col("shared"), F.col("_num")))
+        .withColumn("num", F.when(F.col("kind").isin("number", "date"), F.col("_num")))
+        .withColumn("dt", F.when(F.col("kind") == "date", serial_date(F.col("_num")).cast("timestamp_ntz")))
         .select(
             "path",
             "sheet",
