@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.charset import UTF8
@@ -56,7 +56,10 @@ SETTINGS = ("encoding", "utf16", *PROFILE_COLUMNS)
 
 @dataclass(frozen=True)
 class TextSource:
-    """Text files read and profiled: ``lines`` carries the settings of its source on each line."""
+    """Text files read and profiled: ``lines`` carries the settings of its source on each line.
+
+    Files in a charset that is not read (UTF-16) have a profile, but no lines.
+    """
 
     profile: DataFrame
     lines: DataFrame
@@ -74,7 +77,8 @@ def read_text(spark: SparkSession, paths: str | list[str], options: Options = Op
     heads = whole.withColumn("_head", F.slice("lines", 1, options.analyze_lines)).withColumn("_total", F.size("lines"))
     small = profile_heads(heads, "_head", "_total", options.separator, options.header, options.rules)
     profile = small.select("path", *SETTINGS)
-    lines = explode_lines(small.select("path", "lines", "separator", "start_line", "overrides"))
+    readable = small.filter(~F.col("utf16"))
+    lines = explode_lines(readable.select("path", "lines", "separator", "start_line", "overrides"))
 
     scan = scan_lines(spark, paths, types, size, options.recursive)
     blocks = materialize(block_table(scan, options.encoding))
@@ -92,19 +96,14 @@ def read_text(spark: SparkSession, paths: str | list[str], options: Options = Op
             totals=files.select("path", "total_lines"),
         ).join(files.drop("total_lines"), "path").select("path", *SETTINGS)
     )
-    numbered = with_profile(number_lines(scan, blocks), large, measured=True)
+    readable = large.filter(~F.col("utf16"))
+    numbered = with_profile(number_lines(scan, blocks), readable, measured=True)
     return TextSource(
         profile.unionByName(large),
         lines.unionByName(numbered.select("path", "line_no", "line", "separator", "start_line", "overrides")),
     )
 
 
-def convertible(source: TextSource) -> TextSource:
-    """Without the files whose charset is not read (UTF-16); these are reported as failed."""
-    bad = source.profile.filter(F.col("utf16")).select("path")
-    return TextSource(source.profile, source.lines.join(bad, "path", "left_anti"))
-
-
 def text_to_cells(source: TextSource, options: Options = Options()) -> DataFrame:
     """Long ``cells`` of text sources. No shuffle."""
     return to_cells(source.lines, options.date_order)
@@ -129,6 +128,12 @@ def workbooks_to_lines(files: DataFrame, options: Options = Options()) -> DataFr
     )
 
 
+def sheet_output(path: Column, sheet: Column) -> Column:
+    """Folder name for one sheet of one workbook; the hash keeps equal names of other folders apart."""
+    name = F.concat_ws("_", F.left(path_base(path), F.lit(120)), safe_sheet_name(sheet))
+    return F.concat(name, F.lit("-"), F.left(F.md5(path), F.lit(8)))
+
+
 def batch_report(report: DataFrame) -> DataFrame:
     """Files per status of a report."""
     return report.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
@@ -160,7 +165,7 @@ def convert_batch(
         source = read_text(spark, paths, options)
         source.profile.write.mode(mode).parquet(part("profile"))
         profile = spark.read.parquet(part("profile"))
-        text_to_cells(convertible(TextSource(profile, source.lines)), options).write.mode(mode).parquet(part("cells"))
+        text_to_cells(source, options).write.mode(mode).parquet(part("cells"))
         failed = F.when(F.col("utf16"), "UTF-16 text is not read")
         reports.append(text.select("path").join(
             profile.select("path", failed.alias("message")), "path", "left"
@@ -169,10 +174,8 @@ def convert_batch(
         content = read_workbooks(spark, paths, options.recursive)
         index = None if options.all_sheets else options.worksheet_index
         write_lines(
-            workbooks_to_lines(content, options).withColumn(
-                "sheet_name", F.concat_ws("_", path_base(F.col("path")), safe_sheet_name(F.col("sheet")))
-            ),
-            part("lines"), ["row"], ["path", "sheet_name"], options.export_encoding, options.export_bom, mode=mode,
+            workbooks_to_lines(content, options).withColumn("output", sheet_output(F.col("path"), F.col("sheet"))),
+            part("lines"), ["row"], ["output"], options.export_encoding, options.export_bom, mode=mode,
         )
         status = workbook_status(content, index)
         reports.append(status.select("path", "message").withColumn("output", F.lit(part("lines"))))

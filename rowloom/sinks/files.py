@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,8 @@ def write_files(files: DataFrame, target: str) -> DataFrame:
 
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+        uri = target.replace("file:/", "file:///", 1) if re.match(r"file:/[^/]", target) else target
+        system, root = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
         for batch in batches:
             report = []
             for name, content in zip(batch["name"], batch["content"]):

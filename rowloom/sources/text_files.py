@@ -8,6 +8,8 @@ the first line of each block.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ WORKBOOK_TYPES = (".xlsx",)
 WHOLE_FILE_BYTES = 16 * 1024 * 1024
 
 
+def file_path() -> Column:
+    """Path of the file a row is read from, as the user would write it."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path to read that means itself, also where it holds pattern characters."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def list_files(spark: SparkSession, paths: str | list[str], types: tuple[str, ...] = TEXT_TYPES + WORKBOOK_TYPES,
                recursive: bool = False) -> DataFrame:
     """``files(path, extension, length, modified)`` of the given types, in any letter case.
@@ -32,7 +44,7 @@ def list_files(spark: SparkSession, paths: str | list[str], types: tuple[str, ..
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     listed = reader.load(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+        file_path().alias("path"),
         F.col("length"),
         F.col("modificationTime").alias("modified"),
     )
@@ -68,7 +80,7 @@ def read_whole_files(
     raw = (
         _reader(spark, recursive).text(paths, wholetext=True)
         .filter((F.col("_metadata.file_size") <= max_bytes) & _wanted(types))
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("_raw"))
+        .select(file_path().alias("path"), F.col("value").alias("_raw"))
     )
     decoded = (
         raw.withColumn("encoding", detected_encoding(F.is_valid_utf8("_raw"), encoding))
@@ -106,7 +118,7 @@ def scan_lines(
         _reader(spark, recursive).text(paths)
         .filter((F.col("_metadata.file_size") > above_bytes) & _wanted(types))
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            file_path().alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seq"),
             F.col("value").alias("raw"),

@@ -16,7 +16,7 @@ from rowloom.functions.numbers import parse_lenient_number
 from rowloom.functions.dates import serial_date
 from rowloom.functions.refs import path_extension, ref_column
 from rowloom.session import checked_broadcast
-from rowloom.sources.text_files import WORKBOOK_TYPES
+from rowloom.sources.text_files import WORKBOOK_TYPES, file_path
 
 PART_SCHEMA = "path string, part string, entry string, seq bigint, xml string"
 ROW_SCHEMA = "_r bigint, c array<struct<_r:string,_s:int,_t:string,v:string>>"
@@ -98,7 +98,7 @@ def read_workbooks(spark: SparkSession, paths: str | list[str], recursive: bool
     """``files(path, content)`` of the workbooks among the given files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
     wanted = path_extension(F.col("_metadata.file_path")).isin(*WORKBOOK_TYPES)
-    return files.filter(wanted).select(F.col("_metadata.file_path").alias("path"), "content")
+    return files.filter(wanted).select(file_path().alias("path"), "content")
 
 
 def workbook_sheets(files: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rowloom.functions.refs import path_extension
 from rowloom.plans.convert import Options, convert_batch
-from rowloom.sources.text_files import TEXT_TYPES, WORKBOOK_TYPES
+from rowloom.sources.text_files import TEXT_TYPES, WORKBOOK_TYPES, file_path, literal_path
 
 # Time from the first new file to its conversion, and files of one batch.
 DELAY = "2 seconds"
@@ -36,7 +36,7 @@ def arriving_files(
         .option("maxFilesPerTrigger", files_per_batch)
         .option("maxFileAge", max_file_age)
         .load(folder)
-        .select(F.col("_metadata.file_path").alias("path"), "length", F.col("modificationTime").alias("modified"))
+        .select(file_path().alias("path"), "length", F.col("modificationTime").alias("modified"))
         .filter(path_extension(F.col("path")).isin(*WATCHED_TYPES))
     )
     return stream if since is None else stream.filter(F.col("modified") >= F.lit(since).cast("timestamp"))
@@ -60,7 +60,7 @@ def watch_folder(
 
     def convert(batch: DataFrame, batch_id: int) -> None:
         # At most files_per_batch paths: the list of files a batch is made of, not their content.
-        paths = [row["path"] for row in batch.select("path").collect()]
+        paths = [literal_path(row["path"]) for row in batch.select("path").collect()]
         if paths:
             convert_batch(batch.sparkSession, paths, target, options, batch_id, overwrite=True)
 
