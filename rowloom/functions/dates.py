@@ -15,10 +15,9 @@ MAX_YEAR = 2100
 _DAY_MS = 86400000
 _TIME = r"(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?\s*\z"
 
-# Date patterns, and the order the groups of the last two take in an ISO date.
+# Date patterns, and the order the groups of the second take in an ISO date.
 _YEAR_FIRST = rf"\A\s*[0-9]{{4}}([-/])[0-9]{{1,2}}\1[0-9]{{1,2}}{_TIME}"
-_GERMAN = rf"\A\s*([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}){_TIME}"
-_SLASHED = rf"\A\s*([0-9]{{1,2}})([-/])([0-9]{{1,2}})\2([0-9]{{4}}){_TIME}"
+_YEAR_LAST = r"\A\s*([0-9]{{1,2}})([{marks}])([0-9]{{1,2}})\2([0-9]{{4}})" + _TIME.replace("{", "{{").replace("}", "}}")
 _DAY_FIRST = "$4-$3-$1 $5"
 _MONTH_FIRST = "$4-$1-$3 $5"
 
@@ -31,12 +30,13 @@ def parse_date(value: Column, date_order: str = "dmy") -> Column:
     """
     if date_order not in ("dmy", "mdy"):
         raise ValueError("date_order is 'dmy' or 'mdy'")
-    slashed = _DAY_FIRST if date_order == "dmy" else _MONTH_FIRST
-    iso = (
-        F.when(value.rlike(_YEAR_FIRST), F.trim(F.replace(value, F.lit("/"), F.lit("-"))))
-        .when(value.rlike(_GERMAN), F.rtrim(F.regexp_replace(value, _GERMAN, "$3-$2-$1 $4")))
-        .when(value.rlike(_SLASHED), F.rtrim(F.regexp_replace(value, _SLASHED, slashed)))
-    )
+    iso = F.when(value.rlike(_YEAR_FIRST), F.trim(F.replace(value, F.lit("/"), F.lit("-"))))
+    if date_order == "dmy":
+        year_last = [(_YEAR_LAST.format(marks="./-"), _DAY_FIRST)]
+    else:
+        year_last = [(_YEAR_LAST.format(marks="."), _DAY_FIRST), (_YEAR_LAST.format(marks="/-"), _MONTH_FIRST)]
+    for pattern, order in year_last:
+        iso = iso.when(value.rlike(pattern), F.rtrim(F.regexp_replace(value, pattern, order)))
     first = F.ascii(value)
     return F.when(first.between(48, 57) | first.between(1, 32), iso.try_cast("timestamp_ntz"))
 

@@ -22,38 +22,46 @@ LENIENT_NUMBER = (
 )
 
 
-def _finite(n: Column) -> Column:
-    """Overflow is no number."""
+def finite(n: Column) -> Column:
+    """Overflow is no number. Pass a column, not an expression: it is read twice."""
     return F.when(F.abs(n) < F.lit(float("inf")), n)
 
 
 def _may_start_number(value: Column) -> Column:
     """By its first character alone: digit, sign, mark or white space. Spares texts the regex."""
     first = F.ascii(value)
-    return first.between(48, 57) | first.isin(43, 44, 45, 46) | (first.between(1, 32))
+    return first.between(43, 57) | first.between(1, 32)
 
 
-def _cast(text: Column) -> Column:
-    """A checked number text as double. Only exponents and very long texts can overflow."""
-    n = text.try_cast("double")
-    safe = ~(text.contains("e") | text.contains("E")) & (F.length(text) < 300)
-    return F.when(safe, n).otherwise(_finite(n))
+def number_or_overflow(value: Column, wanted: Column | bool = True) -> Column:
+    """English or German number as double, infinite where it is too large, else null."""
+    guard = wanted & _may_start_number(value) if isinstance(wanted, Column) else _may_start_number(value)
+    return F.when(guard & value.rlike(NUMBER), F.replace(value, F.lit(","), F.lit(".")).try_cast("double"))
 
 
 def parse_number(value: Column) -> Column:
     """English or German number as double, else null."""
-    parsed = _cast(F.replace(value, F.lit(","), F.lit(".")))
-    return F.when(_may_start_number(value) & value.rlike(NUMBER), parsed)
+    n = number_or_overflow(value)
+    # Only exponents and very long texts can overflow.
+    safe = ~value.rlike("[eE]") & (F.length(value) < 300)
+    return F.when(safe, n).otherwise(finite(n))
+
+
+def lenient_or_overflow(value: Column) -> Column:
+    """English number in any common notation as double, infinite where it is too large, else null."""
+    plain = _may_start_number(value) & ~value.contains(",") & value.rlike(NUMBER)
+    sign = F.when(value.rlike(rf"[(]|-¤?{_SPACE}\z"), -1.0).otherwise(1.0)
+    bare = F.regexp_replace(value, rf"[+-]¤?{_SPACE}\z|[^0-9.eE+-]", "")
+    return F.when(plain, value.try_cast("double")).when(
+        value.rlike(LENIENT_NUMBER), bare.try_cast("double") * sign
+    )
 
 
 def parse_lenient_number(value: Column) -> Column:
     """English number in any common notation as double, else null."""
-    plain = _may_start_number(value) & ~value.contains(",") & value.rlike(NUMBER)
-    bare = F.regexp_replace(value, r"[^0-9.eE+-]", "")
-    negative = value.contains("(") | bare.endswith("-")
-    unsigned = F.regexp_replace(bare, r"[+-]\z", "").try_cast("double")
-    signed = F.when(negative, -unsigned).otherwise(unsigned)
-    return F.when(plain, _cast(value)).when(value.rlike(LENIENT_NUMBER), _finite(signed))
+    n = lenient_or_overflow(value)
+    safe = ~value.rlike("[eE]") & (F.length(value) < 300)
+    return F.when(safe, n).otherwise(finite(n))
 
 
 def is_integral(n: Column) -> Column:
@@ -67,13 +75,12 @@ def strict_integer(n: Column) -> Column:
 
 
 def _rounded(n: Column) -> Column:
-    """``n`` at 15 significant digits, half away from zero, for 1e-5 <= abs(n) < 1e15."""
-    exact = n.try_cast("decimal(38,20)")
-    size = F.abs(n)
-    chain = F.when(size < 1e-4, F.round(exact, 19))
-    for power in range(-3, 16):
-        chain = chain.when(size < 10.0**power, F.round(exact, 15 - power))
-    return chain.cast("decimal(38,20)")
+    """``n`` at 15 significant digits, half away from zero, for 1e-5 <= abs(n) < 1e15.
+
+    The shortest text of a double seldom has more digits; only then it is formatted anew.
+    """
+    text = n.cast("string")
+    return F.when(F.length(text) <= 16, text).otherwise(_scientific(n)).try_cast("decimal(38,20)")
 
 
 def _strip_zeros(decimal: Column) -> Column:

@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.cells import cell_kind, kind_style, wanted_date, wanted_number
-from rowloom.functions.numbers import parse_number, strict_integer
+from rowloom.functions.cells import (
+    DATE_STYLE,
+    DECIMAL_STYLE,
+    cell_style,
+    date_candidate,
+    number_candidate,
+    override_code,
+    style_kind,
+)
 from rowloom.functions.dates import parse_date
+from rowloom.functions.numbers import finite, number_or_overflow, strict_integer
 from rowloom.functions.refs import cell_ref
 from rowloom.functions.split import field_quoted, field_value, raw_fields
 from rowloom.session import checked_broadcast
@@ -35,18 +43,20 @@ def type_fields(df: DataFrame, raw: Column, override: Column, date_order: str =
 
     Each step is a column of its own, so that a number or date is parsed once.
     """
-    value, quoted, over = F.col("text"), F.col("quoted"), F.col("_override")
+    value, quoted, code, num, dt = (F.col(c) for c in ("text", "quoted", "_code", "num", "dt"))
+    style = F.col("style")
     return (
-        df.withColumn("quoted", field_quoted(raw))
-        .withColumn("text", field_value(raw))
-        .withColumn("_override", override)
-        .withColumn("num", wanted_number(value, quoted, over))
-        .withColumn("dt", wanted_date(value, quoted, over, F.col("num"), date_order))
-        .withColumn("kind", cell_kind(value, quoted, over, F.col("num"), F.col("dt")))
-        .withColumn("num", F.when(F.col("kind").isin("integer", "decimal"), F.col("num")))
-        .withColumn("dt", F.when(F.col("kind") == "date", F.col("dt")))
-        .withColumn("style", kind_style(F.col("kind")))
-        .drop("_override")
+        df.withColumns({"quoted": field_quoted(raw), "text": field_value(raw), "_code": override_code(override)})
+        .withColumn("num", number_candidate(value, quoted, code))
+        .withColumn("num", finite(num))
+        .withColumn("dt", date_candidate(value, quoted, code, num, date_order))
+        .withColumn("style", cell_style(code, num, dt))
+        .withColumns({
+            "num": F.when(style >= DECIMAL_STYLE, num),
+            "dt": F.when(style == DATE_STYLE, dt),
+            "kind": style_kind(style),
+        })
+        .drop("_code")
     )
 
 
@@ -151,46 +161,49 @@ def to_typed(
     its column, and fields beyond the last column, stay in the map ``_rescued``.
     """
     first = start_line + (1 if has_header else 0)
-    split = lines.filter(F.col("line_no") >= first).select(
+    width = len(columns)
+    types = F.array(*[F.lit(t) for _, t in columns]) if columns else F.array().cast("array<string>")
+    names = F.array(*[F.lit(n) for n, _ in columns]) if columns else F.array().cast("array<string>")
+
+    def data_type(i: Column) -> Column:
+        return F.coalesce(F.get(types, i), F.lit("text"))
+
+    # Arrays keep the generated code as small for a thousand columns as for one.
+    raw = lines.filter(F.col("line_no") >= first).select(
         "path", "line_no", raw_fields(F.col("line"), separator).alias("_raw")
     )
-    for i, _ in enumerate(columns):
-        split = split.withColumn(f"_f{i}", F.get("_raw", F.lit(i)))
-
-    def cast(raw: Column, data_type: str) -> Column:
-        value = field_value(raw)
-        if data_type == "text":
-            typed = value
-        elif data_type == "date":
-            typed = F.when(~field_quoted(raw), parse_date(value, date_order))
-        elif data_type == "integer":
-            typed = F.when(~field_quoted(raw), strict_integer(parse_number(value)))
-        else:
-            typed = F.when(~field_quoted(raw), parse_number(value))
-        return F.when(raw != "", typed)
-
-    typed = split.select(
-        "path",
-        "line_no",
-        "_raw",
-        *[cast(F.col(f"_f{i}"), t).alias(f"_t{i}") for i, (_, t) in enumerate(columns)],
-        *[F.col(f"_f{i}") for i in range(len(columns))],
-    )
-    lost = [
-        F.when(F.col(f"_f{i}").isNotNull() & (F.col(f"_f{i}") != "") & F.col(f"_t{i}").isNull(),
-               F.struct(F.lit(name).alias("k"), F.col(f"_f{i}").alias("v")))
-        for i, (name, _) in enumerate(columns)
-    ]
-    width = len(columns)
-    extra = F.transform(
-        F.slice("_raw", width + 1, F.greatest(F.size("_raw"), F.lit(1))),
-        lambda x, i: F.struct(F.concat(F.lit("_c"), (i + width).cast("string")).alias("k"), x.alias("v")),
+    parsed = raw.withColumns({
+        "_n": F.transform("_raw", lambda r, i: number_or_overflow(
+            r, ~field_quoted(r) & data_type(i).isin("integer", "decimal"))),
+        "_d": F.transform("_raw", lambda r, i: F.when(
+            ~field_quoted(r) & (data_type(i) == "date"), parse_date(r, date_order))),
+    })
+    checked = parsed.withColumn("_n", F.transform("_n", lambda n, i: F.when(
+        data_type(i) == "integer", strict_integer(n).cast("double")).otherwise(finite(n))))
+
+    def misfit(r: Column, i: Column) -> Column:
+        untyped = F.get(F.col("_n"), i).isNull() & F.get(F.col("_d"), i).isNull()
+        name = F.coalesce(F.get(names, i), F.concat(F.lit("_c"), i.cast("string")))
+        return F.when(
+            (i >= width) | ((r != "") & (data_type(i) != "text") & untyped),
+            F.struct(name.alias("k"), r.alias("v")),
+        )
+
+    rescued = checked.withColumn(
+        "_rescued", F.map_from_entries(F.array_compact(F.transform("_raw", misfit)))
     )
-    rescued = F.concat(F.array_compact(F.array(*lost)), extra) if lost else extra
-    return typed.withColumn("_rescued", F.map_from_entries(rescued)).select(
+
+    def value(i: int, kind: str) -> Column:
+        at = F.lit(i)
+        if kind == "text":
+            field = F.get(F.col("_raw"), at)
+            return F.when(field != "", field_value(field))
+        return F.get(F.col("_d" if kind == "date" else "_n"), at).cast(SPARK_TYPES[kind])
+
+    return rescued.select(
         "path",
         "line_no",
-        *[F.col(f"_t{i}").alias(name) for i, (name, _) in enumerate(columns)],
+        *[value(i, kind).alias(name) for i, (name, kind) in enumerate(columns)],
         F.when(F.size("_rescued") > 0, F.col("_rescued")).alias("_rescued"),
     )
 
@@ -213,37 +226,30 @@ def with_typed_fields(lines: DataFrame, date_order: str = "dmy", name: str = "ce
             lambda r: F.struct(field_value(r).alias("value"), field_quoted(r).alias("quoted")),
         ),
     )
-    numbers = fields.withColumn(
-        "_n", F.transform("_f", lambda x, i: wanted_number(x["value"], x["quoted"], F.get(over, i)))
-    )
+    def at(name: str, i: Column) -> Column:
+        return F.get(F.col(name), i)
+
+    coded = fields.withColumn("_o", F.transform("_f", lambda x, i: override_code(F.get(over, i))))
+    numbers = coded.withColumn(
+        "_n", F.transform("_f", lambda x, i: number_candidate(x["value"], x["quoted"], at("_o", i)))
+    ).withColumn("_n", F.transform("_n", finite))
     dates = numbers.withColumn(
         "_d",
-        F.transform(
-            "_f",
-            lambda x, i: wanted_date(
-                x["value"], x["quoted"], F.get(over, i), F.get(F.col("_n"), i), date_order
-            ),
-        ),
+        F.transform("_f", lambda x, i: date_candidate(x["value"], x["quoted"], at("_o", i), at("_n", i), date_order)),
     )
-    kinds = dates.withColumn(
-        "_k",
-        F.transform(
-            "_f",
-            lambda x, i: cell_kind(
-                x["value"], x["quoted"], F.get(over, i), F.get(F.col("_n"), i), F.get(F.col("_d"), i)
-            ),
-        ),
+    styles = dates.withColumn(
+        "_s", F.transform("_f", lambda x, i: cell_style(at("_o", i), at("_n", i), at("_d", i)))
     )
 
     def cell(x: Column, i: Column) -> Column:
-        kind = F.get(F.col("_k"), i)
+        style = at("_s", i)
         return F.struct(
-            kind.alias("kind"),
+            style_kind(style).alias("kind"),
             x["value"].alias("text"),
-            F.when(kind.isin("integer", "decimal"), F.get(F.col("_n"), i)).alias("num"),
-            F.when(kind == "date", F.get(F.col("_d"), i)).alias("dt"),
-            kind_style(kind).alias("style"),
+            F.when(style >= DECIMAL_STYLE, at("_n", i)).alias("num"),
+            F.when(style == DATE_STYLE, at("_d", i)).alias("dt"),
+            style.alias("style"),
             x["quoted"].alias("quoted"),
         )
 
-    return kinds.withColumn(name, F.transform("_f", cell)).drop("_f", "_n", "_d", "_k")
+    return styles.withColumn(name, F.transform("_f", cell)).drop("_f", "_o", "_n", "_d", "_s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions.cells import kind_style, style_format
+from rowloom.functions.cells import style_format
 from rowloom.functions.dates import date_serial, parse_date, serial_text
 from rowloom.functions.numbers import (
     export_number,
@@ -43,7 +43,7 @@ from rowloom.sinks.naming import free_names
 from rowloom.sinks.workbooks import export_workbooks
 from rowloom.sources.tables import print_line, print_value, table_head, table_lines
 from rowloom.sources.text_files import explode_lines
-from rowloom.sources.workbooks import resolve_cells, workbook_cells
+from rowloom.sources.workbooks import resolve_cells, sheet_styles, workbook_cells
 
 # Tables printed as delimited text: separator and key of each.
 PRINTED = {
@@ -378,7 +378,7 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
         date_serial(F.col("dt")).alias("serial"),
         serial_text(date_serial(F.col("dt"))).alias("back"),
         F.date_format(american, "yyyy-MM-dd").alias("month_first"),
-        style_format(kind_style(F.col("kind"))).alias("format"),
+        style_format(F.col("style")).alias("format"),
     )
 
 
@@ -485,7 +485,8 @@ def shared_string_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path string, s int, format_id int, format_code string",
     )
     # One workbook with one sheet, three formats and five strings: broadcast is safe.
-    resolved = resolve_cells(cells, F.broadcast(sheets), F.broadcast(formats), F.broadcast(strings))
+    styled = cells.join(F.broadcast(sheet_styles(sheets, formats)), ["path", "entry"])
+    resolved = resolve_cells(styled, F.broadcast(strings))
     return resolved.select("sheet", "row", "ref", "col", "kind", "text")
 
 

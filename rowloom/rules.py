@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,6 +133,19 @@ def _matches(name: Column, pattern: str, is_regex: bool) -> Column:
     return name.rlike("(?iu)" + core)
 
 
+def _joinable(rules: Rules) -> tuple[list[str], list[tuple[str, bool]]]:
+    """Header patterns fit to be alternatives of one regex, and the others.
+
+    Letters, digits and anchors mean the same there; groups and flags might not.
+    """
+    plain, others = [], []
+    for pattern, is_regex in rules.header_patterns:
+        core = _core(pattern) if is_regex else pattern.lower()
+        fit = re.fullmatch(r"\^?[\w -]+\$?" if is_regex else r"[\w -]+", core)
+        plain.append(core) if fit else others.append((pattern, is_regex))
+    return plain, others
+
+
 def _key(name: Column) -> Column:
     return F.lower(trim_space(F.coalesce(name, F.lit(""))))
 
@@ -139,10 +153,12 @@ def _key(name: Column) -> Column:
 def is_header_name(name: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """Does any header pattern occur in the name?"""
 
+    plain, others = _joinable(rules)
+
     def any_pattern(key: Column) -> Column:
-        hit = F.lit(False)
-        for pattern, is_regex in reversed(rules.header_patterns):
-            hit = _matches(key, pattern, is_regex) | hit
+        hit = key.rlike("(?iu)" + "|".join(plain)) if plain else F.lit(False)
+        for pattern, is_regex in others:
+            hit = hit | _matches(key, pattern, is_regex)
         return (key != "") & hit
 
     # The one-element array has the key worked out once for all patterns.
@@ -163,10 +179,9 @@ def override_of(name: Column, rules: Rules = DEFAULT_RULES) -> Column:
 
 def overrides_of_names(spark: SparkSession, names: list[str], rules: Rules = DEFAULT_RULES) -> list[str]:
     """:func:`override_of` for the known column names of one table, worked out once."""
-    if not names:
-        return []
-    row = spark.range(1).select(F.array(*[override_of(F.lit(n), rules) for n in names]).alias("o")).first()
-    return row["o"]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    found = rows.select("i", override_of(F.col("name"), rules).alias("o")).collect()
+    return [r["o"] for r in sorted(found)]
 
 
 def resolve_overrides(names: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.cells import BOOLEAN, SHARED, STRING, is_date_format, stored_kind, stored_text
-from rowloom.functions.numbers import parse_lenient_number
+from rowloom.functions.numbers import finite, lenient_or_overflow
 from rowloom.functions.dates import serial_date
 from rowloom.functions.refs import path_extension, ref_column
-from rowloom.session import checked_broadcast
+from rowloom.session import is_small, materialize
 from rowloom.sources.text_files import WORKBOOK_TYPES, file_path
 
 PART_SCHEMA = "path string, part string, entry string, seq bigint, xml string"
@@ -101,9 +101,8 @@ def read_workbooks(spark: SparkSession, paths: str | list[str], recursive: bool
     return files.filter(wanted).select(file_path().alias("path"), "content")
 
 
-def workbook_sheets(files: DataFrame) -> DataFrame:
+def workbook_sheets(parts: DataFrame) -> DataFrame:
     """``(path, entry, sheet, ordinal)``: sheets in order, joined with their part by relation id."""
-    parts = workbook_parts(files, "sheet", "rel")
     sheets = parts.filter(F.col("part") == "sheet").select(
         "path",
         F.col("seq").cast("int").alias("ordinal"),
@@ -120,9 +119,8 @@ def workbook_sheets(files: DataFrame) -> DataFrame:
     return sheets.join(rels, ["path", "rid"]).select("path", "entry", "sheet", "ordinal")
 
 
-def workbook_formats(files: DataFrame) -> DataFrame:
+def workbook_formats(parts: DataFrame) -> DataFrame:
     """``(path, s, format_id, format_code)``: number format of each style index."""
-    parts = workbook_parts(files, "xf", "numFmt")
     formats = parts.filter(F.col("part") == "xf").select(
         "path",
         F.col("seq").cast("int").alias("s"),
@@ -136,6 +134,20 @@ def workbook_formats(files: DataFrame) -> DataFrame:
     return formats.join(codes, ["path", "format_id"], "left")
 
 
+def sheet_styles(sheets: DataFrame, formats: DataFrame, format_code_check: bool = False) -> DataFrame:
+    """Sheets with ``dated``, the style indexes of their workbook that show dates.
+
+    A workbook has at most some ten thousand styles, and few of them are dates.
+    """
+    code = F.col("format_code") if format_code_check else None
+    dated = formats.filter(is_date_format(F.col("format_id"), code)).groupBy("path").agg(
+        F.collect_set("s").alias("dated")
+    )
+    return sheets.join(dated, "path", "left").withColumn(
+        "dated", F.coalesce("dated", F.array().cast("array<int>"))
+    )
+
+
 def shared_strings(files: DataFrame) -> DataFrame:
     """``(path, idx, shared)``: text of each shared string, all its runs joined."""
     return workbook_parts(files, "si").filter(F.col("part") == "si").select(
@@ -143,51 +155,42 @@ def shared_strings(files: DataFrame) -> DataFrame:
     )
 
 
-def stored_cells(files: DataFrame) -> DataFrame:
-    """``(path, entry, row_seq, row, pos, ref, s, t, v)``: cells as they are stored."""
+def stored_rows(files: DataFrame) -> DataFrame:
+    """``(path, entry, row_seq, row, c)``: rows as they are stored, ``c`` the array of their cells."""
     rows = workbook_parts(files, "row").filter(F.col("part") == "row")
     parsed = rows.select(
         "path", "entry", F.col("seq").alias("row_seq"), F.from_xml("xml", ROW_SCHEMA, XML_OPTIONS).alias("x")
     )
     return parsed.select(
-        "path",
-        "entry",
-        "row_seq",
-        F.coalesce("x._r", F.col("row_seq") + 1).alias("row"),
-        F.posexplode("x.c").alias("pos", "c"),
-    ).select("path", "entry", "row_seq", "row", "pos", F.col("c._r").alias("ref"),
-             F.col("c._s").alias("s"), F.col("c._t").alias("t"), F.col("c.v").alias("v"))
-
-
-def resolve_cells(
-    cells: DataFrame,
-    sheets: DataFrame,
-    formats: DataFrame,
-    strings: DataFrame,
-    format_code_check: bool = False,
-    measured: bool = False,
-) -> DataFrame:
-    """Stored cells resolved to kind and text through sheets, number formats and shared strings.
+        "path", "entry", "row_seq", F.coalesce("x._r", F.col("row_seq") + 1).alias("row"), F.col("x.c").alias("c")
+    )
 
-    Sheets and formats are few per workbook. With ``measured`` (they are materialized tables)
-    small ones are broadcast. Cells that point to no shared string get a key of their own
+
+def stored_cells(rows: DataFrame) -> DataFrame:
+    """One row per stored cell: ``pos, ref, s, t, v`` and the columns of its row. Rows without
+    cells leave nothing."""
+    kept = [c for c in rows.columns if c != "c"]
+    return rows.select(*kept, F.posexplode("c").alias("pos", "c")).select(
+        *kept, "pos", F.col("c._r").alias("ref"), F.col("c._s").alias("s"), F.col("c._t").alias("t"),
+        F.col("c.v").alias("v"),
+    )
+
+
+def resolve_cells(cells: DataFrame, strings: DataFrame) -> DataFrame:
+    """Stored cells with the columns of :func:`sheet_styles`, resolved to kind and text.
+
+    One join, with the shared strings by index. Cells that point to none get a key of their own
     spread over negative numbers, so that they do not meet in one task.
     """
-    if measured:
-        sheets, formats = checked_broadcast(sheets), checked_broadcast(formats)
     spread = -1 - (F.col("row_seq") % 1024)
-    shared_index = F.col("v").try_cast("bigint")
-    keyed = cells.withColumn("idx", F.when(F.col("t") == SHARED, F.coalesce(shared_index, spread)).otherwise(spread))
-    joined = (
-        keyed.join(sheets, ["path", "entry"])
-        .join(formats, ["path", "s"], "left")
-        .join(strings, ["path", "idx"], "left")
-    )
-    dated = is_date_format(F.col("format_id"), F.col("format_code") if format_code_check else None)
+    shared_index = F.when(F.col("t") == SHARED, F.col("v").try_cast("bigint"))
+    joined = cells.withColumn("idx", F.coalesce(shared_index, spread)).join(strings, ["path", "idx"], "left")
+    dated = F.coalesce(F.array_contains("dated", F.col("s")), F.lit(False))
     numeric = F.col("t").isNull() | ~F.col("t").isin(SHARED, STRING, BOOLEAN)
     return (
         joined.withColumn("_dated", dated)
-        .withColumn("_num", F.when(numeric, parse_lenient_number(F.col("v"))))
+        .withColumn("_num", F.when(numeric, lenient_or_overflow(F.col("v"))))
+        .withColumn("_num", finite(F.col("_num")))
         .withColumn("kind", stored_kind(F.col("t"), F.col("v"), F.col("_num"), F.col("_dated")))
         .withColumn("text", stored_text(F.col("kind"), F.col("t"), F.col("v"), F.col("shared"), F.col("_num")))
         .withColumn("num", F.when(F.col("kind").isin("number", "date"), F.col("_num")))
@@ -215,13 +218,21 @@ def workbook_cells(
     worksheet_index: int | None = 0,
     format_code_check: bool = False,
 ) -> DataFrame:
-    """``cells`` of ``files(path, content)``: one sheet by position, or all with ``None``."""
-    sheets = workbook_sheets(files)
+    """``cells`` of ``files(path, content)``: one sheet by position, or all with ``None``.
+
+    The small parts (sheets, relations, styles) of all workbooks are read first and written out,
+    so that their size is known: as a rule they are broadcast to the rows. Rows are joined
+    whole, before their cells are spread out, and only then the shared strings.
+    """
+    parts = materialize(workbook_parts(files, "sheet", "rel", "xf", "numFmt"))
+    sheets = workbook_sheets(parts)
     if worksheet_index is not None:
         sheets = sheets.filter(F.col("ordinal") == worksheet_index)
-    return resolve_cells(
-        stored_cells(files), sheets, workbook_formats(files), shared_strings(files), format_code_check
-    )
+    styled = sheet_styles(sheets, workbook_formats(parts), format_code_check)
+    if is_small(parts):
+        styled = F.broadcast(styled)
+    rows = stored_rows(files).join(styled, ["path", "entry"])
+    return resolve_cells(stored_cells(rows), shared_strings(files))
 
 
 def read_workbook_cells(

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from rowloom.functions.cells import is_date_format, kind_style, style_format
+from rowloom.functions.cells import is_date_format, style_format, style_kind
 from rowloom.functions.dates import date_serial, parse_date, serial_text
 from rowloom.functions.numbers import export_number, number_text, parse_lenient_number, parse_number, strict_integer
 from rowloom.functions.refs import (
@@ -122,7 +122,7 @@ def test_quote_modes(spark):
 
 
 def test_styles(values):
-    assert values(kind_style, ["text", "date", "decimal", "integer"]) == [0, 1, 2, 3]
+    assert values(style_kind, [0, 1, 2, 3], "int") == ["text", "date", "decimal", "integer"]
     assert values(style_format, [0, 1, 2, 3], "int") == ["General", "dd.mm.yyyy", "#,##0.00", "0"]
     ids = [13, 14, 22, 23, 45, 47, 48, 164, 165, None]
     assert values(is_date_format, ids, "int") == [False, True, True, False, True, True, False, True, False, False]
