@@ -6,29 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(
-    df: DataFrame, group: str, key: Column, name: str = "line_no", span: int = 1 << 15
+# Key values per slot: bounds the rows of one window, and keeps the table of slots small.
+SLOT = 1 << 15
+
+
+def running_total(
+    df: DataFrame, group: list[str], slot: Column, order: list[Column], value: Column, name: str
 ) -> DataFrame:
-    """1-based number of each row inside ``group`` by ascending ``key`` (unique whole numbers).
+    """Sum of ``value`` over the rows of ``group`` up to and including each row.
 
-    Rows are cut into slots of ``span`` key values, so a slot holds at most ``span`` rows even if
-    one group holds most of the table. Rows are numbered inside their slot, and a running total
-    over the counts per slot (one small row per slot) gives the start of each slot.
+    ``slot`` cuts a group into pieces of bounded size and must not fall along ``order``. Rows are
+    summed inside their slot, and a running total over the sums per slot (one small row per
+    slot) gives the start of each, so one group may hold most of the table.
     """
-    slotted = df.withColumn("_key", key).withColumn("_slot", F.floor(F.col("_key") / F.lit(span)))
-    before = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slotted = df.withColumns({"_slot": slot, "_value": value.cast("bigint")})
+    before = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        slotted.groupBy(group, "_slot").agg(F.count(F.lit(1)).alias("_n"))
-        .select(group, "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        slotted.groupBy(*group, "_slot").agg(F.sum("_value").alias("_sum"))
+        .select(*group, "_slot", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = (
+        Window.partitionBy(*group, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    inside = Window.partitionBy(group, "_slot").orderBy("_key")
     return (
-        slotted.join(starts, [group, "_slot"])
-        .withColumn(name, F.col("_start") + F.row_number().over(inside))
-        .drop("_key", "_slot", "_start")
+        slotted.join(starts, [*group, "_slot"])
+        .withColumn(name, F.col("_start") + F.sum("_value").over(inside))
+        .drop("_slot", "_value", "_start")
     )
 
 
+def number_rows(df: DataFrame, group: str | list[str], key: Column, name: str = "line_no", span: int = SLOT) -> DataFrame:
+    """1-based number of each row inside ``group`` by ascending ``key`` (unique whole numbers)."""
+    keyed = df.withColumn("_key", key)
+    groups = [group] if isinstance(group, str) else group
+    slot = F.floor(F.col("_key") / F.lit(span))
+    return running_total(keyed, groups, slot, [F.col("_key")], F.lit(1), name).drop("_key")
+
+
 def head_rows(df: DataFrame, group: str, order: list[Column], n: int, name: str = "line_no") -> DataFrame:
     """The first ``n`` rows of each group, numbered.
 

@@ -205,7 +205,7 @@ def save_workbooks(spark: SparkSession, books: DataFrame, folder: str, overwrite
     if overwrite:
         named = wanted.withColumn("name", F.concat("base", "extension"))
     else:
-        named = free_names(wanted, _listing(spark, folder), "path")
+        named = free_names(wanted.withColumn("key", F.concat_ws("#", "path", "chunk")), _listing(spark, folder), "key")
     plan = checked_broadcast(materialize(named.select("path", "chunk", "name")))
     return write_files(books.join(plan, ["path", "chunk"]).select("name", "content"), folder)
 

@@ -10,10 +10,13 @@ from rowloom.functions.charset import BOM, CP1252, LATIN1, LATIN9, UTF8, encode_
 from rowloom.functions.refs import path_folder
 from rowloom.functions.split import line_array
 from rowloom.operators.cells import column_types
-from rowloom.plans.convert import Options, batch_report, read_text, text_to_cells
-from rowloom.plans.queries import PROFILE_REPORT, TYPE_REPORT, checksum, spread, table
-from rowloom.session import scratch_path
+from rowloom.plans.convert import (
+    Options, batch_report, convert_batch, read_text, save_workbooks, text_to_cells,
+)
+from rowloom.plans.queries import TYPE_REPORT, checksum, customer_rows, spread, table
+from rowloom.session import materialize, scratch_path
 from rowloom.sinks.text import write_lines
+from rowloom.sinks.workbooks import export_workbooks
 from rowloom.sources.tables import print_line, table_lines
 from rowloom.sources.text_files import explode_lines, list_files, read_lines
 from rowloom.streaming.watch import watch_folder
@@ -68,24 +71,23 @@ def line_file_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_by(spark: SparkSession, df: DataFrame, by: str, columns: list[str], sep: str, name: str) -> str:
-    """One folder of text files per value of ``by``."""
+    """One folder of text files per value of ``by``; each task writes its own file there."""
     target = scratch_path(spark, name)
     lines = df.select(F.col(by).alias("kind"), print_line(df, columns, sep).alias("value"))
-    lines.repartition("kind").write.partitionBy("kind").text(target)
+    lines.write.partitionBy("kind").text(target)
     return target
 
 
 def file_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as one text file per market segment, listed and profiled as files."""
+    """Customers written as text files per market segment, listed and profiled as files."""
     customer = table(spark, sf_dir, "customer")
     target = _write_by(spark, customer, "c_mktsegment", customer.columns, "|", "segments")
     source = read_text(spark, target, Options(recursive=True))
-    kinds = source.profile.select("encoding", *PROFILE_REPORT)
     listed = list_files(spark, target, recursive=True).select("path", "extension")
-    joined = kinds.join(listed, "path")
-    return joined.select(
-        _folder_name(F.col("path")).alias("segment"), "extension", "encoding", "separator",
-        "separator_probability", "start_line", "total_lines", "field_count", "is_field_count_equal",
+    segment = _folder_name(F.col("path")).alias("segment")
+    same = ["extension", "encoding", "separator", "separator_probability", "start_line", "field_count"]
+    return source.profile.join(listed, "path").groupBy(segment, *same).agg(
+        F.sum("total_lines").alias("total_lines"), F.bool_and("is_field_count_equal").alias("is_field_count_equal")
     )
 
 
@@ -129,7 +131,28 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("status", "times").agg(F.sum("total_lines").alias("lines"))
 
 
+def batch_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of suppliers as text and customers as one workbook per nation, converted in one batch."""
+    suppliers = table(spark, sf_dir, "supplier")
+    inbox, target = scratch_path(spark, "inbox"), scratch_path(spark, "converted")
+    suppliers.select(print_line(suppliers, suppliers.columns, "\t").alias("value")).write.text(inbox)
+    books = materialize(export_workbooks(customer_rows(spark, sf_dir)))
+    saved = save_workbooks(spark, books, inbox)
+    saved.write.parquet(scratch_path(spark, "saved"))
+    report = convert_batch(spark, inbox, target, Options(header=False, all_sheets=True))
+    cells = spark.read.option("basePath", f"{target}/cells").parquet(f"{target}/cells")
+    lines = spark.read.text(f"{target}/lines", lineSep="\r\n")
+    text = cells.agg(F.count(F.lit(1)).alias("items"), checksum(F.col("text")).alias("checksum"))
+    sheets = lines.agg(F.count(F.lit(1)).alias("items"), checksum(F.col("value")).alias("checksum"))
+    results = text.select(F.lit("cells").alias("output"), "*").unionByName(
+        sheets.select(F.lit("lines").alias("output"), "*")
+    )
+    failed = batch_report(report).filter(F.col("status") == "failed").select(F.lit("failed").alias("output"),
+        F.col("files").alias("items"), F.lit(0).cast("bigint").alias("checksum"))
+    return results.unionByName(failed)
+
+
 FILE_QUERIES = {
     f.__name__: f
-    for f in (charset_files, line_file_numbers, file_profiles, file_cells, file_stream, stream_report)
+    for f in (charset_files, line_file_numbers, file_profiles, file_cells, file_stream, stream_report, batch_conversion)
 }

@@ -499,5 +499,9 @@ def oracle_sql() -> dict[str, str]:
         for again in ("", " WHERE event_type = 'click'")
     )
     sql["file_stream"] = counted_kinds(dropped, "col")
+    supplier_cells = " UNION ALL ".join(f"SELECT {printed(c)} AS v FROM supplier" for c in COLUMNS["supplier"])
+    sql["batch_conversion"] = f"""
+      SELECT 'cells' AS output, count(*) AS items, {checksum('v')} AS checksum FROM ({supplier_cells})
+      UNION ALL SELECT 'lines', count(*), {checksum('line')} FROM (SELECT {line} AS line FROM customer)"""
     sql["stream_report"] = "SELECT 'ok' AS status, 1 AS times, count(*) AS lines FROM pages"
     return sql

@@ -490,7 +490,7 @@ def shared_string_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved.select("sheet", "row", "ref", "col", "kind", "text")
 
 
-def _customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers printed as text, one source per nation, as rows of typed cells."""
     customer = table(spark, sf_dir, "customer")
     path = F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string"))
@@ -502,14 +502,14 @@ def _customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workbook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers packed into one workbook per nation, unpacked, and resolved again."""
     # The parts of a workbook are read one kind at a time, so the workbooks are written first.
-    books = materialize(export_workbooks(_customer_rows(spark, sf_dir)).select("path", "content"))
+    books = materialize(export_workbooks(customer_rows(spark, sf_dir)).select("path", "content"))
     cells = workbook_cells(books)
     return cells.select("path", "sheet", "row", "col", "ref", "kind", "text", "style")
 
 
 def workbook_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same workbooks rendered as delimited text, small sheets forcing further workbooks."""
-    books = export_workbooks(_customer_rows(spark, sf_dir), rows_per_workbook=40)
+    books = export_workbooks(customer_rows(spark, sf_dir), rows_per_workbook=40)
     named = materialize(books.select(F.concat_ws("#", "path", "chunk").alias("path"), "content"))
     rows = densify(workbook_cells(named), ("path", "sheet", "row"))
     return render_lines(rows, ";", 1).select("path", "row", "line")

@@ -8,14 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rowloom.functions.refs import path_extension
 from rowloom.plans.convert import Options, convert_batch
-from rowloom.sources.text_files import TEXT_TYPES, WORKBOOK_TYPES, file_path, literal_path
+from rowloom.sources.text_files import file_path, literal_path
 
 # Time from the first new file to its conversion, and files of one batch.
 DELAY = "2 seconds"
 FILES_PER_BATCH = 1000
 
-# File types watched.
-WATCHED_TYPES = TEXT_TYPES + WORKBOOK_TYPES
+# File types watched.
+WATCHED_TYPES = (".csv", ".txt", ".xlsx")
 
 
 def arriving_files(

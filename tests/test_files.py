@@ -5,7 +5,7 @@ from rowloom.functions.charset import CHARSETS, decode_raw, encode_raw
 from rowloom.plans.convert import Options, batch_report, convert_batch, read_text, target_paths, text_to_cells
 from rowloom.session import checked_broadcast, is_small, materialize, shared_dir
 from rowloom.sinks.text import write_lines
-from rowloom.sources.text_files import list_files, literal_path, read_lines
+from rowloom.sources.text_files import list_files, literal_path, read_lines, read_whole_files
 
 TEXT = "Name;Preis\nKäse ö ü ß €;5,50\nÄ;7\n"
 
@@ -132,3 +132,31 @@ def test_shared_folder_and_checked_broadcast(spark):
     assert is_small(df) and not is_small(df, 1000)
     assert "broadcast" in checked_broadcast(df)._jdf.queryExecution().logical().toString()
     assert "broadcast" not in checked_broadcast(df, 1000)._jdf.queryExecution().logical().toString()
+
+
+def test_large_files_are_not_opened_whole(spark, tmp_path):
+    (tmp_path / "small.csv").write_text("a;b\n")
+    (tmp_path / "large.csv").write_text("a;b\n" * 5000)
+    whole = read_whole_files(spark, str(tmp_path), max_bytes=1000)
+    assert [name(r["path"]) for r in whole.select("path").collect()] == ["small.csv"]
+    assert whole.rdd.getNumPartitions() == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = read_whole_files(spark, str(tmp_path), max_bytes=1000).select("lines")
+        df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert scan.metrics().apply("numFiles").value() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_typing_large_files_compiles(spark, tmp_path):
+    """Also with line numbers, charsets and profile in the same stage."""
+    (tmp_path / "a.csv").write_text("id;preis\n1;2,5\n")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cells = text_to_cells(read_text(spark, str(tmp_path), Options(whole_file_bytes=-1)))
+        stages = cells._jdf.queryExecution().debug().codegenToSeq()
+        assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -21,11 +21,13 @@ def test_each_file_once_and_as_in_a_batch(spark, tmp_path):
     (drop / "late.TXT").write_text("a;b\n1;2\n")
     (drop / "bad.xlsx").write_bytes(b"nothing")
     (drop / "skip.pdf").write_bytes(b"x")
+    (drop / "skip.log").write_text("a;b\n")
     run()
     run()
     report = tables(spark, target, "report").collect()
     assert sorted((r["path"].rsplit("/", 1)[1], r["status"]) for r in report) == [
         ("bad.xlsx", "failed"), ("f 0%+.csv", "ok"), ("f 1%+.csv", "ok"), ("f 2%+.csv", "ok"), ("late.TXT", "ok")]
+    (drop / "skip.log").unlink()
     convert_batch(spark, str(drop), str(tmp_path / "batch"))
     batch = spark.read.parquet(str(tmp_path / "batch" / "cells" / "batch_id=0"))
     streamed = tables(spark, target, "cells").select(*batch.columns)

@@ -165,6 +165,15 @@ def test_free_names(spark):
     asked = [(i, b) for i, b in enumerate(["a", "a", "a", "b", "b", "c", "b_1"])]
     requests = spark.createDataFrame(asked, "path int, base string").withColumn("extension", F.lit(".xlsx"))
     got = [r["name"] for r in free_names(requests, existing).orderBy("path").collect()]
+    none = spark.createDataFrame([], "name string")
+    asked = spark.createDataFrame([(f"k{i}", b) for i, b in enumerate(["a", "a", "a_1", "a", "a_1"])], "path string, base string")
+    names = [r["name"] for r in free_names(asked.withColumn("extension", F.lit("")), none).collect()]
+    assert sorted(names) == ["a", "a_1", "a_1_1", "a_2", "a_3"]
+    many = spark.range(3000).select(F.col("id").alias("path"), F.lit("x").alias("base"), F.lit(".c").alias("extension"))
+    odd = spark.range(0, 2000).select(F.concat(F.lit("x_"), (F.col("id") * 2 + 1).cast("string"), F.lit(".c")).alias("name"))
+    free = [r["name"] for r in free_names(many, odd).orderBy("path").collect()]
+    expected = [f"x_{n}" for n in range(2, 4000, 2)] + [f"x_{n}" for n in range(4000, 6000)]
+    assert free == ["x.c"] + [f"{n}.c" for n in expected][:2999]
     assert got == ["a_1.xlsx", "a_3.xlsx", "a_4.xlsx", "b.xlsx", "b_2.xlsx", "c.xlsx", "b_1_1.xlsx"]
 
 
