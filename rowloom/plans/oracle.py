@@ -329,13 +329,13 @@ def oracle_sql() -> dict[str, str]:
                      UNION ALL SELECT 'quoted', {quoted_line} FROM events),
       fields AS (SELECT path, {field_tokens('line', ';')} AS f FROM lines),
       sized AS (SELECT path, len(f) AS n, len(list_filter(f, lambda x: starts_with(x, '"'))) AS q FROM fields)
-      SELECT path, count(*) AS lines, min(n) AS least, max(n) AS most, min(n) = max(n) AS is_field_count_equal,
-             sum(q) AS quoted_fields FROM sized GROUP BY path"""
+      SELECT path, count(*) AS lines, CAST(min(n) AS INTEGER) AS least, CAST(max(n) AS INTEGER) AS most, min(n) = max(n) AS is_field_count_equal,
+             CAST(sum(q) AS BIGINT) AS quoted_fields FROM sized GROUP BY path"""
     sql["split_documents"] = f"""
       WITH {profile(DOCUMENT_LINES)},
       raw AS (SELECT path, separator, unnest({tokens('line')}) AS t FROM lines JOIN (SELECT path, separator FROM separated) USING (path)),
       vals AS (SELECT path, starts_with(t, '"') AS q, {token_value('t')} AS v FROM raw)
-      SELECT path, count(*) AS fields, count(*) FILTER (q) AS quoted_fields, sum(length(v)) AS chars,
+      SELECT path, count(*) AS fields, count(*) FILTER (q) AS quoted_fields, CAST(sum(length(v)) AS BIGINT) AS chars,
              {checksum('v')} AS checksum FROM vals GROUP BY path"""
     event_texts = ", ".join(f"{printed(c)} AS {c}" for c in COLUMNS["events"])
     sql["split_roundtrip"] = " UNION ALL ".join(f"SELECT {m} AS mode, {event_texts} FROM events" for m in (1, 2))
@@ -371,7 +371,7 @@ def oracle_sql() -> dict[str, str]:
       WITH words AS ({words.format('documents')}),
       counted AS (SELECT name, count(*) AS n FROM words WHERE name <> '' GROUP BY name),
       ruled AS (SELECT name, n, {is_header('name')} AS is_header, {override('name')} AS data_type FROM counted)
-      SELECT data_type, is_header, count(*) AS names, sum(n) AS words, {checksum('name')} AS checksum
+      SELECT data_type, is_header, count(*) AS names, CAST(sum(n) AS BIGINT) AS words, {checksum('name')} AS checksum
       FROM ruled GROUP BY data_type, is_header"""
     sql["rule_join"] = f"""
       SELECT DISTINCT name, {override('name')} AS data_type FROM ({words.format('conversations')}) WHERE name <> ''"""
@@ -379,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
     charge = "l_extendedprice * (1 - l_discount)"
     sql["german_numbers"] = f"""
       SELECT l_returnflag, count(*) AS prices, count(*) FILTER (l_extendedprice = floor(l_extendedprice)) AS whole,
-             sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS total,
+             CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total,
              {checksum(half_up_text('l_extendedprice'))} AS exported,
              {checksum(f"replace({half_up_text('l_extendedprice')}, ',', '.')")} AS stored,
              {checksum(half_up_text(charge))} AS charges
@@ -478,15 +478,15 @@ def oracle_sql() -> dict[str, str]:
       SELECT p_partkey, a.p_name || '_' || i || '.xlsx' AS name FROM asked a JOIN free f ON a.p_name = f.p_name AND a.k = f.k"""
     sql["charset_files"] = f"""
       WITH lines AS ({DOCUMENT_LINES})
-      SELECT charset, count(*) AS lines, sum(length(line)) AS chars, {checksum('line')} AS checksum
+      SELECT charset, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, {checksum('line')} AS checksum
       FROM lines, (VALUES ('UTF-8'), ('windows-1252'), ('ISO-8859-1'), ('ISO-8859-15')) c(charset) GROUP BY charset"""
     sql["line_file_numbers"] = f"""
-      SELECT event_type, count(*) AS lines, sum(event_id) AS ids, count(*) AS numbers,
+      SELECT event_type, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS ids, count(*) AS numbers,
              {checksum(f"concat_ws(';', event_id, user_id, {two_places('value')})")} AS checksum
       FROM events GROUP BY event_type"""
     sql["file_profiles"] = """
       SELECT c_mktsegment AS segment, '.txt' AS extension, 'UTF-8' AS encoding, '|' AS separator,
-             100.0::DOUBLE AS separator_probability, 1 AS start_line, count(*) AS total_lines, 5 AS field_count,
+             100.0::DOUBLE AS separator_probability, CAST(1 AS BIGINT) AS start_line, count(*) AS total_lines, 5 AS field_count,
              TRUE AS is_field_count_equal FROM customer GROUP BY c_mktsegment"""
     per_status = " UNION ALL ".join(
         f"SELECT o_orderstatus AS path, {i} AS col, {printed(c)} AS v, 'Auto' AS o FROM orders"
@@ -503,5 +503,5 @@ def oracle_sql() -> dict[str, str]:
     sql["batch_conversion"] = f"""
       SELECT 'cells' AS output, count(*) AS items, {checksum('v')} AS checksum FROM ({supplier_cells})
       UNION ALL SELECT 'lines', count(*), {checksum('line')} FROM (SELECT {line} AS line FROM customer)"""
-    sql["stream_report"] = "SELECT 'ok' AS status, 1 AS times, count(*) AS lines FROM pages"
+    sql["stream_report"] = "SELECT 'ok' AS status, CAST(1 AS BIGINT) AS times, count(*) AS lines FROM pages"
     return sql

@@ -22,7 +22,9 @@ def print_value(df: DataFrame, name: str) -> Column:
     col = F.col(name)
     if data_type in ("double", "float"):
         return col.cast("decimal(18,2)").cast("string")
-    if data_type.startswith("timestamp"):
+    if data_type == "timestamp_ntz":
+        return F.left(col.cast("string"), F.lit(19))
+    if data_type == "timestamp":
         return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     if data_type == "date":
         return F.date_format(col, "yyyy-MM-dd")
