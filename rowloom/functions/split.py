@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Separators tried in auto mode, in order of preference, and one that can be forced.
 AUTO_SEPARATORS = (",", ";", "\t", "|")
 FORCED_SEPARATORS = (":",)
-ALL_SEPARATORS = AUTO_SEPARATORS + FORCED_SEPARATORS
 
 # The separator column holds this when no separator was found: the whole line is one field.
 NO_SEPARATOR = ""

@@ -41,10 +41,11 @@ def profile_heads(
     separator: str | None = None,
     header: bool | None = None,
     rules: Rules = DEFAULT_RULES,
+    candidates: tuple[str, ...] = AUTO_SEPARATORS,
 ) -> DataFrame:
     """Profile each row by its ``head``, the array of its first lines. No shuffle.
 
-    ``separator`` and ``header`` override what would be found. ``total`` names the column with
+    ``separator`` and ``header`` override what would be found among the ``candidates``. ``total`` names the column with
     the number of lines of the whole source. ``overrides`` holds the type asked for by each
     header name.
     """
@@ -61,7 +62,7 @@ def profile_heads(
     out = out.withColumn("_second", F.when(first_at > 0, F.coalesce(F.get(later, 0), F.lit(""))).otherwise(""))
 
     if separator is None:
-        out = _found_separator(out)
+        out = _found_separator(out, candidates)
     else:
         out = out.withColumn("separator", F.lit(separator)).withColumn("separator_probability", F.lit(100.0))
 
@@ -88,18 +89,19 @@ def profile_heads(
     )
 
 
-def _found_separator(df: DataFrame) -> DataFrame:
+def _found_separator(df: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
     """Most frequent candidate, the earlier one on a tie, and its share in percent."""
     counted = F.when(F.col("start_line") > 0, F.array_join("_content", "\n")).otherwise("")
     df = df.withColumn("_text", counted)
-    # One struct, so that the four counts are worked out once per source.
+    # One struct, so that the counts are worked out once per source.
     df = df.withColumn(
-        "_n", F.struct(*[separator_count(F.col("_text"), s).alias(f"c{i}") for i, s in enumerate(AUTO_SEPARATORS)])
+        "_n", F.struct(*[separator_count(F.col("_text"), s).alias(f"c{i}") for i, s in enumerate(candidates)])
     )
-    counts = [F.col(f"_n.c{i}") for i in range(len(AUTO_SEPARATORS))]
-    df = df.withColumn("_best", F.greatest(*counts)).withColumn("_sum", sum(counts[1:], counts[0]))
+    counts = [F.col(f"_n.c{i}") for i in range(len(candidates))]
+    best = F.greatest(*counts) if len(counts) > 1 else counts[0]
+    df = df.withColumn("_best", best).withColumn("_sum", sum(counts[1:], counts[0]))
     chain = F.when(F.col("_best") == 0, NO_SEPARATOR)
-    for count, s in zip(counts, AUTO_SEPARATORS):
+    for count, s in zip(counts, candidates):
         chain = chain.when(count == F.col("_best"), s)
     share = F.when(F.col("_sum") > 0, F.col("_best") / F.col("_sum") * 100).otherwise(F.lit(0.0))
     return (
@@ -142,6 +144,7 @@ def profile_files(
     analyze_lines: int = ANALYZE_LINES,
     rules: Rules = DEFAULT_RULES,
     totals: DataFrame | None = None,
+    candidates: tuple[str, ...] = AUTO_SEPARATORS,
 ) -> DataFrame:
     """One profile per ``path`` of ``lines(path, line_no, line)``.
 
@@ -161,5 +164,5 @@ def profile_files(
         )
     ordered = F.transform(F.array_sort(F.coalesce("_lines", F.array())), lambda x: x["line"])
     heads = heads.select("path", ordered.alias("_head"), "_total")
-    profiled = profile_heads(heads, "_head", "_total", separator, header, rules)
+    profiled = profile_heads(heads, "_head", "_total", separator, header, rules, candidates)
     return profiled.select("path", *PROFILE_COLUMNS)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.charset import UTF8
+from rowloom.functions.split import AUTO_SEPARATORS
 from rowloom.functions.refs import output_path, path_base, path_extension, safe_sheet_name
 from rowloom.operators.cells import to_cells, with_profile, with_typed_fields
 from rowloom.operators.densify import densify, render_lines
@@ -37,6 +38,7 @@ class Options:
 
     encoding: str | None = None
     separator: str | None = None
+    candidates: tuple[str, ...] = AUTO_SEPARATORS
     header: bool | None = None
     analyze_lines: int = ANALYZE_LINES
     date_order: str = "dmy"
@@ -75,7 +77,9 @@ def read_text(spark: SparkSession, paths: str | list[str], options: Options = Op
     size, types = options.whole_file_bytes, TEXT_TYPES
     whole = read_whole_files(spark, paths, options.encoding, types, size, options.recursive)
     heads = whole.withColumn("_head", F.slice("lines", 1, options.analyze_lines)).withColumn("_total", F.size("lines"))
-    small = profile_heads(heads, "_head", "_total", options.separator, options.header, options.rules)
+    small = profile_heads(
+        heads, "_head", "_total", options.separator, options.header, options.rules, options.candidates
+    )
     profile = small.select("path", *SETTINGS)
     readable = small.filter(~F.col("utf16"))
     lines = explode_lines(readable.select("path", "lines", "separator", "start_line", "overrides"))
@@ -93,7 +97,7 @@ def read_text(spark: SparkSession, paths: str | list[str], options: Options = Op
     large = materialize(
         profile_files(
             head, options.separator, options.header, options.analyze_lines, options.rules,
-            totals=files.select("path", "total_lines"),
+            totals=files.select("path", "total_lines"), candidates=options.candidates,
         ).join(files.drop("total_lines"), "path").select("path", *SETTINGS)
     )
     readable = large.filter(~F.col("utf16"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions.charset import BOM, CP1252, LATIN1, LATIN9, UTF8, encode_raw
+from rowloom.functions.charset import CP1252, LATIN1, LATIN9, UTF8, encode_raw
 from rowloom.functions.refs import path_folder
 from rowloom.functions.split import line_array
 from rowloom.operators.cells import column_types

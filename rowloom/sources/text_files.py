@@ -59,13 +59,13 @@ def _reader(spark: SparkSession, recursive: bool):
     return spark.read.option("recursiveFileLookup", str(recursive).lower())
 
 
-def detected_encoding(valid_utf8: Column, given: str | None) -> Column:
-    """The given charset, else UTF-8 if the bytes are valid UTF-8, else the fallback."""
-    if given is not None:
-        if given not in cs.CHARSETS:
-            raise ValueError(f"charset is one of {', '.join(cs.CHARSETS)}")
-        return F.lit(given)
-    return F.when(valid_utf8, cs.UTF8).otherwise(cs.FALLBACK)
+def detected_encoding(marked: Column, valid_utf8: Column, given: str | None) -> Column:
+    """UTF-8 if a byte order mark says so, else the given charset, else UTF-8 if the bytes are valid
+    UTF-8, else the fallback."""
+    if given is not None and given not in cs.CHARSETS:
+        raise ValueError(f"charset is one of {', '.join(cs.CHARSETS)}")
+    found = F.when(valid_utf8, cs.UTF8).otherwise(cs.FALLBACK) if given is None else F.lit(given)
+    return F.when(marked, cs.UTF8).otherwise(found)
 
 
 def read_whole_files(
@@ -83,7 +83,7 @@ def read_whole_files(
         .select(file_path().alias("path"), F.col("value").alias("_raw"))
     )
     decoded = (
-        raw.withColumn("encoding", detected_encoding(F.is_valid_utf8("_raw"), encoding))
+        raw.withColumn("encoding", detected_encoding(cs.has_utf8_bom(F.col("_raw")), F.is_valid_utf8("_raw"), encoding))
         .withColumn("utf16", cs.has_utf16_bom(F.col("_raw")))
         .withColumn("_text", cs.strip_bom(cs.decode_raw(F.col("_raw"), F.col("encoding"))))
     )
@@ -137,14 +137,16 @@ def block_table(scan: DataFrame, encoding: str | None = None) -> DataFrame:
     )
     whole = Window.partitionBy("path")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    utf16 = (F.col("block") == 0) & F.hex("start").isin("FFFE", "FEFF")
+    utf16 = (F.col("block") == 0) & cs.has_utf16_bom(F.col("start"))
+    # The line reader has dropped a UTF-8 mark already, so here a given charset is taken as it is.
+    marked = F.lit(False)
     return blocks.select(
         "path",
         "block",
         "first_seq",
         "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"),
-        detected_encoding(F.bool_and("valid").over(whole), encoding).alias("encoding"),
+        detected_encoding(marked, F.bool_and("valid").over(whole), encoding).alias("encoding"),
         F.bool_or(utf16).over(whole).alias("utf16"),
         F.sum("n").over(whole).alias("total_lines"),
     )

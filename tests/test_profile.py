@@ -61,6 +61,8 @@ def test_edges(spark):
 def test_given_options(spark):
     p = profiles(spark, {"a": "x:y\n1:2\n"}, separator=":", header=False)["a"]
     assert (p["separator"], p["separator_probability"], p["field_count"], p["has_header"]) == (":", 100.0, 2, False)
+    r = profiles(spark, {"a": "x:y;z\n1:2,3\n"}, candidates=(":", "#"))["a"]
+    assert (r["separator"], r["separator_probability"], r["field_count"]) == (":", 100.0, 2)
     q = profiles(spark, {"a": "1;2\n3;4\n"}, header=True, analyze_lines=1)["a"]
     assert q["header_names"] == ["1", "2"] and q["analyzed_lines"] == 1 and q["total_lines"] == 2
 
