@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.text import CodePoints, map_batches, text_slices
@@ -153,40 +153,51 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
     return LanguageModel(tuple(r["lang"] for r in learned), vectors / np.where(norms == 0, 1, norms), seed)
 
 
+def judge(model: LanguageModel, space: LetterSpace, texts: list[str]) -> list[tuple[str, float]]:
+    """Language and score of each text."""
+    out: list[tuple[str, float]] = []
+    for first, end in text_slices(texts):
+        vectors = space.bundle(texts[first:end])
+        norms = np.linalg.norm(vectors, axis=1)
+        if not model.languages:
+            out += [(UNDETERMINED, 0.0)] * (end - first)
+            continue
+        cosines = vectors @ model.prototypes.T / np.where(norms == 0, 1, norms)[:, None]
+        best = cosines.argmax(axis=1)
+        top = np.clip(cosines[np.arange(end - first), best], 0, 1)
+        out += [
+            (model.languages[b], float(c)) if n > 0 else (UNDETERMINED, 0.0) for b, c, n in zip(best, top, norms)
+        ]
+    return out
+
+
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` in place of the text column; no shuffle."""
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = LetterSpace(model.dimensions, model.seed)
         for batch in batches:
-            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
-            names, scores = [], []
-            for first, end in text_slices(texts):
-                vectors = space.bundle(texts[first:end])
-                norms = np.linalg.norm(vectors, axis=1)
-                if model.languages:
-                    cosines = vectors @ model.prototypes.T / np.where(norms == 0, 1, norms)[:, None]
-                    best = cosines.argmax(axis=1)
-                    top = np.clip(cosines[np.arange(end - first), best], 0, 1)
-                for i in range(end - first):
-                    found = bool(model.languages) and norms[i] > 0
-                    names.append(model.languages[best[i]] if found else UNDETERMINED)
-                    scores.append(float(top[i]) if found else 0.0)
+            judged = judge(model, space, [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()])
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*columns, pa.array([x for x, _ in judged], pa.string()), pa.array([x for _, x in judged], pa.float64())],
                 names=[*kept, "lang_pred", "score"],
             )
 
     rows = docs.select(*kept, F.col(text).alias("_llm_input"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_batches(rows, judge, f"{fields}{', ' if kept else ''}lang_pred string, score double")
+    return map_batches(rows, work, f"{fields}{', ' if kept else ''}lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, min_score: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least ``min_score``, all columns kept."""
-    names = docs.columns
-    judged = predict(docs.withColumn("_llm_text", F.col(text)), model, text)
-    kept: list[Column] = [F.col("_llm_text").alias(text) if c == text else F.col(c) for c in names]
-    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*kept)
+    """The rows of ``docs`` whose language is determined with at least ``min_score``, all columns kept; no shuffle."""
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = LetterSpace(model.dimensions, model.seed)
+        for batch in batches:
+            judged = judge(model, space, [x or "" for x in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array([name != UNDETERMINED and score >= min_score for name, score in judged], pa.bool_()))
+
+    return map_batches(docs, keep, docs.schema)

@@ -332,3 +332,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     least = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     named = written(rooted.join(least, "root").select("fp0", "fp1", "component_id"), "classes")
     return made.join(named, ["fp0", "fp1"]).select(key, F.col("fp0").alias("fp"), "component_id")
+
+
+def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay: of each class in ``found`` (of :func:`classes`) the row with the smallest key.
+
+    All columns are kept. Of repeated rows of one key a single one stays; a null key stays if its class has no
+    other, one row per class.
+    """
+    least = found.select(F.col(key).alias("_llm_key"), "fp", "component_id").filter(F.col("_llm_key").eqNullSafe(F.col("component_id")))
+    counted = written(least.groupBy("_llm_key").agg(F.count(F.lit(1)).alias("_llm_rows")), "representatives")
+    same = F.col(key).eqNullSafe(F.col("_llm_key"))
+    single = docs.join(counted.filter("_llm_rows = 1").select("_llm_key"), same, "left_semi")
+    repeated = docs.join(counted.filter("_llm_rows > 1").select("_llm_key"), same, "left_semi")
+    keys = repeated.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    nulls = repeated.filter(F.col(key).isNull()).distinct()
+    return single.unionByName(keys).unionByName(nulls)

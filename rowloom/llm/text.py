@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code points that are worked on at once: bounds the memory of a task.
 CHUNK = 1 << 20
@@ -33,7 +34,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
+                schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over small batches."""
     small_batches(df.sparkSession)
     return df.mapInArrow(work, schema)
