@@ -17,7 +17,7 @@ def plain(value):
     return str(value.normalize()) if hasattr(value, "normalize") else value
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_same_as_sql(spark, name):
     import duckdb
 
