@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.components import written
 from rowloom.llm.text import map_batches
-from rowloom.llm.token_store import WordTokenizer
+from rowloom.llm.token_store import worker_tokenizer
 from rowloom.session import checked_broadcast
 
 NAME_BYTES = 16
@@ -58,7 +58,7 @@ class Codec:
     """Texts to ids and back."""
 
     def __init__(self, vocabulary: str | None) -> None:
-        self.words = WordTokenizer(vocabulary) if vocabulary else None
+        self.words = worker_tokenizer(vocabulary) if vocabulary else None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.words:

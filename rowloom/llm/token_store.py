@@ -6,7 +6,7 @@ size. Shards follow each other in ascending key order (null first, ties by text)
 place of a document is found by select on the boundary code, without a table of 64-bit offsets.
 
 Tokenizing: byte-level BPE never joins across a single blank between two characters that are no white space,
-so a text is cut there, every different word is encoded once per task and looked up afterwards. The result
+so a text is cut there, and a word that a worker has met is looked up instead of encoded again. The result
 is that of encoding the whole text at once. The vocabulary file is named by a path; tasks read it there.
 
 Defined results: a null text is empty, an empty text is the end id alone. Repeated keys are rows of their own.
@@ -34,8 +34,8 @@ from rowloom.session import scratch_path
 
 END_ID = 2
 SHARD_IDS = 1 << 24
-KNOWN_WORDS = 1 << 18  # different words a task remembers
-JOINED = 64  # words encoded in one call
+KNOWN_WORDS = 1 << 20  # different words a Python worker remembers
+JOINED = 256  # words encoded in one call
 READ_IDS = 1 << 20  # ids of a shard that a reader holds
 MAGIC = b"RLTOKEF1"
 # width of an id, documents, documents with null key, ids, first key, offset of the boundaries, of the keys, magic
@@ -60,7 +60,6 @@ class WordTokenizer:
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
         self.known = known
-        self.odd = re.compile(r"\s |^ | $| \s")
         self.blank = re.compile(r"(?<=\S) (?=\S)")
         self._forget()
 
@@ -68,50 +67,74 @@ class WordTokenizer:
         self.words: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.odd = np.zeros(0, bool)  # words that may not be encoded by themselves
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words, each with the blank before it."""
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        other = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        parts, lengths = [], []
+        """Encode new words without blanks in them, each with the blank before it."""
+        odd = [w for w in words if not w or w.strip() != w]
+        plain = [w for w in words if w and w.strip() == w] if odd else words
+        parts, lengths = [], [np.zeros(len(odd), np.int64)]
         for first in range(0, len(plain), JOINED):
-            group = plain[first : first + JOINED]
-            ids = self._raw([" " + " ".join(group)])[0]
-            ends = np.cumsum(self.bytes_of[ids])
-            stops = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in group), np.int64, len(group)))
-            cuts = np.searchsorted(ends, stops) + 1
+            joined = " " + " ".join(plain[first : first + JOINED])
+            data = np.frombuffer(joined.encode(), np.uint8)
+            stops = np.append(np.flatnonzero(data == 32)[1:], len(data))
+            ids = self._raw([joined])[0]
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), stops) + 1
             parts.append(ids)
             lengths.append(np.diff(cuts, prepend=0))
-        for ids in self._raw([" " + w for w in other]):
-            parts.append(ids)
-            lengths.append(np.array([len(ids)]))
-        for word in plain + other:
-            self.words[word] = len(self.words)
+        self.words.update(zip(odd + plain, range(len(self.words), len(self.words) + len(words))))
         self.ids = np.concatenate([self.ids, *parts])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))])
+        self.odd = np.concatenate([self.odd, np.arange(len(words)) < len(odd)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces, counts = [], []
-        for text in texts:
-            cut = self.blank.split(text) if self.odd.search(text) else text.split(" ")
-            counts.append(len(cut) - 1)
-            pieces.append(cut)
-        firsts = self._raw([p[0] for p in pieces])
+        pieces = [text.split(" ") for text in texts]
         words = [w for p in pieces for w in p[1:]]
         if len(self.words) > self.known:
             self._forget()
-        new = dict.fromkeys(w for w in words if w not in self.words)
-        if new:
+        if new := set(words).difference(self.words):
             self._learn(list(new))
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         lengths = self.ends[at + 1] - self.ends[at]
         stops = np.cumsum(lengths)
         flat = self.ids[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.ends[at] - stops + lengths, lengths)]
-        ends = np.concatenate([[0], stops])[np.cumsum([0, *counts])]
-        return [np.concatenate([f, flat[s:e]]) for f, s, e in zip(firsts, ends[:-1], ends[1:])]
+        counts = np.cumsum([0, *(len(p) - 1 for p in pieces)])
+        ends = np.concatenate([[0], stops])[counts]
+        odd = np.concatenate([[0], np.cumsum(self.odd[at])])[counts]
+        firsts = self._raw([p[0] for p in pieces])
+        out = []
+        for i, (text, first) in enumerate(zip(texts, firsts)):
+            if odd[i] < odd[i + 1] or pieces[i][0] != pieces[i][0].strip() or (not pieces[i][0] and text):
+                # other white space beside a blank: cut at the safe blanks only, without remembering
+                out.append(np.concatenate(self._raw(self._cut(text))))
+            else:
+                out.append(np.concatenate([first, flat[ends[i] : ends[i + 1]]]))
+        return out
+
+    def _cut(self, text: str) -> list[str]:
+        """Pieces of bounded size where possible, each with the blank before it."""
+        parts, joined, size = [], [], 0
+        for k, piece in enumerate(self.blank.split(text)):
+            joined.append(" " + piece if k else piece)
+            size += len(piece) + 1
+            if size > 4096:
+                parts.append("".join(joined))
+                joined, size = [], 0
+        return [*parts, "".join(joined)]
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python worker, with the words it has met: Spark reuses workers for many tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_rowloom_worker", types.ModuleType("_rowloom_worker")).__dict__
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 class ShardWriter:
@@ -195,7 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, target: str | None = None, key
         part, words, shard, done = TaskContext.get().partitionId(), None, None, []
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            words = words or WordTokenizer(tokenizer)
+            words = words or worker_tokenizer(tokenizer)
             width = 2 if max(words.size, end_id + 1) <= 1 << 16 else 4
             for first, end in text_slices(texts):
                 for key_, ids in zip(keys[first:end], words.encode(texts[first:end])):
