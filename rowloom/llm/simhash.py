@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +42,25 @@ SPLIT_BITS = 4  # levels walked at once when a piece is cut
 
 @dataclass(frozen=True)
 class Fingerprint:
-    """How texts are fingerprinted: shingles of ``words`` words."""
+    """How texts are fingerprinted: shingles of ``words`` words, or the different ``long`` words alone.
+
+    Frequent words are short; without them and without repeats, texts of one language have little in common.
+    """
 
     words: int = 3
+    long: int = 0  # bytes of a long word; 0: all words and repeats
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def fingerprint(text: str | None, words: int = 3, long: int = 0) -> int:
     """The fingerprint of one text."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
     if not parts:
         return 0
+    if long:
+        different = set(parts)
+        parts = [w for w in different if len(w) >= long] or list(different)
     plain = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
@@ -77,7 +85,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, kinds: list[Fingerprint])
         for batch in batches:
             texts = batch.column(1).to_pylist()
             made = [
-                pa.array(np.array([fingerprint(x, k.words) for x in texts], np.uint64).view(np.int64)) for k in kinds
+                pa.array(np.array([fingerprint(x, k.words, k.long) for x in texts], np.uint64).view(np.int64)) for k in kinds
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, *names])
 
@@ -200,10 +208,6 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _ball(bits: int, radius: int) -> list[int]:
-    return [x for x in range(1 << bits) if x.bit_count() <= radius]
-
-
 def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_rows: int = CELL) -> DataFrame:
     """A spanning forest ``(a, b)`` of the links between ``points(id, fp[, check])``, fp distinct per id."""
     blocks = max_bits + 1
@@ -228,24 +232,28 @@ def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_
                 )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        balls = {r: np.array(_ball(SPLIT_BITS, r), np.uint64) for r in range(max_bits + 1)}
         for batch in batches:
-            rows = batch.to_pydict()
-            out: dict[str, list] = {k: [] for k in rows}
-            for cell, side, depth, budget, value, key, check in zip(*rows.values()):
-                bits = min(SPLIT_BITS, BITS - depth)
-                own = ((value & (2**64 - 1)) >> (BITS - depth - bits)) & ((1 << bits) - 1)
-                for flip in balls[budget].tolist():
-                    other = own ^ flip
-                    if other >> bits:
-                        continue
-                    x, y = (other, own) if side == 2 or (side == 0 and other < own) else (own, other)
-                    new_side = 0 if side == 0 and x == y else side or (1 if own == x else 2)
-                    for name, v in zip(out, (f"{cell}/{x:x}.{y:x}", new_side, depth + bits,
-                                             budget - flip.bit_count(), value, key, check)):
-                        out[name].append(v)
-            if out["cell"]:
-                yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
+            cell = batch.column(0)
+            side, depth, budget = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            value = batch.column(4).to_numpy().view(np.uint64)
+            bits = np.minimum(SPLIT_BITS, BITS - depth)
+            below = (BITS - depth - bits).astype(np.uint64)
+            own = ((value >> below) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            for flip in range(1 << SPLIT_BITS):
+                rows = np.flatnonzero((budget >= flip.bit_count()) & (flip < (1 << bits)))
+                if not len(rows):
+                    continue
+                mine, other, old = own[rows], own[rows] ^ flip, side[rows]
+                right = (old == 2) | ((old == 0) & (other < mine))
+                x, y = np.where(right, other, mine), np.where(right, mine, other)
+                new = np.where(old != 0, old, 0 if flip == 0 else np.where(right, 2, 1))
+                name = pa.array([f"/{a:x}.{b:x}" for a, b in zip(x.tolist(), y.tolist())])
+                yield pa.RecordBatch.from_arrays(
+                    [pc.binary_join_element_wise(cell.take(pa.array(rows)), name, ""), pa.array(new.astype(np.int32)),
+                     pa.array((depth + bits)[rows].astype(np.int32)), pa.array((budget[rows] - flip.bit_count()).astype(np.int32)),
+                     *(batch.column(i).take(pa.array(rows)) for i in (4, 5, 6))],
+                    names=["cell", "side", "depth", "budget", "value", "id", "check"],
+                )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by cell, side and unsigned value; whole cells are gathered to a bounded number.
@@ -290,6 +298,7 @@ def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_
 
     rows = points.select("id", "fp", F.col("check") if "check" in points.columns else F.lit(0).cast("bigint").alias("check"))
     work = map_batches(rows, deal, cells_schema)
+    parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = None
     while work is not None:
         sizes = work.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("depth").alias("at"))
@@ -299,8 +308,8 @@ def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_
         else:
             # A large piece has many rows, so there are few of them: at most all rows / cell_rows.
             small = work.join(large, "cell", "left_anti")
-            work = written(map_batches(work.join(large, "cell", "left_semi").select(*_columns(cells_schema)), cut,
-                                       cells_schema), "cells")
+            rest = work.join(large, "cell", "left_semi").select(*_columns(cells_schema)).repartition(parts)
+            work = written(map_batches(rest, cut, cells_schema), "cells")
         # The sign bit flipped makes the order of signed numbers that of unsigned ones.
         order = F.col("value").bitwiseXOR(F.lit(-(2**63)).cast("bigint"))
         dealt = small.select(*_columns(cells_schema)).repartition("cell").sortWithinPartitions("cell", "side", order)
@@ -314,9 +323,9 @@ def _columns(schema: str) -> list[str]:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2,
-            check_words: int | None = None, check_bits: int = 12) -> DataFrame:
+            long: int = 0, check_words: int | None = None, check_bits: int = 13) -> DataFrame:
     """``(key, fp, component_id)`` for every row: its fingerprint, and the smallest key it is linked to."""
-    kinds = [Fingerprint(words)] + ([Fingerprint(check_words)] if check_words else [])
+    kinds = [Fingerprint(words, long)] + ([Fingerprint(check_words)] if check_words else [])
     made = written(fingerprints(docs, key, text, kinds), "fingerprints")
     if not check_words:
         made = made.withColumn("fp1", F.lit(0).cast("bigint"))
