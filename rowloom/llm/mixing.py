@@ -29,7 +29,7 @@ from rowloom.session import checked_broadcast
 
 LIMIT = 3
 CYCLE = (1, 2, 3)
-SLOT_ROWS = 4096
+SLOT_ROWS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 

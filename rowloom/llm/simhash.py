@@ -351,9 +351,11 @@ def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> D
     """
     least = found.select(F.col(key).alias("_llm_key"), "fp", "component_id").filter(F.col("_llm_key").eqNullSafe(F.col("component_id")))
     counted = written(least.groupBy("_llm_key").agg(F.count(F.lit(1)).alias("_llm_rows")), "representatives")
-    same = F.col(key).eqNullSafe(F.col("_llm_key"))
-    single = docs.join(counted.filter("_llm_rows = 1").select("_llm_key"), same, "left_semi")
-    repeated = docs.join(counted.filter("_llm_rows > 1").select("_llm_key"), same, "left_semi")
+    # The texts are dealt by key once, at any size; which rows stay is too much to be broadcast.
+    joined = docs.join(counted.hint("merge"), F.col(key).eqNullSafe(F.col("_llm_key")))
+    single = joined.filter("_llm_rows = 1").select(*[docs[c] for c in docs.columns])
+    if counted.filter("_llm_rows > 1").isEmpty():
+        return single
+    repeated = joined.filter("_llm_rows > 1").select(*[docs[c] for c in docs.columns])
     keys = repeated.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    nulls = repeated.filter(F.col(key).isNull()).distinct()
-    return single.unionByName(keys).unionByName(nulls)
+    return single.unionByName(keys).unionByName(repeated.filter(F.col(key).isNull()).distinct())
