@@ -92,7 +92,7 @@ def stored_kind(cell_type: Column, value: Column, num: Column, is_date: Column)
         F.when(value.isNull(), "empty")
         .when(cell_type.isin(SHARED, STRING), "text")
         .when(cell_type == BOOLEAN, "boolean")
-        .when(num.isNull(), F.when(is_date, "date").otherwise("text"))
+        .when(num.isNull(), "text")
         .when(is_date & serial_in_range(num), "date")
         .otherwise("number")
     )

@@ -27,7 +27,7 @@ from rowloom.sources.text_files import (
     list_files,
     number_lines,
     read_whole_files,
-    scan_lines,
+    stored_scan,
 )
 from rowloom.sources.workbooks import read_workbooks, workbook_cells, workbook_status
 
@@ -84,7 +84,7 @@ def read_text(spark: SparkSession, paths: str | list[str], options: Options = Op
     readable = small.filter(~F.col("utf16"))
     lines = explode_lines(readable.select("path", "lines", "separator", "start_line", "overrides"))
 
-    scan = scan_lines(spark, paths, types, size, options.recursive)
+    scan = stored_scan(spark, paths, types, size, options.recursive)
     blocks = materialize(block_table(scan, options.encoding))
     if blocks.isEmpty():
         return TextSource(profile, lines)

@@ -27,10 +27,14 @@ def write_lines(
     name gives the whole text, and a large output is written by many tasks.
     """
     by = by or []
-    ordered = lines.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
     value = F.col("line")
+    if bom and encoding == UTF8:  # before the first row there is, which need not be row 1
+        output = by or [F.lit(0).alias("_output")]
+        firsts = lines.groupBy(*output).agg(F.min(F.struct(*order)).alias("_first"))  # one small row per output
+        lines = lines.withColumn("_output", F.lit(0)).join(F.broadcast(firsts) if not by else firsts, by or ["_output"])
+    ordered = lines.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
     if bom and encoding == UTF8:
-        first = F.col(order[0]) == F.lit(1)
+        first = F.struct(*order) == F.col("_first")
         value = F.when(first, F.concat(F.lit(BOM), value)).otherwise(value)
     writer = ordered.select(*by, encode_raw(value, encoding).alias("value")).write.mode(mode)
     if by:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rowloom.functions import charset as cs
 from rowloom.functions.refs import path_extension
 from rowloom.functions.split import line_array
-from rowloom.session import checked_broadcast, materialize
+from rowloom.session import checked_broadcast, materialize, scratch_path
 
 # File types converted.
 TEXT_TYPES = (".csv", ".txt", ".log")
@@ -126,8 +126,26 @@ def scan_lines(
     )
 
 
+def stored_scan(
+    spark: SparkSession,
+    paths: str | list[str],
+    types: tuple[str, ...] = TEXT_TYPES,
+    above_bytes: int = -1,
+    recursive: bool = False,
+) -> DataFrame:
+    """:func:`scan_lines` written once to the shared folder.
+
+    Blocks and numbers come from one reading of the files: another plan of the same scan may cut the files
+    elsewhere, as the size of its splits follows the cores and settings of the moment.
+    """
+    target = scratch_path(spark, "lines")
+    scan = scan_lines(spark, paths, types, above_bytes, recursive)
+    scan.write.parquet(target)
+    return spark.read.schema(scan.schema).parquet(target)
+
+
 def block_table(scan: DataFrame, encoding: str | None = None) -> DataFrame:
-    """One row per block of :func:`scan_lines`: ``path, block, first_seq, lines_before, n,
+    """One row per block of :func:`stored_scan`: ``path, block, first_seq, lines_before, n,
     encoding, utf16, total_lines``. Summed up before the shuffle."""
     blocks = scan.groupBy("path", "block").agg(
         F.min("seq").alias("first_seq"),
@@ -182,7 +200,7 @@ def read_lines(
     """``lines(path, line_no, line)`` of text files of any size, each in its own charset."""
     whole = read_whole_files(spark, paths, encoding, types, whole_file_bytes, recursive)
     small = explode_lines(whole.select("path", "lines"))
-    scan = scan_lines(spark, paths, types, whole_file_bytes, recursive)
+    scan = stored_scan(spark, paths, types, whole_file_bytes, recursive)
     blocks = materialize(block_table(scan, encoding))
     if blocks.isEmpty():
         return small

@@ -163,3 +163,28 @@ def test_typing_large_files_compiles(spark, tmp_path):
         assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_no_line_is_lost_when_splits_change(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("".join(f"{i};x\n" for i in range(1, 20001)))
+    settings = {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "1024"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        lines = read_lines(spark, str(tmp_path / "big.txt"), whole_file_bytes=-1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        rows = lines.collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sorted((r["line_no"], r["line"]) for r in rows) == [(i, f"{i};x") for i in range(1, 20001)]
+
+
+def test_mark_is_written_before_the_first_row_there_is(spark, tmp_path):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 3, "y"), ("b", 1, "z")], "src string, row int, line string")
+    write_lines(df.filter("src = 'a'"), str(tmp_path / "one"), ["row"], bom=True)
+    first = sorted((tmp_path / "one").glob("part-*"))[0].read_bytes()
+    assert first.startswith(b"\xef\xbb\xbfx")
+    write_lines(df, str(tmp_path / "two"), ["row"], ["src"], bom=True)
+    for folder in ("src=a", "src=b"):
+        assert b"".join(p.read_bytes() for p in sorted((tmp_path / "two" / folder).glob("part-*"))).count(b"\xef\xbb\xbf") == 1
