@@ -183,7 +183,7 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
         training = part if training is None else training.unionByName(part)
     learned = training.collect()
     learned.sort(key=lambda r: (r["place"], r["ruled"], r["features"]))
-    x = np.array([r["features"] for r in learned], np.float64).reshape(len(learned), -1)
+    x = np.array([r["features"] for r in learned], np.float64).reshape(len(learned), len(lexical("")) + 2)
     trees = fit(x, np.array([r["ruled"] == BLOCK for r in learned], np.float64))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
