@@ -13,7 +13,7 @@ MIN_YEAR = 1900
 MAX_YEAR = 2100
 
 _DAY_MS = 86400000
-_TIME = r"(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?))?\s*\z"
+_TIME = r"(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?))?\s*\z"
 
 # Date patterns, and the order the groups of the second take in an ISO date.
 _YEAR_FIRST = rf"\A\s*[0-9]{{4}}([-/])[0-9]{{1,2}}\1[0-9]{{1,2}}{_TIME}"
@@ -47,9 +47,11 @@ def in_date_years(dt: Column) -> Column:
 
 
 def date_serial(dt: Column) -> Column:
-    """Whole days plus the time of day as a fraction; before day zero the fraction counts down."""
+    """Whole days plus the time of day as a fraction, to the microsecond; before day zero the fraction counts down."""
     days = F.date_diff(dt.cast("date"), F.lit(EPOCH).cast("date"))
-    part = (F.hour(dt) * 3600 + F.minute(dt) * 60 + F.second(dt)) / F.lit(86400.0)
+    moment = dt.cast("timestamp_ntz")
+    micros = (F.extract(F.lit("SECOND"), moment) * 1000000).cast("bigint")
+    part = ((F.hour(moment) * 3600 + F.minute(moment) * 60).cast("bigint") * 1000000 + micros) / F.lit(86400e6)
     return F.when(days < 0, days - part).otherwise(days + part)
 
 

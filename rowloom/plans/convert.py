@@ -29,7 +29,7 @@ from rowloom.sources.text_files import (
     read_whole_files,
     stored_scan,
 )
-from rowloom.sources.workbooks import read_workbooks, workbook_cells, workbook_status
+from rowloom.sources.workbooks import read_workbooks, stored_parts, workbook_cells, workbook_status
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,9 @@ class Options:
     recursive: bool = False
 
 
+# Characters of an output's name that are for reading: with the hash it stays below 255 bytes in any script.
+READABLE = 50
+
 SETTINGS = ("encoding", "utf16", *PROFILE_COLUMNS)
 
 
@@ -122,20 +125,23 @@ def text_to_workbooks(source: TextSource, options: Options = Options(), rows_per
     return export_workbooks(rows, rows_per_workbook)
 
 
-def workbooks_to_lines(files: DataFrame, options: Options = Options()) -> DataFrame:
+def workbooks_to_lines(files: DataFrame, options: Options = Options(), parts: DataFrame | None = None) -> DataFrame:
     """``(path, sheet, row, line)`` of ``files(path, content)``: the sheets asked for as text."""
     index = None if options.all_sheets else options.worksheet_index
-    cells = workbook_cells(files, index)
+    cells = workbook_cells(files, index, parts=parts)
     rows = densify(cells, ("path", "sheet", "ordinal", "row_seq"))
     return render_lines(rows, options.export_separator, options.quote_mode).select(
         "path", "sheet", F.col("ordinal"), (F.col("row_seq") + 1).alias("row"), "line"
     )
 
 
-def sheet_output(path: Column, sheet: Column) -> Column:
-    """Folder name for one sheet of one workbook; the hash keeps equal names of other folders apart."""
-    name = F.concat_ws("_", F.left(path_base(path), F.lit(120)), safe_sheet_name(sheet))
-    return F.concat(name, F.lit("-"), F.left(F.md5(path), F.lit(8)))
+def sheet_output(path: Column, sheet: Column, ordinal: Column) -> Column:
+    """Folder name for one sheet of one workbook.
+
+    The start of its names is there to be read; the hash of path and place of the sheet tells outputs apart.
+    """
+    name = F.concat_ws("_", path_base(path), safe_sheet_name(sheet))
+    return F.concat_ws("-", F.left(name, F.lit(READABLE)), F.md5(F.concat_ws("/", path, ordinal.cast("string"))))
 
 
 def batch_report(report: DataFrame) -> DataFrame:
@@ -170,19 +176,23 @@ def convert_batch(
         source.profile.write.mode(mode).parquet(part("profile"))
         profile = spark.read.parquet(part("profile"))
         text_to_cells(source, options).write.mode(mode).parquet(part("cells"))
-        failed = F.when(F.col("utf16"), "UTF-16 text is not read")
-        reports.append(text.select("path").join(
-            profile.select("path", failed.alias("message")), "path", "left"
-        ).withColumn("output", F.lit(part("cells"))))
+        read = text.select("path").join(profile.select("path", "utf16"), "path", "left")
+        failed = F.when(F.col("utf16").isNull(), "the file was not read").when(F.col("utf16"), "UTF-16 text is not read")
+        reports.append(read.select("path", failed.alias("message"), F.lit(part("cells")).alias("output")))
     if not books.isEmpty():
         content = read_workbooks(spark, paths, options.recursive)
+        parts = stored_parts(content)
         index = None if options.all_sheets else options.worksheet_index
         write_lines(
-            workbooks_to_lines(content, options).withColumn("output", sheet_output(F.col("path"), F.col("sheet"))),
+            workbooks_to_lines(content, options, parts).withColumn(
+                "output", sheet_output(F.col("path"), F.col("sheet"), F.col("ordinal"))
+            ),
             part("lines"), ["row"], ["output"], options.export_encoding, options.export_bom, mode=mode,
         )
-        status = workbook_status(content, index)
-        reports.append(status.select("path", "message").withColumn("output", F.lit(part("lines"))))
+        # every listed workbook has a row, whether it was read or not
+        status = books.select("path").join(workbook_status(content, index, parts), "path", "left")
+        failed = F.when(F.col("status").isNull(), "the file was not read").otherwise(F.col("message"))
+        reports.append(status.select("path", failed.alias("message"), F.lit(part("lines")).alias("output")))
     if not reports:
         empty = files.select("path", F.lit(None).cast("string").alias("message"), F.lit("").alias("output"))
         reports.append(empty)
@@ -203,25 +213,30 @@ def save_workbooks(spark: SparkSession, books: DataFrame, folder: str, overwrite
     A name that is taken gets the next free number unless ``overwrite`` is set.
     """
     books = materialize(books)
+    target = _qualified(spark, folder)
     chunk = F.when(F.col("chunk") > 0, F.concat(F.lit("-"), (F.col("chunk") + 1).cast("string"))).otherwise("")
     base = F.concat(path_base(F.col("path")), chunk)
     wanted = books.select("path", "chunk", base.alias("base"), F.lit(".xlsx").alias("extension"))
     if overwrite:
         named = wanted.withColumn("name", F.concat("base", "extension"))
     else:
-        named = free_names(wanted.withColumn("key", F.concat_ws("#", "path", "chunk")), _listing(spark, folder), "key")
+        named = free_names(wanted.withColumn("key", F.concat_ws("#", "path", "chunk")), _listing(spark, target), "key")
     plan = checked_broadcast(materialize(named.select("path", "chunk", "name")))
-    return write_files(books.join(plan, ["path", "chunk"]).select("name", "content"), folder)
+    return write_files(books.join(plan, ["path", "chunk"]).select("name", "content"), target, overwrite)
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its file system, so that tasks write to the one that is listed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
-    """``(name)`` of the files in a folder, none if it is not there yet."""
-    try:
-        found = spark.read.format("binaryFile").load(folder).select(F.col("_metadata.file_name").alias("name"))
-        found.isEmpty()
-        return found
-    except Exception:
-        return spark.createDataFrame([], "name string")
+    """``(name)`` of all files in a folder, also empty ones and those Spark does not read; none if it is not there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.listStatus(at) if system.exists(at) else []
+    return spark.createDataFrame([(f.getPath().getName(),) for f in found], "name string")
 
 
 def target_paths(files: DataFrame, folder: str | None = None) -> DataFrame:

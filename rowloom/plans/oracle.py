@@ -44,14 +44,14 @@ def lenient(v: str) -> str:
 
 def date(v: str) -> str:
     """Year first, German, or day first; NULL if it is no valid date."""
-    time = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)?"
+    time = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?"
     shape = (
         rf"^{SPACE}*([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}"
         rf"|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}|[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}"
         rf"|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}){time}{SPACE}*$"
     )
     days = ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d-%m-%Y", "%d/%m/%Y"]
-    times = ["", " %H:%M", " %H:%M:%S"]
+    times = ["", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f"]
     formats = ", ".join(literal(d + t) for d in days for t in times)
     return (
         f"CASE WHEN regexp_matches({v}, {literal(shape)}) "
@@ -134,7 +134,7 @@ def two_places(x: str) -> str:
 
 
 def moment(x: str) -> str:
-    return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
+    return f"CAST({x} AS VARCHAR)"
 
 
 COLUMNS = {
@@ -169,7 +169,7 @@ def printed_line(name: str, sep: str) -> str:
 
 
 def checksum(v: str) -> str:
-    return f"CAST(sum(CAST('0x' || substr(md5({v}), 1, 8) AS BIGINT)) AS BIGINT)"
+    return f"CAST(sum(CAST('0x' || substr(md5({v}), 1, 8) AS BIGINT)) % {1 << 61} AS BIGINT)"
 
 
 def half_up_text(x: str) -> str:
@@ -293,7 +293,7 @@ def letters(i: str) -> str:
 
 def serial(x: str) -> str:
     days = f"date_diff('day', DATE '1899-12-30', CAST({x} AS DATE))"
-    part = f"CAST(hour({x}) * 3600 + minute({x}) * 60 + second({x}) AS DOUBLE) / 86400.0::DOUBLE"
+    part = f"CAST((hour({x}) * 3600 + minute({x}) * 60) * 1000000 + microsecond({x}) AS DOUBLE) / 86400000000.0::DOUBLE"
     return f"{days} + {part}"
 
 

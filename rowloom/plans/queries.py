@@ -67,6 +67,10 @@ PROFILE_REPORT = (
 )
 
 
+# Checksums are taken modulo this number, so that a group of any size fits a whole number.
+CHECKSUM_MODULUS = 1 << 61
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
@@ -82,7 +86,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def checksum(value: Column) -> Column:
     """Sum over a group that changes with any value in it, in whatever order."""
-    return F.sum(F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("bigint"))
+    total = F.sum(F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("decimal(20,0)"))
+    return (total % F.lit(CHECKSUM_MODULUS)).cast("bigint")
 
 
 def joined(names: Column) -> Column:

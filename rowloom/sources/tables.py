@@ -17,18 +17,15 @@ def text_lines(df: DataFrame, path: Column, text: Column) -> DataFrame:
 
 
 def print_value(df: DataFrame, name: str) -> Column:
-    """A column as text: doubles with two places, times by a fixed format, the rest as it is."""
+    """A column as text that loses nothing: doubles with all their places, at least two; times with fractions."""
     data_type = dict(df.dtypes)[name]
-    col = F.col(name)
-    if data_type in ("double", "float"):
-        return col.cast("decimal(18,2)").cast("string")
-    if data_type == "timestamp_ntz":
-        return F.left(col.cast("string"), F.lit(19))
-    if data_type == "timestamp":
-        return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
-    if data_type == "date":
-        return F.date_format(col, "yyyy-MM-dd")
-    return col.cast("string")
+    text = F.col(name).cast("string")
+    if data_type not in ("double", "float"):
+        return text
+    exact = text.try_cast("decimal(38,18)")
+    digits = F.regexp_replace(exact.cast("string"), r"(\.[0-9]{2}[0-9]*?)0+\z", "$1")
+    # what 38 digits do not hold stays as Spark prints it
+    return F.when((exact.cast(data_type) == F.col(name)) & ~digits.contains("E"), digits).otherwise(text)
 
 
 def print_kind(df: DataFrame, name: str) -> Column:

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from xml.parsers.expat import ParserCreate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from rowloom.functions.cells import BOOLEAN, SHARED, STRING, is_date_format, sto
 from rowloom.functions.numbers import finite, lenient_or_overflow
 from rowloom.functions.dates import serial_date
 from rowloom.functions.refs import path_extension, ref_column
-from rowloom.session import is_small, materialize
+from rowloom.session import is_small, scratch_path
 from rowloom.sources.text_files import WORKBOOK_TYPES, file_path
 
 PART_SCHEMA = "path string, part string, entry string, seq bigint, xml string"
@@ -37,16 +38,25 @@ _BATCH = 2000
 
 
 def _elements(stream, tag: str, within: str | None) -> Iterator[str]:
-    """The XML of each ``tag`` element of a stream, read piece by piece."""
+    """The XML of each ``tag`` element of a stream, read piece by piece.
+
+    The whole stream must be well-formed, else this ends with an error.
+    """
+    check = ParserCreate()
     name = r"(?:[\w.-]+:)?" + tag
     element = re.compile(rf"<{name}(?:\s[^>]*?)?(?:/>|>.*?</{name}\s*>)".encode(), re.S)
     opening = re.compile(rf"<{name}[\s/>]".encode())
     if within is not None:
         outer = re.compile(rf"<(?:[\w.-]+:)?{within}[\s>].*?</(?:[\w.-]+:)?{within}\s*>".encode(), re.S)
-        section = outer.search(stream.read())
+        whole = stream.read()
+        check.Parse(whole, True)
+        check = None
+        section = outer.search(whole)
         stream = io.BytesIO(section.group() if section else b"")
     pending = b""
     while chunk := stream.read(_CHUNK):
+        if check is not None:
+            check.Parse(chunk, False)
         pending += chunk
         done = 0
         for match in element.finditer(pending):
@@ -55,6 +65,8 @@ def _elements(stream, tag: str, within: str | None) -> Iterator[str]:
         begun = opening.search(pending, done)
         # Keep an element that has begun, else the few bytes that may be part of its name.
         pending = pending[begun.start():] if begun else pending[max(done, len(pending) - 64):]
+    if check is not None:
+        check.Parse(b"", True)
 
 
 def _unzip_one(path: str, content: bytes, parts: tuple[str, ...]) -> Iterator[tuple]:
@@ -94,6 +106,16 @@ def workbook_parts(files: DataFrame, *parts: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(unzip, PART_SCHEMA)
 
 
+def stored_parts(files: DataFrame) -> DataFrame:
+    """:func:`workbook_parts` of all parts, unzipped once and written to the shared folder by part.
+
+    What reads one part does not touch the others, and an error in any part is known to all.
+    """
+    target = scratch_path(files.sparkSession, "parts")
+    workbook_parts(files, *ENTRIES).write.partitionBy("part").parquet(target)
+    return files.sparkSession.read.schema(PART_SCHEMA).parquet(target)
+
+
 def read_workbooks(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """``files(path, content)`` of the workbooks among the given files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
@@ -148,16 +170,16 @@ def sheet_styles(sheets: DataFrame, formats: DataFrame, format_code_check: bool
     )
 
 
-def shared_strings(files: DataFrame) -> DataFrame:
+def shared_strings(parts: DataFrame) -> DataFrame:
     """``(path, idx, shared)``: text of each shared string, all its runs joined."""
-    return workbook_parts(files, "si").filter(F.col("part") == "si").select(
+    return parts.filter(F.col("part") == "si").select(
         "path", F.col("seq").alias("idx"), F.xpath_string("xml", F.lit("/*")).alias("shared")
     )
 
 
-def stored_rows(files: DataFrame) -> DataFrame:
+def stored_rows(parts: DataFrame) -> DataFrame:
     """``(path, entry, row_seq, row, c)``: rows as they are stored, ``c`` the array of their cells."""
-    rows = workbook_parts(files, "row").filter(F.col("part") == "row")
+    rows = parts.filter(F.col("part") == "row")
     parsed = rows.select(
         "path", "entry", F.col("seq").alias("row_seq"), F.from_xml("xml", ROW_SCHEMA, XML_OPTIONS).alias("x")
     )
@@ -217,22 +239,24 @@ def workbook_cells(
     files: DataFrame,
     worksheet_index: int | None = 0,
     format_code_check: bool = False,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """``cells`` of ``files(path, content)``: one sheet by position, or all with ``None``.
 
-    The small parts (sheets, relations, styles) of all workbooks are read first and written out,
-    so that their size is known: as a rule they are broadcast to the rows. Rows are joined
-    whole, before their cells are spread out, and only then the shared strings.
+    The size of the sheets with their dated styles is measured: as a rule they are broadcast to the rows.
+    Rows are joined whole, before their cells are spread out, and only then the shared strings. A workbook
+    with an error in any part has no cells. ``parts`` are the :func:`stored_parts`, if they are there already.
     """
-    parts = materialize(workbook_parts(files, "sheet", "rel", "xf", "numFmt"))
-    sheets = workbook_sheets(parts)
+    parts = stored_parts(files) if parts is None else parts
+    failed = parts.filter(F.col("part") == "error").select("path").distinct()
+    sheets = workbook_sheets(parts).join(failed, "path", "left_anti")
     if worksheet_index is not None:
         sheets = sheets.filter(F.col("ordinal") == worksheet_index)
     styled = sheet_styles(sheets, workbook_formats(parts), format_code_check)
-    if is_small(parts):
+    if is_small(styled):
         styled = F.broadcast(styled)
-    rows = stored_rows(files).join(styled, ["path", "entry"])
-    return resolve_cells(stored_cells(rows), shared_strings(files))
+    rows = stored_rows(parts).join(styled, ["path", "entry"])
+    return resolve_cells(stored_cells(rows), shared_strings(parts))
 
 
 def read_workbook_cells(
@@ -246,9 +270,10 @@ def read_workbook_cells(
     return workbook_cells(read_workbooks(spark, paths, recursive), worksheet_index, format_code_check)
 
 
-def workbook_status(files: DataFrame, worksheet_index: int | None = 0) -> DataFrame:
-    """``(path, status, message)``: can the workbook be opened, and has it the sheet asked for?"""
-    parts = workbook_parts(files, "sheet").groupBy("path").agg(
+def workbook_status(files: DataFrame, worksheet_index: int | None = 0, parts: DataFrame | None = None) -> DataFrame:
+    """``(path, status, message)``: can all parts of the workbook be read, and has it the sheet asked for?"""
+    parts = stored_parts(files) if parts is None else parts
+    parts = parts.filter(F.col("part").isin("sheet", "error")).groupBy("path").agg(
         F.max(F.when(F.col("part") == "error", F.col("xml"))).alias("_error"),
         F.count_if(F.col("part") == "sheet").alias("_sheets"),
     )

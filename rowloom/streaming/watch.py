@@ -13,6 +13,8 @@ from rowloom.sources.text_files import file_path, literal_path
 # Time from the first new file to its conversion, and files of one batch.
 DELAY = "2 seconds"
 FILES_PER_BATCH = 1000
+# A file counts whatever its time stamp: no file system has older ones.
+ANY_AGE = "36500d"
 
 # File types watched.
 WATCHED_TYPES = (".csv", ".txt", ".xlsx")
@@ -23,7 +25,7 @@ def arriving_files(
     folder: str,
     since: str | None = None,
     files_per_batch: int = FILES_PER_BATCH,
-    max_file_age: str = "3650d",
+    max_file_age: str = ANY_AGE,
 ) -> DataFrame:
     """Stream of ``(path, length, modified)`` of the supported files that arrive in ``folder``.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.cells import is_date_format, style_format, style_kind
 from rowloom.functions.dates import date_serial, parse_date, serial_text
+from rowloom.sources.tables import print_value
 from rowloom.functions.numbers import export_number, number_text, parse_lenient_number, parse_number, strict_integer
 from rowloom.functions.refs import (
     cell_ref, column_letters, output_path, path_base, ref_column, safe_sheet_name, sheet_path,
@@ -128,3 +129,21 @@ def test_styles(values):
     assert values(is_date_format, ids, "int") == [False, True, True, False, True, True, False, True, False, False]
     by_code = lambda code: values(lambda v: is_date_format(v, F.lit(code)), [164], "int")
     assert by_code("0.00") == [False] and by_code("yyyy-mm") == [True] and by_code('"day" 0') == [False]
+
+
+def test_printing_loses_nothing(spark):
+    df = spark.sql("""select * from values (1.5D, timestamp_ntz'2024-01-01 00:00:07.179575'),
+        (0.0D, timestamp_ntz'2024-01-01 10:00:00'), (1234567.891D, null), (1e30D, null), (1e-20D, null), (-2.125D, null)
+        as t(x, ts)""")
+    got = [tuple(r) for r in df.select(print_value(df, "x"), print_value(df, "ts")).collect()]
+    assert [x for x, _ in got] == ["1.50", "0.00", "1234567.891", "1.0E30", "1.0E-20", "-2.125"]
+    assert [t for _, t in got][:2] == ["2024-01-01 00:00:07.179575", "2024-01-01 10:00:00"]
+
+
+def test_fractions_of_a_second(values):
+    texts = ["2024-01-01 00:00:07.179575", "31.12.2024 10:00:00.5", "2024-01-01T12:00:00.1234567"]
+    dates = values(parse_date, texts)
+    assert [str(d) for d in dates] == ["2024-01-01 00:00:07.179575", "2024-12-31 10:00:00.500000", "None"]
+    import datetime
+    half = datetime.datetime(1899, 12, 31, 0, 0, 0, 500000)
+    assert values(date_serial, [half], "timestamp_ntz") == [1 + 0.5 / 86400]

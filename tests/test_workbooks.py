@@ -8,6 +8,7 @@ from rowloom.functions.cells import is_date_format
 from rowloom.operators.cells import with_typed_fields
 from rowloom.operators.densify import densify, render_lines
 from rowloom.plans.convert import Options, convert_batch, read_text, save_workbooks, text_to_workbooks, workbooks_to_lines
+from rowloom.sinks.files import write_files
 from rowloom.sinks.naming import free_names
 from rowloom.sinks.workbooks import cell_rows, export_workbooks
 from rowloom.sources.text_files import literal_path
@@ -180,3 +181,53 @@ def test_free_names(spark):
 def test_date_format_ids(values):
     assert values(is_date_format, [14, 1], "int") == [True, False]
     assert literal_path("a[b]") == "a\\[b\\]" and read_workbooks is not None
+
+
+def broken(change):
+    """The workbook with one entry changed."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(workbook())) as box, zipfile.ZipFile(out, "w") as new:
+        for entry in box.namelist():
+            new.writestr(entry, change(entry, box.read(entry).decode()))
+    return out.getvalue()
+
+
+def test_a_broken_part_fails_the_workbook_and_no_other(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "good.xlsx").write_bytes(workbook())
+    (inbox / "checksum.xlsx").write_bytes(workbook().replace(b"<v>45688</v>", b"<v>45689</v>"))
+    changes = {
+        "control": lambda e, x: x.replace("plain", "a&#1;b"),
+        "strings": lambda e, x: x[:-20] if e.endswith("sharedStrings.xml") else x,
+        "row": lambda e, x: x.replace("<v>7</v>", "<v>7</w>"),
+    }
+    for name, change in changes.items():
+        (inbox / f"{name}.xlsx").write_bytes(broken(change))
+    report = convert_batch(spark, str(inbox), str(tmp_path / "out"), Options(all_sheets=True)).collect()
+    status = {r["path"].rsplit("/", 1)[1]: r["status"] for r in report}
+    assert status == {"good.xlsx": "ok", "checksum.xlsx": "failed", "control.xlsx": "failed", "strings.xlsx": "failed",
+                      "row.xlsx": "failed"}
+    outputs = [p.name for p in (tmp_path / "out" / "lines" / "batch_id=0").iterdir() if p.is_dir()]
+    assert len(outputs) == 2 and all("good_" in o for o in outputs)
+
+
+def test_sheets_with_names_alike_stay_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    alike = broken(lambda e, x: x.replace("Bl&amp;tt 1", "A B").replace("Zwei", "A_B"))
+    (tmp_path / "in" / "w.xlsx").write_bytes(alike)
+    convert_batch(spark, str(tmp_path / "in"), str(tmp_path / "out"), Options(all_sheets=True))
+    lines = tmp_path / "out" / "lines" / "batch_id=0"
+    assert len([p for p in lines.iterdir() if p.is_dir()]) == 2
+
+
+def test_other_content_is_not_overwritten(spark, tmp_path):
+    (tmp_path / "_x.xlsx").write_bytes(b"there")
+    (tmp_path / "y.xlsx").write_bytes(b"")
+    books = spark.createDataFrame(
+        [("/a/_x.csv", 0, bytearray(b"new")), ("/a/y.csv", 0, bytearray(b"new"))], "path string, chunk int, content binary")
+    report = save_workbooks(spark, books, str(tmp_path)).collect()
+    assert sorted((r["name"], r["status"]) for r in report) == [("_x_1.xlsx", "ok"), ("y_1.xlsx", "ok")]
+    assert (tmp_path / "_x.xlsx").read_bytes() == b"there" and (tmp_path / "y.xlsx").read_bytes() == b""
+    files = books.selectExpr("'_x.xlsx' as name", "content").limit(1)
+    assert [r["status"] for r in write_files(files, str(tmp_path), overwrite=False).collect()] == ["failed"]
