@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Separators tried in auto mode, in order of preference, and one that can be forced.
+# Separators tried in auto mode, in order of preference.
 AUTO_SEPARATORS = (",", ";", "\t", "|")
-FORCED_SEPARATORS = (":",)
 
 # The separator column holds this when no separator was found: the whole line is one field.
 NO_SEPARATOR = ""

@@ -101,10 +101,6 @@ class Rules:
     header_patterns: list[tuple[str, bool]] = field(default_factory=lambda: list(DEFAULT_HEADER_PATTERNS))
     type_overrides: list[tuple[str, bool, str]] = field(default_factory=lambda: list(DEFAULT_TYPE_OVERRIDES))
 
-    def header_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, p, r) for i, (p, r) in enumerate(self.header_patterns)]
-        return spark.createDataFrame(rows, "priority int, pattern string, is_regex boolean")
-
     def override_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, p, r, t) for i, (p, r, t) in enumerate(self.type_overrides)]
         return spark.createDataFrame(rows, "priority int, pattern string, is_regex boolean, data_type string")
