@@ -15,12 +15,13 @@ from rowloom.llm import decontaminate, langid, mixing, queries, simhash, token_s
 from rowloom.llm.components import written
 from rowloom.llm.text import id_bucket
 
-# Near copies of the pipeline: fingerprints of the different long words find candidates, which must also agree on
-# five-word shingles. There a Jaccard similarity of 0.8 moves 9.7 of 64 bits on average; 13 leaves room for chance.
+# Near copies of the pipeline: three fingerprints of the different long words find candidates, which must also agree on
+# five-word shingles. There a Jaccard similarity of 0.8 moves 39 of 256 bits on average; 50 leaves room for chance.
 NEAR_BITS = 4
+NEAR_TRIES = 3
 LONG_WORD = 6
-SHINGLE_WORDS = 5
-SHINGLE_BITS = 13
+SHINGLES = simhash.Fingerprint(words=5, count=4)
+SHINGLE_BITS = 50
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
-    found = simhash.classes(docs.select("doc_id", "text"), words=1, long=LONG_WORD, max_bits=NEAR_BITS, check_words=SHINGLE_WORDS,
-                            check_bits=SHINGLE_BITS)
+    found = simhash.classes(docs.select("doc_id", "text"), words=1, long=LONG_WORD, tries=NEAR_TRIES, max_bits=NEAR_BITS,
+                            check=SHINGLES, check_bits=SHINGLE_BITS)
     return simhash.representatives(docs, written(found, "classes"))
 
 

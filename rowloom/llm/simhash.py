@@ -12,8 +12,10 @@ walking four more levels in Spark: each pair of nodes below it within the budget
 hand on the links of a spanning forest, at most one per fingerprint, so that groups of near copies do not
 emit all their pairs; components over these reach the same documents as all links would.
 
-With ``check`` a second fingerprint must also differ in at most ``check_bits`` bits. Words are
-``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case.
+A text can have several fingerprints, from differently mixed hashes: the tries of all are walked side by side, and
+two texts link if any of their fingerprints do. With ``check`` words, which are further fingerprints, the two
+must also differ in at most ``check_bits`` bits over all of these. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z
+in lower case.
 
 Defined results: a null text counts as empty; fewer words than a shingle make one shingle of all; no word
 gives fingerprint zero, which links like any other. Repeated ids are rows of their own that share a class by
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.components import components, written
-from rowloom.llm.text import map_batches
+from rowloom.llm.text import MIX_A, map_batches, mix
 
 SEED = 42
 BITS = 64
@@ -45,49 +47,53 @@ class Fingerprint:
     """How texts are fingerprinted: shingles of ``words`` words, or the different ``long`` words alone.
 
     Frequent words are short; without them and without repeats, texts of one language have little in common.
+    ``count`` fingerprints of 64 bits are made: the first from the hashes, the others from hashes mixed anew.
     """
 
     words: int = 3
     long: int = 0  # bytes of a long word; 0: all words and repeats
+    count: int = 1
 
 
-def fingerprint(text: str | None, words: int = 3, long: int = 0) -> int:
-    """The fingerprint of one text."""
+def fingerprint(text: str | None, kind: Fingerprint) -> list[int]:
+    """The fingerprints of one text."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
-    if long:
+        return [0] * kind.count
+    if kind.long:
         different = set(parts)
-        parts = [w for w in different if len(w) >= long] or list(different)
+        parts = [w for w in different if len(w) >= kind.long] or list(different)
     plain = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    span = min(words, len(parts)) - 1
+    span = min(kind.words, len(parts)) - 1
     digest = xxhash.xxh64_intdigest
     view = memoryview(plain)
     pairs = zip(starts[: len(parts) - span].tolist(), ends[span:].tolist())
     hashes = np.array([digest(view[s:e], SEED) for s, e in pairs], "<u8")
-    total = np.zeros(BITS, np.int64)
+    total = np.zeros((kind.count, BITS), np.int64)
     for first in range(0, len(hashes), 1 << 16):
         part = hashes[first : first + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+        for i in range(kind.count):
+            own = mix(part + np.uint64(i * MIX_A % 2**64)) if i else part
+            total[i] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, kinds: list[Fingerprint]) -> DataFrame:
-    """``(key, fp0, fp1, ...)`` as signed 64-bit numbers, one column per kind; no shuffle."""
-    names = [f"fp{i}" for i in range(len(kinds))]
+    """``(key, fp0, fp1, ...)`` as signed 64-bit numbers, a column per fingerprint of each kind; no shuffle."""
+    names = [f"fp{i}" for i in range(sum(k.count for k in kinds))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            made = [
-                pa.array(np.array([fingerprint(x, k.words, k.long) for x in texts], np.uint64).view(np.int64)) for k in kinds
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[key, *names])
+            made = np.array([[f for k in kinds for f in fingerprint(x, k)] for x in texts], np.uint64)
+            made = made.reshape(len(texts), len(names)).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(made[:, i])) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
 
     kind = docs.schema[key].dataType.simpleString()
     fields = ", ".join(f"{n} bigint" for n in names)
@@ -208,27 +214,31 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_rows: int = CELL) -> DataFrame:
-    """A spanning forest ``(a, b)`` of the links between ``points(id, fp[, check])``, fp distinct per id."""
+def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int = CELL) -> DataFrame:
+    """A spanning forest ``(a, b)`` of the links between ``points(id, fp[, fp..., check...])``, distinct but for the id.
+
+    All columns that begin with ``fp`` are fingerprints, all that begin with ``check`` are check words.
+    """
     blocks = max_bits + 1
     starts = [BITS * i // blocks for i in range(blocks + 1)]
-    unsigned = "bigint"
-    cells_schema = f"cell string, side int, depth int, budget int, value {unsigned}, id bigint, check bigint"
+    prints = [c for c in points.columns if c.startswith("fp")]
+    checks = [c for c in points.columns if c.startswith("check")]
+    carried = ["id", *checks]
+    cell_columns = ["cell", "side", "depth", "budget", "value", *carried]
+    cells_schema = "cell string, side int, depth int, budget int, value bigint, " + ", ".join(f"{c} bigint" for c in carried)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, check = batch.column(0), batch.column(2)
-            fp = batch.column(1).to_numpy().view(np.uint64)
-            for block in range(blocks):
+            n, more = batch.num_rows, batch.columns[len(prints) :]
+            for trie, block in ((t, b) for t in range(len(prints)) for b in range(blocks)):
                 depth = starts[block + 1] - starts[block]
-                value = rotated(fp, np.full(len(fp), starts[block]))
+                value = rotated(batch.column(trie).to_numpy().view(np.uint64), np.full(n, starts[block]))
                 head = (value >> np.uint64(64 - depth)).tolist()
-                n = len(fp)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{block}:{x:x}" for x in head]), pa.array(np.zeros(n, np.int32)),
+                    [pa.array([f"{trie}:{block}:{x:x}" for x in head]), pa.array(np.zeros(n, np.int32)),
                      pa.array(np.full(n, depth, np.int32)), pa.array(np.full(n, max_bits, np.int32)),
-                     pa.array(value.view(np.int64)), ids, check],
-                    names=["cell", "side", "depth", "budget", "value", "id", "check"],
+                     pa.array(value.view(np.int64)), *more],
+                    names=cell_columns,
                 )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +261,8 @@ def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_
                 yield pa.RecordBatch.from_arrays(
                     [pc.binary_join_element_wise(cell.take(pa.array(rows)), name, ""), pa.array(new.astype(np.int32)),
                      pa.array((depth + bits)[rows].astype(np.int32)), pa.array((budget[rows] - flip.bit_count()).astype(np.int32)),
-                     *(batch.column(i).take(pa.array(rows)) for i in (4, 5, 6))],
-                    names=["cell", "side", "depth", "budget", "value", "id", "check"],
+                     *(c.take(pa.array(rows)) for c in batch.columns[4:])],
+                    names=cell_columns,
                 )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +274,12 @@ def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_
             cell = table.column("cell").combine_chunks().dictionary_encode()
             cell = (cell.combine_chunks() if isinstance(cell, pa.ChunkedArray) else cell).indices.to_numpy()
             side, depth, budget = (table.column(c).to_numpy() for c in ("side", "depth", "budget"))
-            check = table.column("check").to_numpy().view(np.uint64)
-            keep = None if check_bits is None else lambda i, j: np.bitwise_count(check[i] ^ check[j]) <= check_bits
-            i, j = trie_pairs(value, cell, side, depth.astype(np.int64), budget.astype(np.int64), keep)
+            check = [table.column(c).to_numpy().view(np.uint64) for c in checks]
+
+            def agree(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in check) <= check_bits
+
+            i, j = trie_pairs(value, cell, side, depth.astype(np.int64), budget.astype(np.int64), agree if check else None)
             ids = table.column("id").to_numpy()
             nodes, place = np.unique(np.concatenate([ids[i], ids[j]]), return_inverse=True)
             root = _forest(place[: len(i)], place[len(i) :], len(nodes))
@@ -296,8 +309,7 @@ def links(points: DataFrame, max_bits: int, check_bits: int | None = None, cell_
         if held and (ready := whole_cells(True)) is not None and ready.num_rows:
             yield solve(ready)
 
-    rows = points.select("id", "fp", F.col("check") if "check" in points.columns else F.lit(0).cast("bigint").alias("check"))
-    work = map_batches(rows, deal, cells_schema)
+    work = map_batches(points.select(*prints, *carried), deal, cells_schema)
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = None
     while work is not None:
@@ -323,24 +335,23 @@ def _columns(schema: str) -> list[str]:
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2,
-            long: int = 0, check_words: int | None = None, check_bits: int = 13) -> DataFrame:
-    """``(key, fp, component_id)`` for every row: its fingerprint, and the smallest key it is linked to."""
-    kinds = [Fingerprint(words, long)] + ([Fingerprint(check_words)] if check_words else [])
+            long: int = 0, tries: int = 1, check: Fingerprint | None = None, check_bits: int = 0) -> DataFrame:
+    """``(key, fp, component_id)`` for every row: its first fingerprint, and the smallest key it is linked to."""
+    kinds = [Fingerprint(words, long, tries)] + ([check] if check else [])
     made = written(fingerprints(docs, key, text, kinds), "fingerprints")
-    if not check_words:
-        made = made.withColumn("fp1", F.lit(0).cast("bigint"))
-    points = made.groupBy("fp0", "fp1").agg(F.min(key).alias("smallest"))
+    prints = [c for c in made.columns if c != key]
+    points = made.groupBy(*prints).agg(F.min(key).alias("smallest"))
     # Any distinct number will do as the name of a point; it is written down with it.
     points = written(points.withColumn("id", F.monotonically_increasing_id()), "points")
-    found = links(points.select("id", F.col("fp0").alias("fp"), F.col("fp1").alias("check")), max_bits,
-                  check_bits if check_words else None)
+    named = [f"{'fp' if i < tries else 'check'}{i}" for i in range(len(prints))]
+    found = links(points.select("id", *[F.col(c).alias(n) for c, n in zip(prints, named)]), max_bits, check_bits)
     roots = components(found)
     rooted = points.join(roots, points["id"] == roots["node"], "left").select(
-        "fp0", "fp1", "smallest", F.coalesce("root", "id").alias("root")
+        *prints, "smallest", F.coalesce("root", "id").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = written(rooted.join(least, "root").select("fp0", "fp1", "component_id"), "classes")
-    return made.join(named, ["fp0", "fp1"]).select(key, F.col("fp0").alias("fp"), "component_id")
+    classed = written(rooted.join(least, "root").select(*prints, "component_id"), "classes")
+    return made.join(classed, prints).select(key, F.col("fp0").alias("fp"), "component_id")
 
 
 def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

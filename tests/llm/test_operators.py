@@ -258,6 +258,38 @@ def test_trie_join(spark, bits, cell):
     assert [roots.get(i, i) for i in range(len(values))] == brute_roots(values, bits)
 
 
+def test_several_tries_and_check(spark):
+    random = np.random.default_rng(7)
+    rows = []
+    for base in random.integers(0, 2**63, (6, 4)).tolist():
+        for _ in range(20):
+            rows.append([x ^ sum({1 << b for b in random.integers(0, 63, random.integers(0, 5)).tolist()}) for x in base])
+    points = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, fp0 long, fp1 long, check2 long, check3 long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(points, 2, 5, cell_rows=16)).collect()}
+
+    def linked(x, y):
+        bits = [(a ^ b).bit_count() for a, b in zip(x, y)]
+        return min(bits[:2]) <= 2 and bits[2] + bits[3] <= 5
+
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, x in enumerate(rows):
+            for j, y in enumerate(rows):
+                if linked(x, y):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert [roots.get(i, i) for i in range(len(rows))] == root
+    assert 6 < len(set(root)) < len(rows)
+
+
+def test_fingerprints_of_one_text():
+    text = "The river runs along seven quiet villages until it meets the broad northern harbour at night"
+    several = simhash.fingerprint(text, simhash.Fingerprint(3, count=4))
+    assert several[0] == simhash.fingerprint(text, simhash.Fingerprint(3))[0] and len(set(several)) == 4
+    assert simhash.fingerprint(None, simhash.Fingerprint(5, 6, 3)) == [0, 0, 0]
+    long = simhash.Fingerprint(1, 6, 2)
+    assert simhash.fingerprint(text, long) == simhash.fingerprint(" ".join(reversed(text.split())), long)
+
+
 def test_simhash(spark, edge):
     import xxhash
 
