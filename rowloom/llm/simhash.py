@@ -8,7 +8,9 @@ dropped as soon as that number exceeds the budget. To spread the walk, the bits
 blocks; two fingerprints that link agree in one block at least, so for each block the bits are rotated to put
 it first, and the walk below each value of the block is a piece of work of its own. Every distinct fingerprint
 counts once, so groups of copies do not grow the work. A piece with more than ``CELL`` fingerprints is cut by
-walking four more levels in Spark: each pair of nodes below it within the budget becomes a piece. Pieces
+walking four more levels in Spark, or all levels on which its nodes have one child: each pair of nodes below it that
+are there and within the budget becomes a piece. Texts with one fingerprint but different check words cannot be cut
+by it; above ``CELL`` they are cut into ranges, and each pair of ranges is a piece, in one block only. Pieces
 hand on the links of a spanning forest, at most one per fingerprint, so that groups of near copies do not
 emit all their pairs; components over these reach the same documents as all links would.
 
@@ -38,8 +40,9 @@ from rowloom.llm.text import MIX_A, map_batches, mix
 
 SEED = 42
 BITS = 64
-CELL = 1024  # fingerprints that one walk takes at most
+CELL = 1 << 16  # fingerprints that one walk takes at most
 SPLIT_BITS = 4  # levels walked at once when a piece is cut
+DENSE = 4096  # node pairs with more row pairs are compared in blocks
 
 
 @dataclass(frozen=True)
@@ -106,12 +109,46 @@ def rotated(value: np.ndarray, by: np.ndarray) -> np.ndarray:
     return np.where(by == 0, value, (value << by) | (value >> ((np.uint64(64) - by) & np.uint64(63))))
 
 
-def trie_pairs(values: np.ndarray, cell: np.ndarray, side: np.ndarray, depth: np.ndarray, budget: np.ndarray,
-               keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of values within the budget of their cell (and that ``keep``), by walking pairs of trie nodes.
+class Forest:
+    """The trees that links have joined so far: rows of one point, and points of one tree, need no further link."""
+
+    def __init__(self, points: np.ndarray, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        self.ids, self.point = np.unique(points, return_inverse=True)
+        self.root = np.arange(len(self.ids))
+        self.keep = keep
+
+    def joined(self, a0: int, a1: int, b0: int, b1: int) -> bool:
+        """Whether the rows of both ranges are in one tree already."""
+        one = self.root[self.point[a0]]
+        return bool((self.root[self.point[a0:a1]] == one).all() and (self.root[self.point[b0:b1]] == one).all())
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Link the rows ``i`` with the rows ``j``, those that ``keep`` says."""
+        apart = self.root[self.point[i]] != self.root[self.point[j]]
+        i, j = i[apart], j[apart]
+        if self.keep is not None and len(i):
+            good = self.keep(i, j)
+            i, j = i[good], j[good]
+        if not len(i):
+            return
+        trees, place = np.unique(self.root[self.point[np.concatenate([i, j])]], return_inverse=True)
+        lower = np.arange(len(self.ids))
+        lower[trees] = trees[_forest(place[: len(i)], place[len(i) :], len(trees))]
+        self.root = lower[self.root]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every point that is not the smallest of its tree, behind that one."""
+        leaf = self.root != np.arange(len(self.ids))
+        return self.ids[self.root[leaf]], self.ids[leaf]
+
+
+def trie_links(values: np.ndarray, cell: np.ndarray, side: np.ndarray, depth: np.ndarray, budget: np.ndarray,
+               forest: Forest) -> None:
+    """Add the pairs of rows within the budget of their cell to ``forest``, by walking pairs of trie nodes.
 
     A cell's values share their first ``depth`` bits on each side; ``side`` is 0 for a cell that is joined
     with itself, else 1 or 2. Rows must be sorted by cell, side and value, so that a trie node is a range.
+    Where the budget is too large for the levels below a node pair to drop much, its rows are compared at once.
     """
     cuts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (side[1:] != side[:-1])]))
     ends = np.append(cuts[1:], len(values))
@@ -125,26 +162,25 @@ def trie_pairs(values: np.ndarray, cell: np.ndarray, side: np.ndarray, depth: np
     b0 = np.concatenate([cuts[own], cuts[first + 1]])
     b1 = np.concatenate([ends[own], ends[first + 1]])
     level, left = depth[a0].copy(), budget[a0].copy()
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     while len(a0):
         same = a0 == b0
         size = (a1 - a0) * (b1 - b0)
         live = (left >= 0) & ~(same & (a1 - a0 < 2)) & (size > 0)
-        small = live & ((size <= 64) | (level >= BITS))
+        # the budget left is for the bits below the node; those above have been paid for
+        below = (BITS - level).astype(np.uint64)
+        mask = np.where(below >= 64, np.uint64(2**64 - 1), (np.uint64(1) << (below & np.uint64(63))) - np.uint64(1))
+        narrow = np.log2(np.maximum(np.minimum(a1 - a0, b1 - b0), 1))
+        done = live & ((size <= 64) | (level >= BITS) | (2 * left >= narrow))
+        small = done & (size <= DENSE)
         if small.any():
             for i, j, node in _row_pairs(a0[small], a1[small], b0[small], b1[small]):
                 ok = (i != j) & (~same[small][node] | (i < j))
                 i, j, node = i[ok], j[ok], node[ok]
-                # the budget left is for the bits below the node; those above have been paid for
-                below = (BITS - level[small][node]).astype(np.uint64)
-                mask = np.where(below >= 64, np.uint64(2**64 - 1), (np.uint64(1) << (below & np.uint64(63))) - np.uint64(1))
-                near = np.bitwise_count((values[i] ^ values[j]) & mask) <= left[small][node]
-                i, j = i[near], j[near]
-                if keep is not None:
-                    good = keep(i, j)
-                    i, j = i[good], j[good]
-                found.append((i, j))
-        go = np.flatnonzero(live & ~small)
+                near = np.bitwise_count((values[i] ^ values[j]) & mask[small][node]) <= left[small][node]
+                forest.add(i[near], j[near])
+        for n in np.flatnonzero(done & ~small).tolist():
+            _dense_pairs(values, int(a0[n]), int(a1[n]), int(b0[n]), int(b1[n]), mask[n], int(left[n]), forest)
+        go = np.flatnonzero(live & ~done)
         a0, a1, b0, b1, level, left, same = a0[go], a1[go], b0[go], b1[go], level[go], left[go], same[go]
         if not len(go):
             break
@@ -162,9 +198,23 @@ def trie_pairs(values: np.ndarray, cell: np.ndarray, side: np.ndarray, depth: np
                 (left, left, left - 1, (left - 1)[cross]),
             )
         )
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _dense_pairs(values: np.ndarray, a0: int, a1: int, b0: int, b1: int, mask: np.uint64, left: int, forest: Forest,
+                 step: int = 512) -> None:
+    """Add the pairs of two ranges of rows that differ in at most ``left`` bits of ``mask``, block by block."""
+    right = values[b0:b1] & mask
+    for i0 in range(a0, a1, step):
+        i1 = min(i0 + step, a1)
+        own = (values[i0:i1] & mask)[:, None]
+        for j0 in range(i0 if a0 == b0 else b0, b1, step):
+            j1 = min(j0 + step, b1)
+            if forest.joined(i0, i1, j0, j1):
+                continue
+            i, j = np.nonzero(np.bitwise_count(own ^ right[None, j0 - b0 : j1 - b0]) <= left)
+            if i0 == j0:
+                i, j = i[i < j], j[i < j]
+            forest.add(i + i0, j + j0)
 
 
 def _row_pairs(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray,
@@ -242,28 +292,79 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
                 )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = len(cell_columns)
         for batch in batches:
             cell = batch.column(0)
             side, depth, budget = (batch.column(i).to_numpy() for i in (1, 2, 3))
             value = batch.column(4).to_numpy().view(np.uint64)
+            # what the cell holds on both sides; a cell that is joined with itself has one side
+            n1, n2, has1, has2, and1, and2, or1, or2 = (
+                batch.column(wide + i).to_numpy(zero_copy_only=False) for i in range(len(SHAPE))
+            )
+            own = side == 0
+            n2, has2, and2, or2 = (np.where(own, x, y) for x, y in ((n1, n2), (has1, has2), (and1, and2), (or1, or2)))
+            and1, and2, or1, or2 = (x.astype(np.int64).view(np.uint64) for x in (and1, and2, or1, or2))
+
+            def emit(rows: np.ndarray, name: list[str], side: np.ndarray, depth: np.ndarray,
+                     budget: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [pc.binary_join_element_wise(cell.take(pa.array(rows)), pa.array(name, pa.string()), ""),
+                     *(pa.array(x.astype(np.int32)) for x in (side, depth, budget)),
+                     *(c.take(pa.array(rows)) for c in batch.columns[4:wide])],
+                    names=cell_columns,
+                )
+
+            # Levels on which each side has one child are walked at once.
+            below = (np.uint64(1) << np.minimum(BITS - depth, BITS - 1).astype(np.uint64)) - np.uint64(1)
+            vary = ((and1 ^ or1) | (and2 ^ or2)) & below
+            for shift in (1, 2, 4, 8, 16, 32):
+                vary |= vary >> np.uint64(shift)
+            next_depth = BITS - np.bitwise_count(vary).astype(np.int64)
+            left = budget - np.bitwise_count((and1 ^ and2) & below & ~vary).astype(np.int64)
+            equal = depth >= BITS
+            straight = ~equal & ((next_depth - depth >= SPLIT_BITS) | (next_depth == BITS))
+            rows = np.flatnonzero(straight & (left >= 0))
+            if len(rows):
+                yield emit(rows, [""] * len(rows), side[rows], next_depth[rows], left[rows])
+
+            # One fingerprint on each side: ranges of rows against each other, in the first block that has the pair.
+            rows = np.flatnonzero(equal)
+            if len(rows):
+                block = np.array([int(c.split(":")[1]) for c in cell.take(pa.array(rows)).to_pylist()])
+                differ = rotated((and1 ^ and2)[rows], (BITS - np.array(starts)[block]) % BITS)
+                seen = np.zeros(len(rows), bool)
+                for b in range(blocks):
+                    bits = ((1 << (starts[b + 1] - starts[b])) - 1) << (BITS - starts[b + 1])
+                    seen |= (b < block) & (differ & np.uint64(bits) == 0)
+                rows = rows[~seen]
+            if len(rows):
+                groups = [-(-2 * n[rows] // cell_rows) for n in (n1, n2)]
+                right, alone = side[rows] == 2, own[rows]
+                ids = batch.column(5).to_numpy().view(np.uint64)[rows]
+                group = (mix(ids) % np.where(right, groups[1], groups[0]).astype(np.uint64)).astype(np.int64)
+                partners = np.where(right, groups[0], groups[1])
+                for h in range(int(partners.max())):
+                    some = partners > h
+                    mine, at = group[some], rows[some]
+                    second = np.where(alone[some], mine > h, right[some])
+                    x, y = np.where(second, h, mine), np.where(second, mine, h)
+                    new = np.where(alone[some] & (mine == h), 0, np.where(second, 2, 1))
+                    name = [f"/{a}-{b}" for a, b in zip(x.tolist(), y.tolist())]
+                    yield emit(at, name, new, np.full(len(at), BITS + 1), budget[at])
+
             bits = np.minimum(SPLIT_BITS, BITS - depth)
-            below = (BITS - depth - bits).astype(np.uint64)
-            own = ((value >> below) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            child = ((value >> (BITS - depth - bits).astype(np.uint64)) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            there = np.where(side == 2, has1, has2).astype(np.int64)
             for flip in range(1 << SPLIT_BITS):
-                rows = np.flatnonzero((budget >= flip.bit_count()) & (flip < (1 << bits)))
+                rows = np.flatnonzero(~straight & ~equal & (budget >= flip.bit_count()) & (flip < (1 << bits)) & ((there >> (child ^ flip)) & 1 == 1))
                 if not len(rows):
                     continue
-                mine, other, old = own[rows], own[rows] ^ flip, side[rows]
+                mine, other, old = child[rows], child[rows] ^ flip, side[rows]
                 right = (old == 2) | ((old == 0) & (other < mine))
                 x, y = np.where(right, other, mine), np.where(right, mine, other)
                 new = np.where(old != 0, old, 0 if flip == 0 else np.where(right, 2, 1))
-                name = pa.array([f"/{a:x}.{b:x}" for a, b in zip(x.tolist(), y.tolist())])
-                yield pa.RecordBatch.from_arrays(
-                    [pc.binary_join_element_wise(cell.take(pa.array(rows)), name, ""), pa.array(new.astype(np.int32)),
-                     pa.array((depth + bits)[rows].astype(np.int32)), pa.array((budget[rows] - flip.bit_count()).astype(np.int32)),
-                     *(c.take(pa.array(rows)) for c in batch.columns[4:])],
-                    names=cell_columns,
-                )
+                name = [f"/{a:x}.{b:x}" for a, b in zip(x.tolist(), y.tolist())]
+                yield emit(rows, name, new, (depth + bits)[rows], budget[rows] - flip.bit_count())
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by cell, side and unsigned value; whole cells are gathered to a bounded number.
@@ -279,12 +380,10 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
             def agree(i: np.ndarray, j: np.ndarray) -> np.ndarray:
                 return sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in check) <= check_bits
 
-            i, j = trie_pairs(value, cell, side, depth.astype(np.int64), budget.astype(np.int64), agree if check else None)
-            ids = table.column("id").to_numpy()
-            nodes, place = np.unique(np.concatenate([ids[i], ids[j]]), return_inverse=True)
-            root = _forest(place[: len(i)], place[len(i) :], len(nodes))
-            leaf = root != np.arange(len(nodes))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[root[leaf]]), pa.array(nodes[leaf])], names=["a", "b"])
+            forest = Forest(table.column("id").to_numpy(), agree if check else None)
+            trie_links(value, cell, side, np.minimum(depth, BITS).astype(np.int64), budget.astype(np.int64), forest)
+            a, b = forest.links()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         def whole_cells(last: bool) -> pa.Table | None:
             nonlocal held
@@ -313,15 +412,28 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = None
     while work is not None:
-        sizes = work.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("depth").alias("at"))
-        large = written(sizes.filter((F.col("rows") > cell_rows) & (F.col("at") < BITS)).select("cell"), "large")
+        one, two = F.col("side") < 2, F.col("side") == 2
+        sizes = work.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("depth").alias("at"), F.min("side").alias("least"),
+            F.count_if(one).alias("n1"), F.count_if(two).alias("n2"),
+        )
+        large = written(sizes.filter((F.col("rows") > cell_rows) & (F.col("at") <= BITS)), "large")
+        # A large piece has many rows, so there are few of them: at most all rows / cell_rows.
+        small = work if large.isEmpty() else work.join(large.select("cell"), "cell", "left_anti")
+        # A cell without rows on its other side has no pairs.
+        large = large.filter((F.col("least") == 0) | ((F.col("n1") > 0) & (F.col("n2") > 0))).select("cell", "n1", "n2")
         if large.isEmpty():
-            small, work = work, None
+            work = None
         else:
-            # A large piece has many rows, so there are few of them: at most all rows / cell_rows.
-            small = work.join(large, "cell", "left_anti")
-            rest = work.join(large, "cell", "left_semi").select(*_columns(cells_schema)).repartition(parts)
-            work = written(map_batches(rest, cut, cells_schema), "cells")
+            rest = work.join(large.select("cell"), "cell", "left_semi").select(*_columns(cells_schema)).repartition(parts)
+            rest = written(rest, "rest")
+            shape = written(rest.groupBy("cell").agg(
+                *[F.coalesce(F.bit_or(F.when(on, F.expr(CHILD))), F.lit(0)).alias(n) for n, on in (("has1", one), ("has2", two))],
+                *[F.coalesce(sum_(F.when(on, F.col("value"))), F.lit(0)).alias(f"{n}{i}")
+                  for n, sum_ in (("and", F.bit_and), ("or", F.bit_or)) for i, on in ((1, one), (2, two))],
+            ).join(large, "cell"), "shape")
+            shaped = rest.join(shape, "cell").select(*_columns(cells_schema), *[F.col(c).cast("bigint") for c in SHAPE])
+            work = written(map_batches(shaped, cut, cells_schema), "cells")
         # The sign bit flipped makes the order of signed numbers that of unsigned ones.
         order = F.col("value").bitwiseXOR(F.lit(-(2**63)).cast("bigint"))
         dealt = small.select(*_columns(cells_schema)).repartition("cell").sortWithinPartitions("cell", "side", order)
@@ -330,6 +442,12 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
     return out
 
 
+# What a large cell holds on each side: rows, children over the next levels as a bit set, bits all values have, any has.
+SHAPE = ["n1", "n2", "has1", "has2", "and1", "and2", "or1", "or2"]
+CHILD = (f"shiftleft(1L, cast(shiftrightunsigned(value, {BITS} - depth - least({SPLIT_BITS}, {BITS} - depth))"
+         f" & (shiftleft(1, least({SPLIT_BITS}, {BITS} - depth)) - 1) as int))")
+
+
 def _columns(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from rowloom.llm import chat, decontaminate, langid, minhash, mixing, quality, simhash, urls, warc
-from rowloom.llm.components import components
+from rowloom.llm.components import components, written
 from rowloom.llm.text import id_bucket
 from rowloom.plans.queries import table
 
@@ -281,6 +281,35 @@ def test_several_tries_and_check(spark):
     assert 6 < len(set(root)) < len(rows)
 
 
+@pytest.mark.parametrize("copies", [0, 60])
+def test_hot_fingerprint(spark, monkeypatch, copies):
+    """Points of one trie fingerprint, and of one close to it, in pieces of bounded size and number."""
+    random, rows, tables = np.random.default_rng(11), [], {}
+    base, checks = int(random.integers(0, 2**62)), random.integers(0, 2**62, 6).tolist()
+    for n in range(120 + copies):
+        check = checks[n % 6] ^ sum({1 << b for b in random.integers(0, 62, n % 5).tolist()})
+        rows.append((base ^ (5 if n >= 120 else 0), check))
+    rows = list(dict.fromkeys(rows))
+
+    def counted(df, name):
+        table = written(df, name)
+        tables[name] = max(tables.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "written", counted)
+    points = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, fp0 long, check1 long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(points, 2, 5, cell_rows=32)).collect()}
+    root = list(range(len(rows)))
+    for _ in range(6):
+        for i, x in enumerate(rows):
+            for j, y in enumerate(rows):
+                if (x[0] ^ y[0]).bit_count() <= 2 and (x[1] ^ y[1]).bit_count() <= 5:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert [roots.get(i, i) for i in range(len(rows))] == root
+    # every row once per block, or a few times per pair of ranges; without a look at the other side hundreds of times
+    assert tables["cells"] < 40 * len(rows)
+
+
 def test_fingerprints_of_one_text():
     text = "The river runs along seven quiet villages until it meets the broad northern harbour at night"
     several = simhash.fingerprint(text, simhash.Fingerprint(3, count=4))
