@@ -15,10 +15,11 @@ from rowloom.llm import decontaminate, langid, mixing, queries, simhash, token_s
 from rowloom.llm.components import written
 from rowloom.llm.text import id_bucket
 
-# Near copies of the pipeline: three fingerprints of the different long words find candidates, which must also agree on
-# five-word shingles. There a Jaccard similarity of 0.8 moves 39 of 256 bits on average; 50 leaves room for chance.
-NEAR_BITS = 4
-NEAR_TRIES = 3
+# Near copies of the pipeline: four fingerprints of the different long words find candidates, which must also agree on
+# five-word shingles. Text appended, cut off or inserted at a Jaccard similarity of 0.8 moves 9 of 64 bits on average,
+# so one fingerprint in two or three is within 10. On the shingles 0.8 moves 39 of 256 bits; 50 leaves room for chance.
+NEAR_BITS = 10
+NEAR_TRIES = 4
 LONG_WORD = 6
 SHINGLES = simhash.Fingerprint(words=5, count=4)
 SHINGLE_BITS = 50

@@ -310,6 +310,42 @@ def test_hot_fingerprint(spark, monkeypatch, copies):
     assert tables["cells"] < 40 * len(rows)
 
 
+def edited(kind, words, other, share):
+    n = max(1, int(len(words) * share))
+    if kind == "substituted":
+        out = list(words)
+        for i in np.random.default_rng(len(words)).choice(len(words), n, False):
+            out[i] = other[i % len(other)]
+        return out
+    middle = len(words) // 2
+    return {"appended": words + other[:n], "cut": words[:-n], "inserted": words[:middle] + other[:n] + words[middle:]}[kind]
+
+
+def test_near_copies_by_kind_of_edit(spark):
+    """The near-dedup stage finds what brute-force Jaccard finds, whatever the edit."""
+    import corpus_pipeline
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("text").distinct().orderBy("text").collect()
+    texts = [w for r in docs if 60 <= len(w := (r["text"] or "").lower().split()) <= 600]
+    kinds = {"substituted": 0.02, "appended": 0.17, "cut": 0.16, "inserted": 0.13}
+    rows, wanted = [], defaultdict(list)
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    for n, words in enumerate(texts[:160]):
+        kind = list(kinds)[n % 4]
+        copy = edited(kind, words, texts[-1 - n], kinds[kind])
+        a, b = shingles(words), shingles(copy)
+        if len(a & b) >= 0.8 * len(a | b):
+            wanted[kind].append((2 * n, 2 * n + 1))
+        rows += [(2 * n, " ".join(words), "en", "s", 1), (2 * n + 1, " ".join(copy), "en", "s", 1)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, made, DATA).select("doc_id").collect()}
+    for kind, pairs in wanted.items():
+        assert len(pairs) >= 20 and sum(b not in kept for _, b in pairs) >= 0.85 * len(pairs), kind
+
+
 def test_fingerprints_of_one_text():
     text = "The river runs along seven quiet villages until it meets the broad northern harbour at night"
     several = simhash.fingerprint(text, simhash.Fingerprint(3, count=4))
