@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.components import written
+from rowloom.llm.components import components, written
 from rowloom.llm.order import descending_slices
 from rowloom.llm.text import CodePoints, SpanHasher, map_batches, mix, text_slices
 
@@ -157,12 +157,13 @@ def compare_neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     similarity: float = SIMILARITY) -> DataFrame:
-    """``(key, class_id, similarity)`` of every row: the leader of its class and its likeness to the leader.
+    """``(key, class_id, similarity)`` of every row: the smallest key of its class and its likeness to that row.
 
-    Rows with the same set of shingles count once. Within a band every member is compared with the smallest
-    one only (the leader), by the exact Jaccard similarity of their shingles; those that are not alike go into
-    another round among themselves, until none is left. A row joins the smallest leader it resembles by at least
-    ``similarity``, so a large group of near copies costs one comparison per member and round.
+    Rows with the same set of shingles count once. Two rows link if they share a band and the exact Jaccard similarity
+    of their shingles is at least ``similarity``; classes are the closure of links, so a row can be less like the
+    smallest one than that. Within a band every member is compared with the smallest one (the leader); those that
+    are alike need no comparison among themselves and are compared with those that are not, which then go into
+    another round, until none is left. A large group of near copies costs one comparison per member and band.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,26 +189,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     points = written(made.groupBy("same").agg(F.min(key).alias("id"), F.first("fingerprint").alias("fingerprint"),
                                               F.first("shingles").alias("shingles")), "points")
     sets = points.select("same", "shingles")
+
+    def likeness(pairs: DataFrame) -> DataFrame:
+        """``pairs(a, b)`` with their ``similarity``."""
+        both = pairs.join(sets.select(F.col("same").alias("a"), "shingles"), "a").join(
+            sets.select(F.col("same").alias("b"), F.col("shingles").alias("others")), "b")
+        shared = F.size(F.array_intersect("shingles", "others"))
+        alike = shared / F.greatest(F.size("shingles") + F.size("others") - shared, F.lit(1))
+        return both.select("a", "b", alike.alias("similarity"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return written(likeness(pairs.distinct()).filter(F.col("similarity") >= similarity).select("a", "b"), "links")
+
     wide = 4 * ROWS
     band = F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 1 + i * wide, wide)) for i in range(BANDS)]))
     open_ = written(points.select("same", "id", band.alias("band")), "bands")
-    found = None
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same"))
+    found = sets.sparkSession.createDataFrame([], "a string, b string")
     while not open_.isEmpty():
-        lead = open_.groupBy("band").agg(F.min(F.struct("id", "same")).alias("lead"), F.count(F.lit(1)).alias("n"))
+        lead = open_.groupBy("band").agg(first.alias("lead"), F.count(F.lit(1)).alias("n"))
         member = open_.join(lead.filter("n > 1"), "band").filter(F.col("same") != F.col("lead.same"))
-        member = written(member.select("band", "same", "id", F.col("lead.same").alias("leader"), F.col("lead.id").alias("leader_id")), "members")
-        pairs = member.select("same", "leader", "leader_id").distinct()
-        both = pairs.join(sets, "same").join(sets.select(F.col("same").alias("leader"), F.col("shingles").alias("others")), "leader")
-        shared = F.size(F.array_intersect("shingles", "others"))
-        alike = shared / F.greatest(F.size("shingles") + F.size("others") - shared, F.lit(1))
-        links = written(both.withColumn("similarity", alike).filter(F.col("similarity") >= similarity)
-                        .select("same", "leader", "leader_id", "similarity"), "links")
-        found = links if found is None else found.unionByName(links)
-        open_ = written(member.join(links, ["same", "leader"], "left_anti").select("same", "id", "band"), "bands")
-    if found is None:
-        return made.select(key, F.col(key).alias("class_id"), F.lit(1.0).alias("similarity"))
-    best = found.groupBy("same").agg(F.min(F.struct("leader_id", F.col("similarity").alias("s"))).alias("best"))
-    named = points.select("same", "id").join(best, "same", "left").select(
-        "same", F.coalesce("best.leader_id", "id").alias("class_id"), F.coalesce("best.s", F.lit(1.0)).alias("similarity")
-    )
+        member = written(member.select("band", "same", "id", F.col("lead.same").alias("leader")), "members")
+        near = linked(member.select(F.col("leader").alias("a"), F.col("same").alias("b")))
+        told = near.select(F.col("a").alias("leader"), F.col("b").alias("same"))
+        open_ = written(member.join(told, ["leader", "same"], "left_anti").select("same", "id", "band"), "bands")
+        gone = member.join(told, ["leader", "same"], "left_semi").select("band", F.col("same").alias("x"))
+        across = gone.join(open_.select("band", F.col("same").alias("y")), "band")
+        across = linked(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        found = found.unionByName(near).unionByName(across)
+    roots = components(found)
+    rooted = written(points.select("same", "id").join(roots, F.col("same") == F.col("node"), "left").select(
+        "same", "id", F.coalesce("root", "same").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(first.alias("least"))
+    classed = written(rooted.join(least, "root").select("same", F.col("least.id").alias("class_id"), F.col("least.same").alias("least")), "classes")
+    alike = likeness(classed.filter("same != least").select(F.col("same").alias("a"), F.col("least").alias("b")))
+    named = classed.join(alike.select(F.col("a").alias("same"), "similarity"), "same", "left").select(
+        "same", "class_id", F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     return made.select(key, "same").join(named, "same").select(key, "class_id", "similarity")

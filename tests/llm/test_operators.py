@@ -193,6 +193,25 @@ def test_near_duplicates(spark, edge):
     assert {(1, 1), (2, 1), (3, 1), (11, 1), (None, 1), (4, 4), (5, 4), (6, 4), (7, 7), (9, 9), (10, 10)} <= got
 
 
+def test_near_duplicates_in_chains(spark):
+    """Texts that resemble the next one but not the one after it: one class, as brute force says."""
+    texts = {}
+    for chain in range(4):
+        words = [f"c{chain}w{i}" for i in range(700)]
+        order = np.random.default_rng(chain).permutation(12).tolist()
+        texts |= {100 * chain + k: " ".join(words[20 * at : 20 * at + 300]) for k, at in enumerate(order)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets}
+    root = {k: k for k in texts}
+    for _ in texts:
+        for (a, b), alike in likeness.items():
+            if alike >= 0.8:
+                root[a] = root[b] = min(root[a], root[b])
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {k: r["class_id"] for k, r in got.items()} == root and len(set(root.values())) == 4
+    assert all(r["similarity"] == pytest.approx(likeness[k, r["class_id"]]) for k, r in got.items())
+
+
 # --- 6, 9 --------------------------------------------------------------------------------
 
 
