@@ -9,7 +9,9 @@ the first line of each block.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +146,29 @@ def stored_scan(
     return spark.read.schema(scan.schema).parquet(target)
 
 
+def marked_files(scan: DataFrame) -> DataFrame:
+    """``(path, marked)`` of the files of a scan: whether their first three bytes are a UTF-8 byte order mark.
+
+    The line reader drops the mark unseen, so tasks read these bytes by path, one small row per file.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                scheme, host, rest = re.fullmatch(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(/.*)", path).groups()
+                system, root = fs.LocalFileSystem(), ""
+                if scheme not in (None, "file"):
+                    system, root = fs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
+                with system.open_input_file(root.rstrip("/") + rest) as there:
+                    found.append((path, there.read(3) == b"\xef\xbb\xbf"))
+            yield pd.DataFrame(found, columns=["path", "marked"])
+
+    return scan.filter("block = 0").select("path").distinct().mapInPandas(look, "path string, marked boolean")
+
+
 def block_table(scan: DataFrame, encoding: str | None = None) -> DataFrame:
     """One row per block of :func:`stored_scan`: ``path, block, first_seq, lines_before, n,
     encoding, utf16, total_lines``. Summed up before the shuffle."""
@@ -156,9 +181,8 @@ def block_table(scan: DataFrame, encoding: str | None = None) -> DataFrame:
     whole = Window.partitionBy("path")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     utf16 = (F.col("block") == 0) & cs.has_utf16_bom(F.col("start"))
-    # The line reader has dropped a UTF-8 mark already, so here a given charset is taken as it is.
-    marked = F.lit(False)
-    return blocks.select(
+    marked = F.coalesce("marked", F.lit(False))
+    return blocks.join(marked_files(scan), "path", "left").select(
         "path",
         "block",
         "first_seq",
