@@ -454,10 +454,13 @@ def _columns(schema: str) -> list[str]:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2,
             long: int = 0, tries: int = 1, check: Fingerprint | None = None, check_bits: int = 0) -> DataFrame:
-    """``(key, fp, component_id)`` for every row: its first fingerprint, and the smallest key it is linked to."""
+    """``(key, fp, component_id, text_hash, root)`` for every row: its first fingerprint, the smallest key it is linked
+    to, and what tells rows and classes apart where ids repeat: the XXH64 of its text and a number of its class."""
     kinds = [Fingerprint(words, long, tries)] + ([check] if check else [])
-    made = written(fingerprints(docs, key, text, kinds), "fingerprints")
-    prints = [c for c in made.columns if c != key]
+    row = F.struct(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("h")).alias("row")
+    made = fingerprints(docs.select(row, F.col(text).alias("text")), "row", "text", kinds)
+    prints = [c for c in made.columns if c != "row"]
+    made = written(made.select(F.col("row.k").alias(key), F.col("row.h").alias("text_hash"), *prints), "fingerprints")
     points = made.groupBy(*prints).agg(F.min(key).alias("smallest"))
     # Any distinct number will do as the name of a point; it is written down with it.
     points = written(points.withColumn("id", F.monotonically_increasing_id()), "points")
@@ -468,23 +471,29 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         *prints, "smallest", F.coalesce("root", "id").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    classed = written(rooted.join(least, "root").select(*prints, "component_id"), "classes")
-    return made.join(classed, prints).select(key, F.col("fp0").alias("fp"), "component_id")
+    classed = written(rooted.join(least, "root").select(*prints, "component_id", "root"), "classes")
+    return made.join(classed, prints).select(key, F.col("fp0").alias("fp"), "component_id", "text_hash", "root")
 
 
-def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class in ``found`` (of :func:`classes`) the row with the smallest key.
 
-    All columns are kept. Of repeated rows of one key a single one stays; a null key stays if its class has no
-    other, one row per class.
+    All columns are kept, and one row per class stays. Of rows with that key in one class it is the one with the smallest
+    hash of its text, then the smallest other columns; rows of one key in different classes stay side by side. A null
+    key stays if its class has no other.
     """
-    least = found.select(F.col(key).alias("_llm_key"), "fp", "component_id").filter(F.col("_llm_key").eqNullSafe(F.col("component_id")))
-    counted = written(least.groupBy("_llm_key").agg(F.count(F.lit(1)).alias("_llm_rows")), "representatives")
+    least = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root", "text_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.min("component_id").alias("k"))
+    least = least.groupBy("root").agg(F.min(F.struct("text_hash", "n", "k")).alias("one"))
+    counted = written(least.select(F.col("one.k").alias("_llm_key"), F.col("one.text_hash").alias("_llm_hash"),
+                                   F.col("one.n").alias("_llm_rows")), "representatives")
     # The texts are dealt by key once, at any size; which rows stay is too much to be broadcast.
-    joined = docs.join(counted.hint("merge"), F.col(key).eqNullSafe(F.col("_llm_key")))
+    same = F.col(key).eqNullSafe(F.col("_llm_key")) & (F.xxhash64(F.col(text)) == F.col("_llm_hash"))
+    joined = docs.join(counted.hint("merge"), same)
     single = joined.filter("_llm_rows = 1").select(*[docs[c] for c in docs.columns])
     if counted.filter("_llm_rows > 1").isEmpty():
         return single
-    repeated = joined.filter("_llm_rows > 1").select(*[docs[c] for c in docs.columns])
-    keys = repeated.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return single.unionByName(keys).unionByName(repeated.filter(F.col(key).isNull()).distinct())
+    plain = [f.name for f in docs.schema.fields if f.dataType.simpleString().split("<")[0] not in ("map", "array", "struct", "variant")]
+    row = F.min_by(F.struct(*docs.columns), F.struct(*plain)).alias("row")
+    repeated = joined.filter("_llm_rows > 1").groupBy("_llm_key", "_llm_hash").agg(row)
+    return single.unionByName(repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns]))

@@ -393,6 +393,14 @@ def test_simhash(spark, edge):
     assert simhash.classes(edge.limit(0)).count() == 0
 
 
+def test_representatives_of_repeated_ids(spark):
+    """Rows of one id and unrelated texts are classes of their own; a copy goes although its id stays elsewhere."""
+    rows = [(1, text_of(1)), (1, text_of(2)), (0, text_of(3)), (5, text_of(4)), (5, text_of(3)), (7, "one"), (7, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.representatives(docs, simhash.classes(docs)).collect()
+    assert sorted(map(tuple, kept)) == sorted({*rows} - {(5, text_of(3))})
+
+
 # --- 8 -----------------------------------------------------------------------------------
 
 
