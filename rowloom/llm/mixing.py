@@ -71,7 +71,7 @@ def draw_key(key: Column, weight: Column, seed: int) -> Column:
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None,
         cycle: tuple[int, ...] = CYCLE, limit: int = LIMIT, seed: int = 2) -> DataFrame:
-    """``(key, size, source_size, target, times, taken)`` of every row: how often the mix takes it, and its words."""
+    """``(key, source, size, source_size, target, times, taken)`` of every row: how often the mix takes it, and its words."""
     sized = docs.withColumn("_llm_size", word_count(F.col(text)))
     return mix_sizes(sized, key, "_llm_size", source, weight, cycle, limit, seed)
 
@@ -119,7 +119,7 @@ def mix_sizes(docs: DataFrame, key: str = "doc_id", size: str = "size", source:
     is_last = F.coalesce("is_last", F.lit(False))
     times = F.col("epochs") + (F.col("whole") | is_last).cast("bigint")
     return joined.select(
-        F.col("id").alias(key), "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken")
+        F.col("id").alias(key), F.col("source").alias("source"), "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken")
     )
 
 
@@ -139,9 +139,28 @@ def _join_rows(left: DataFrame, right: DataFrame, same: list[str]) -> DataFrame:
     return left.join(named, condition, "left").drop(*[f"r_{c}" for c in same])
 
 
-def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` as often as ``plan`` (of :func:`mix`) takes them, with the columns of ``docs``."""
-    often = plan.filter("times > 0").groupBy(key).agg(F.max("times").cast("int").alias("_llm_times"))
-    joined = docs.join(often.withColumnRenamed(key, "_llm_key"), F.col(key).eqNullSafe(F.col("_llm_key")))
-    again = F.explode(F.array_repeat(F.lit(0), F.col("_llm_times")))
-    return joined.select(*[F.col(c) for c in docs.columns], again.alias("_llm_again")).drop("_llm_again")
+def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as ``plan`` (of :func:`mix`) takes them, with the columns of ``docs``.
+
+    Rows that share an id and a source are told apart by their words; of those with the same words, the order of the
+    hashes of their texts says which is taken more often.
+    """
+    plan = written(plan.select(F.col(key).alias("_llm_key"), F.col("source").alias("_llm_source"), "size", "times"), "taken")
+    often = plan.groupBy("_llm_key", "_llm_source").agg(F.count(F.lit(1)).alias("_llm_rows"), F.max("times").cast("int").alias("_llm_times"))
+    often = written(often.filter("_llm_times > 0"), "often")
+    joined = docs.join(often, F.col(key).eqNullSafe(F.col("_llm_key")) & F.col(source).eqNullSafe(F.col("_llm_source")))
+    again = F.explode(F.array_repeat(F.lit(0), F.col("_llm_times"))).alias("_llm_again")
+    single = joined.filter("_llm_rows = 1").select(*[F.col(c) for c in docs.columns], again).drop("_llm_again")
+    if often.filter("_llm_rows > 1").isEmpty():
+        return single
+    same = ["_llm_key", "_llm_source", "_llm_size"]
+    rows = joined.filter("_llm_rows > 1").drop("_llm_times").withColumn("_llm_size", word_count(F.col(text)))
+    rows = rows.withColumn("_llm_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(F.col(text)))))
+    taken = plan.withColumn("_llm_size", F.col("size")).withColumn(
+        "_llm_n", F.row_number().over(Window.partitionBy(*same).orderBy(F.col("times").desc())))
+    taken = taken.filter("times > 0").select(*[F.col(c).alias(f"r{c}") for c in (*same, "_llm_n")], F.col("times").cast("int").alias("_llm_times"))
+    condition = F.lit(True)
+    for c in (*same, "_llm_n"):
+        condition = condition & F.col(c).eqNullSafe(F.col(f"r{c}"))
+    repeated = rows.join(taken, condition).select(*[F.col(c) for c in docs.columns], again).drop("_llm_again")
+    return single.unionByName(repeated)

@@ -113,6 +113,19 @@ def test_mix_takes_near_the_target(spark):
     assert mixing.mix(docs.limit(0), weight="w").count() == 0
 
 
+def test_mixed_rows_of_repeated_ids(spark):
+    """Rows that share a null or repeated id are taken as often as the plan takes each of them."""
+    rows = [(i if i % 3 else None if i % 2 else 7, " ".join(["x"] * (1 + i % 23)), f"s{i % 4 // 2}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(docs)
+    wanted, got = defaultdict(int), defaultdict(int)
+    for r in plan.collect():
+        wanted[r["doc_id"], r["source"], r["size"]] += r["times"]
+    for r in mixing.mixed(docs, plan).collect():
+        got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+    assert got == {k: n for k, n in wanted.items() if n} and len(got) > 50
+
+
 # --- 4 -----------------------------------------------------------------------------------
 
 PAGES = [(3, "http://a/\r\n", "<p>x"), (1, None, "<p>x"), (2, "u", None), (5, "u", ""), (None, "n", "<p>x"), (8, "v", "é" * 70000)]
