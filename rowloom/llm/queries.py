@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import chat, decontaminate, langid, minhash, mixing, quality, simhash, token_store, urls, warc
+from rowloom.llm import (chat, decontaminate, langid, minhash, mixing, phrases, quality, repeats, runs, simhash, token_store,
+                         urls, warc)
 from rowloom.llm.text import id_bucket
 
 # Classes of the crc32 of an id that are held out of training: (modulus, remainder).
@@ -131,10 +132,51 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def with_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with a period written into every tenth text, as told by the CRC-32 of the id."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.size("words")
+    placed = cut.select("*", n.alias("n"), F.when(n > 0, F.col("g") % n).alias("a"))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    turned = F.transform("words", lambda w, i: F.when(
+        i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    edited = placed.withColumn("p", period)
+    return edited.select("doc_id", F.when(F.col("n") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, some of which get one, and digests of the texts without them."""
+    found = runs.periodic_runs(with_runs(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("longest")
+    return found.select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of every language."""
+    counts = phrases.phrase_counts(read(spark, sf_dir, "documents").select("lang", "text"))
+    return phrases.collocations(counts).withColumnRenamed("group", "lang")
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that an earlier document holds too, as a digest."""
+    found = repeats.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_chat, op2_mixing, op3_tokens, op4_warc, op5_minhash, op6_quality, op7_simhash, op8_urls, op9_language,
-              op10_decontaminate)
+              op10_decontaminate, op11_runs, op12_phrases, op13_repeats)
 }
 ORACLE_SQL = {
     "op2_mixing": r"""
@@ -189,5 +231,66 @@ with d as (
     from gap2
 )
 select doc_id, size, source_size, target, size * (epochs + case when got or is_last then 1 else 0 end) as taken from nearest
+""",
+    "op12_phrases": r"""
+with docs as (
+    select row_number() over () as d, coalesce(lang, 'und') as lang,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+    from documents
+), pieces as (
+    select d, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from docs
+), lists as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces
+), grams as (
+    select lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) as phrase
+    from lists, (values (1), (2), (3), (4)) as sizes(size) where len(words) >= size
+), counts as (
+    select lang, size, phrase, count(*) as f from grams group by all
+), totals as (
+    select lang, sum(f)::bigint as n from counts where size = 1 group by 1
+), candidates as (
+    select lang, size, phrase, f as a, string_split(phrase, ' ') as w from counts where size > 1 and f >= 30
+), cuts as (
+    select *, unnest(range(1, size)) as cut from candidates
+), scored as (
+    select c.lang, c.phrase, a, cut, l.f as l, r.f as r, ((2000000 * a::hugeint) // (l.f + r.f)::hugeint)::bigint as score
+    from cuts c join counts l on l.lang = c.lang and l.phrase = array_to_string(w[1:cut], ' ') and l.size = cut
+        join counts r on r.lang = c.lang and r.phrase = array_to_string(w[cut + 1:c.size], ' ') and r.size = c.size - cut
+), best as (
+    select * from (select *, row_number() over (partition by lang, phrase order by score, cut) as k from scored) where k = 1
+), inner_parts as (
+    select lang, a as longer, unnest(flatten(list_transform(range(2, size), lambda k: list_transform(
+        range(1, size - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) as phrase
+    from candidates where size > 2
+), around as (
+    select lang, phrase, max(longer) as longer from inner_parts group by all
+), ranked as (
+    select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, score
+    from best b left join around o on o.lang = b.lang and o.phrase = b.phrase
+    where longer is null or 100 * longer::hugeint < 80 * a::hugeint
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+""",
+    "op13_repeats": r"""
+with docs as (
+    select row_number() over () as d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), places as (
+    select d, doc_id, w, unnest(range(1, len(w) + 1)) as i from docs
+), windows as (
+    select d, doc_id, i, w[i] as word, case when i + 12 <= len(w) then array_to_string(w[i:i + 12], ' ') end as win from places
+), firsts as (
+    select win, min(doc_id) as low from windows where win is not null group by 1
+), judged as (
+    select d, i, word, coalesce(low < windows.doc_id, false) as again from windows left join firsts on windows.win = firsts.win
+), marked as (
+    select d, i, word, max(again::int) over (partition by d order by i rows between 12 preceding and current row) as gone from judged
+), summed as (
+    select d, count(*) as n_words, sum(gone)::bigint as n_removed,
+        coalesce(string_agg(case when gone = 0 then word end, ' ' order by i), '') as kept
+    from marked group by 1
+)
+select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+    sha256(coalesce(kept, '')) as kept_sha256
+from docs left join summed using (d)
 """,
 }
