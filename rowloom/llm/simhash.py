@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.components import components, written
 from rowloom.llm.text import MIX_A, map_batches, mix
+from rowloom.session import checked_broadcast
 
 SEED = 42
 BITS = 64
 CELL = 1 << 16  # fingerprints that one walk takes at most
 SPLIT_BITS = 4  # levels walked at once when a piece is cut
+HOT_CLASS = 1024  # a class with more points is not gathered by its root
 DENSE = 4096  # node pairs with more row pairs are compared in blocks
 
 
@@ -470,8 +472,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rooted = points.join(roots, points["id"] == roots["node"], "left").select(
         *prints, "smallest", F.coalesce("root", "id").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    classed = written(rooted.join(least, "root").select(*prints, "component_id", "root"), "classes")
+    rooted = written(rooted, "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    # Classes of very many points are few (at most all points / HOT_CLASS): their rows stay where they are.
+    hot = checked_broadcast(least.filter(F.col("n") > HOT_CLASS).select("root", "component_id"))
+    cold = least.filter(F.col("n") <= HOT_CLASS).select("root", "component_id")
+    classed = rooted.join(hot, "root").unionByName(rooted.join(hot.select("root"), "root", "left_anti").join(cold, "root"))
+    classed = written(classed.select(*prints, "component_id", "root"), "classes")
     return made.join(classed, prints).select(key, F.col("fp0").alias("fp"), "component_id", "text_hash", "root")
 
 
