@@ -6,18 +6,25 @@ the one with the smallest id is a ``response``; the others are ``revisit`` recor
 Reader: a record is taken if its member inflates with the right checksum, its version line and headers parse, its
 length fits, and its digests are right. After a failed check the reader looks for the next gzip member or version
 line from which a whole valid record can be read, reports the bytes in between as a gap with its reason, and
-goes on there. So every intact record of a damaged file is recovered. Files are read by a window of bounded size;
-one record is held at a time.
+goes on there. So every intact record of a damaged file is recovered, and records and gaps cover every byte. Files
+are read by a window of bounded size; one record is held at a time. A record of more than ``RECORD_BYTES`` (headers
+included, inflated) is a gap with that reason.
+
+Headers may be folded over lines, and stand once each. SHA-1 digests are compared as bytes, written in base32 of either case or in hex; those
+of other algorithms are not checked, nor is the payload digest of a body in chunked transfer or of one segment of a
+record. The payload of an HTTP response is its body, that of any other record its block.
 
 Defined results: a null or empty page is an empty payload, and such payloads are equal; a null id counts as the
-largest; pages that repeat the smallest id of a payload are all responses. An empty file has neither records
-nor gaps.
+largest; pages that repeat the smallest id of a payload are all responses. An empty table gives no archives. An empty
+file has neither records nor gaps. Other columns of the pages are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -33,6 +40,7 @@ from rowloom.session import checked_broadcast, scratch_path
 
 FILE_BYTES = 64 << 20  # an archive is closed when it has this size
 WINDOW = 1 << 20
+RECORD_BYTES = 256 << 20  # a larger record is not read
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/"
 # Fixed value of the format: the profile of a revisit with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,7 +159,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     if end < 0:
         raise Damaged("headers do not end")
     headers = headers_of(data[:end])
-    first, last = end + 4, end + 4 + int(headers["content-length"])
+    first, last = end + 4, end + 4 + length_of(headers)
     if len(data) < last:
         raise Damaged("record is cut off")
     if data[last : last + 4] != b"\r\n\r\n":
@@ -165,41 +173,81 @@ def headers_of(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not (lines[0].startswith("WARC/1.") and len(lines[0]) <= 10):
         raise Damaged("no version line")
-    headers = {}
+    headers: dict[str, str] = {}
+    name = None
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name is not None:  # a folded value
+            headers[name] = f"{headers[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header without colon")
-        headers[name.strip().lower()] = value.strip()
-    if not headers.get("content-length", "").isdigit() or "warc-type" not in headers:
+        name = name.strip().lower()
+        if name in headers and name != "warc-concurrent-to":
+            raise Damaged("a header stands twice")  # as where one record was cut off inside its headers
+        headers[name] = value.strip()
+    length_of(headers)
+    if "warc-type" not in headers:
         raise Damaged("a needed header is missing")
     return headers
 
 
+def length_of(headers: dict[str, str]) -> int:
+    """The length of the block; plain digits, as many as any file can need."""
+    if not re.fullmatch(r"[0-9]{1,18}", said := headers.get("content-length", "")):
+        raise Damaged("length is no number" if said else "a needed header is missing")
+    return int(said)
+
+
 def check(headers: dict[str, str], block: bytes) -> None:
-    said = headers.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != digest_of(block):
+    if wrong(headers.get("warc-block-digest", ""), block):
         raise Damaged("block digest is wrong")
-    said = headers.get("warc-payload-digest", "")
-    if said.startswith("sha1:") and headers["warc-type"] == "response" and said[5:] != digest_of(payload_of(block)):
+    whole = headers["warc-type"] in ("response", "resource", "request") and "warc-segment-number" not in headers
+    if whole and not (is_http(headers) and chunked(block)) and wrong(headers.get("warc-payload-digest", ""), payload_of(headers, block)):
         raise Damaged("payload digest is wrong")
 
 
-def payload_of(block: bytes) -> bytes:
-    return block.partition(b"\r\n\r\n")[2]
+def wrong(said: str, data: bytes) -> bool:
+    """Whether a digest, as it stands in a header, is not the one of ``data``; other algorithms are not checked."""
+    algorithm, _, value = said.partition(":")
+    if algorithm.strip().lower() not in ("sha1", "sha-1"):
+        return False
+    value = value.strip().rstrip("=")
+    try:
+        digest = bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except (ValueError, binascii.Error):
+        return True
+    return digest != hashlib.sha1(data).digest()
+
+
+def is_http(headers: dict[str, str]) -> bool:
+    implied = "" if headers["warc-type"] == "resource" else "application/http"
+    return headers.get("content-type", implied).lower().startswith("application/http")
+
+
+def chunked(block: bytes) -> bool:
+    """Whether the body of an HTTP message is in chunks, with or without which its digest may have been taken."""
+    return bool(re.search(rb"(?im)^transfer-encoding:[^\r\n]*chunked", block.partition(b"\r\n\r\n")[0]))
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if is_http(headers) else block
 
 
 def record_at(window: Window, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and stored length of the valid record at ``at``; raises if there is none."""
     start = window.get(at, 5)
     if start[:3] == MEMBER:
-        unpack, parts, place = zlib.decompressobj(31), [], at
+        unpack, parts, place, room = zlib.decompressobj(31), [], at, RECORD_BYTES
         try:
             while not unpack.eof:
                 raw = window.get(place, 1 << 16)
                 if not raw:
                     raise Damaged("member is cut off")
-                part = unpack.decompress(raw)
+                part = unpack.decompress(raw, room + 1)
+                room -= len(part)
+                if room < 0:
+                    raise Damaged(f"record is larger than {RECORD_BYTES} bytes")
                 if not parts and part and not (part[:5] == VERSION[: len(part)]):
                     raise Damaged("member holds no record")
                 parts.append(part)
@@ -218,9 +266,11 @@ def record_at(window: Window, at: int) -> tuple[dict[str, str], bytes, int]:
                 raise Damaged("headers do not end")
             size *= 4
         headers = headers_of(head[:end])
-        need = end + 8 + int(headers["content-length"])
+        need = end + 8 + length_of(headers)
         if at + need > window.size:
             raise Damaged("record is cut off")
+        if need > RECORD_BYTES:
+            raise Damaged(f"record is larger than {RECORD_BYTES} bytes")
         headers, block, taken = parse(window.get(at, need))
         return headers, block, taken
     raise Damaged("neither a member nor a version line")
@@ -278,11 +328,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def described(headers: dict[str, str], block: bytes) -> tuple[str, str | None, str | None, str | None, str | None, int]:
     """Type, id, URI, reference, digest and full payload size of a record."""
-    size = len(payload_of(block))
+    size = len(payload_of(headers, block))
     if headers["warc-type"] == "revisit":  # the payload is elsewhere; the HTTP header keeps its size
         for line in block.partition(b"\r\n\r\n")[0].split(b"\r\n"):
             name, _, value = line.partition(b":")
-            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            if name.strip().lower() == b"content-length" and re.fullmatch(rb"[0-9]{1,18}", value.strip()):
                 size = int(value)
     digest = headers.get("warc-payload-digest")
     return (
