@@ -64,7 +64,8 @@ def _windows(block: Block, words: int) -> Windows:
     grams = np.zeros(len(hashes) - GRAM + 1, np.uint64)
     for i in range(GRAM):
         grams = grams * np.uint64(BASE) + hashes[i : len(grams) + i]
-    anchors = sliding_min(mix(grams), words - GRAM + 1)
+    # minima are small numbers; mixed anew they spread over all buckets
+    anchors = mix(sliding_min(mix(grams), words - GRAM + 1) ^ np.uint64(BASE))
     unit = block.unit()
     named = np.array([tag is not None for tag in block.tags])
     ids = np.array([int(tag) if tag is not None else 0 for tag in block.tags], np.int64)
