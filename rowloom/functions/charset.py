@@ -12,6 +12,8 @@ UTF8, LATIN1, LATIN9, CP1252 = "UTF-8", "ISO-8859-1", "ISO-8859-15", "windows-12
 SINGLE_BYTE = {LATIN1: "latin-1", LATIN9: "iso8859-15", CP1252: "cp1252"}
 CHARSETS = (UTF8, *SINGLE_BYTE)
 FALLBACK = CP1252
+# Known by their byte order mark, and text already when a line is read.
+UTF16LE, UTF16BE = "UTF-16LE", "UTF-16BE"
 
 
 def _differences(charset: str) -> tuple[str, str]:
@@ -46,21 +48,11 @@ def encode_raw(text: Column, charset: str) -> Column:
     """Text -> raw bytes in a text column; characters the charset lacks become ``?``."""
     if charset == UTF8:
         return text
+    if charset in (UTF16LE, UTF16BE):
+        return F.encode(text, charset).cast("string")
     read, meant = _differences(charset)
     if read:
         # A character whose place is taken cannot be written; the others move to their byte.
         text = F.translate(F.translate(text, read, "?" * len(read)), meant, read)
     safe = F.regexp_replace(text, r"[^\x00-\xFF]", "?")
     return F.encode(safe, LATIN1).cast("string")
-
-
-def has_utf8_bom(raw: Column) -> Column:
-    return F.hex(F.substring(raw.cast("binary"), 1, 3)) == "EFBBBF"
-
-
-def has_utf16_bom(raw: Column) -> Column:
-    return F.hex(F.substring(raw.cast("binary"), 1, 2)).isin("FFFE", "FEFF")
-
-
-def strip_bom(line: Column) -> Column:
-    return F.regexp_replace(line, "\\A\ufeff", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,15 +138,38 @@ def column_plan(types: DataFrame, path: str, names: list[str] | None = None) ->
     rows = types.filter(F.col("path") == path).select("col", "data_type").orderBy("col").collect()
     width = max((r["col"] for r in rows), default=-1) + 1
     found = {r["col"]: r["data_type"] for r in rows}
-    names = names or []
-    taken: dict[str, int] = {}
-    plan = []
-    for i in range(width):
-        name = names[i] if i < len(names) and names[i] else f"_c{i}"
-        seen = taken.get(name, 0)
-        taken[name] = seen + 1
-        plan.append((f"{name}_{seen}" if seen else name, found.get(i, "text")))
-    return plan
+    return list(zip(column_names(names or [], width), (found.get(i, "text") for i in range(width))))
+
+
+# Columns of a typed table that are not fields.
+OWN_COLUMNS = ("path", "line_no", "_rescued")
+
+
+def column_names(names: list[str], width: int) -> list[str]:
+    """``width`` names that differ also without regard to case, as Spark asks for.
+
+    A name that is taken, by another column or one of :data:`OWN_COLUMNS`, gets the first free number; a column without a
+    name is ``_c`` and its position, which no other column is given. Names that stand once keep their form whatever
+    comes before them.
+    """
+    wanted = [names[i] if i < len(names) and names[i] else f"_c{i}" for i in range(width)]
+    taken = {n.lower() for n in OWN_COLUMNS}
+    plain, seen = set(), set()
+    for i, name in enumerate(wanted):  # the first column of a name has it, so no number may make up another's name
+        low = name.lower()
+        position = re.fullmatch(r"_c([0-9]+)", low)
+        if low not in taken and low not in seen and (position is None or low == f"_c{i}"):
+            plain.add(i)
+            seen.add(low)
+    taken |= seen
+    out = []
+    for i, name in enumerate(wanted):
+        number = 0
+        while i not in plain and (number == 0 or f"{name}_{number}".lower() in taken):
+            number += 1
+        out.append(f"{name}_{number}" if number else name)
+        taken.add(out[-1].lower())
+    return out
 
 
 def to_typed(

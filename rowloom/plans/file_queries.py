@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions.charset import CP1252, LATIN1, LATIN9, UTF8, encode_raw
+from rowloom.functions.charset import BOM, CP1252, LATIN1, LATIN9, UTF8, UTF16BE, UTF16LE, encode_raw
 from rowloom.functions.refs import path_folder
 from rowloom.functions.split import line_array
 from rowloom.operators.cells import column_types
@@ -15,10 +15,12 @@ from rowloom.plans.convert import (
 )
 from rowloom.plans.queries import TYPE_REPORT, checksum, customer_rows, spread, table
 from rowloom.session import materialize, scratch_path
+from rowloom.sinks.outputs import place_outputs, text_pieces
 from rowloom.sinks.text import write_lines
 from rowloom.sinks.workbooks import export_workbooks
 from rowloom.sources.tables import print_line, table_lines
 from rowloom.sources.text_files import explode_lines, list_files, read_lines
+from rowloom.sources.workbooks import read_workbook_cells
 from rowloom.streaming.watch import watch_folder
 
 
@@ -27,6 +29,20 @@ def _folder_name(path: F.Column) -> F.Column:
     return F.regexp_extract(path_folder(path), r"=([^/=]*)/\z", 1)
 
 
+def drop_files(lines: DataFrame, folder: str, extension: str, charset: str = UTF8, mark: bytes = b"",
+               empty: tuple[str, ...] = ()) -> None:
+    """A file of the given lines per ``key`` of ``lines(key, row, line)`` in ``folder``, and some empty ones."""
+    pieces = text_pieces(lines, charset)
+    file = F.concat(F.lit(f"{folder}/"), F.col("key"), F.lit(extension))
+    names = pieces.select("key").distinct().select("key", file.alias("file"), F.lit(False).alias("own"))
+    if empty:
+        nothing = lines.sparkSession.createDataFrame([(n, f"{folder}/{n}", False) for n in empty], names.schema)
+        names = names.unionByName(nothing)
+    placed = materialize(place_outputs(names, pieces, overwrite=True, mark=mark))
+    if not placed.filter("status != 'ok'").isEmpty():
+        raise OSError(placed.filter("status != 'ok'").first()["message"])
+
+
 def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.col("doc_id"), line_array(F.col("text")).alias("lines")
@@ -35,7 +51,7 @@ def _document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def charset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All document lines written in four charsets and read back, the charset given per folder or found."""
+    """All document lines written in six charsets and read back, the charset given per folder or found."""
     lines = _document_lines(spark, sf_dir)
     out = None
     for charset, given in ((UTF8, None), (CP1252, None), (LATIN1, LATIN1), (LATIN9, LATIN9)):
@@ -45,6 +61,12 @@ def charset_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         whole = -1 if charset == CP1252 else 1 << 24
         read = read_lines(spark, target, given, whole_file_bytes=whole).select(F.lit(charset).alias("charset"), "line")
         out = read if out is None else out.unionByName(read)
+    for charset, whole in ((UTF16LE, 1 << 24), (UTF16BE, -1)):
+        target = scratch_path(spark, "charset")
+        keyed = lines.select(F.concat(F.lit("part"), F.pmod("doc_id", F.lit(4)).cast("string")).alias("key"),
+                             (F.col("doc_id") * (1 << 32) + F.col("line_no")).alias("row"), "line")
+        drop_files(keyed, target, ".txt", charset, BOM.encode(charset))
+        out = out.unionByName(read_lines(spark, target, whole_file_bytes=whole).select(F.lit(charset).alias("charset"), "line"))
     return out.groupBy("charset").agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.length("line")).alias("chars"),
@@ -109,44 +131,67 @@ def file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = Options(header=False)
     for part, mode in ((lines, "append"), (lines.filter(F.col("value").contains("click")), "append")):
         part.write.mode(mode).text(drop)
-        query = watch_folder(spark, drop, target, checkpoint, options, files_per_batch=4, available_now=True)
+        query = watch_folder(spark, drop, target, checkpoint, options, available_now=True)
         query.awaitTermination()
     cells = spark.read.option("basePath", f"{target}/cells").parquet(f"{target}/cells")
     return column_types(cells, ("col",)).select(*[c for c in TYPE_REPORT if c != "path"])
 
 
+def _hard_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """A hidden file with the nations, an empty one, and a workbook that is none."""
+    nation = table(spark, sf_dir, "nation")
+    lines = nation.select(F.lit("_nations").alias("key"), F.col("n_nationkey").alias("row"),
+                          print_line(nation, ["n_nationkey", "n_name", "n_regionkey"], ";").alias("line"))
+    drop_files(lines, folder, ".csv", empty=(".empty.csv", "broken.xlsx"))
+
+
 def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages dropped as one file each status of the report: every file converted once."""
+    """Pages dropped as files, with hidden, empty and broken ones: each status of the report, every file converted once."""
     pages = table(spark, sf_dir, "pages")
     drop = scratch_path(spark, "drop")
     target, checkpoint = scratch_path(spark, "converted"), scratch_path(spark, "watch")
     numbers = pages.select(print_line(pages, ["page_id", "url"], ";").alias("value"))
     spread(numbers).write.text(drop)
+    _hard_files(spark, sf_dir, drop)
     for _ in range(2):  # the second start finds nothing new
         watch_folder(spark, drop, target, checkpoint, Options(), available_now=True).awaitTermination()
     report = spark.read.option("basePath", f"{target}/report").parquet(f"{target}/report")
     profile = spark.read.option("basePath", f"{target}/profile").parquet(f"{target}/profile")
     once = report.groupBy("path").agg(F.count(F.lit(1)).alias("times"), F.max("status").alias("status"))
-    counted = once.join(profile.select("path", "total_lines"), "path")
-    return counted.groupBy("status", "times").agg(F.sum("total_lines").alias("lines"))
+    counted = once.join(profile.select("path", "total_lines"), "path", "left")
+    hard = F.col("path").rlike(r"/(_nations\.csv|\.empty\.csv|broken\.xlsx)$")
+    return counted.groupBy("status", "times").agg(
+        F.coalesce(F.sum("total_lines"), F.lit(0)).alias("lines"), F.count_if(hard).alias("hard_files"))
 
 
 def batch_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of suppliers as text and customers as one workbook per nation, converted in one batch."""
+    """A folder of suppliers as text and customers as one workbook per nation, with hidden, empty, broken and missing
+    files, converted in one batch: tables, the files that the sources become, and the failures."""
     suppliers = table(spark, sf_dir, "supplier")
-    inbox, target = scratch_path(spark, "inbox"), scratch_path(spark, "converted")
+    inbox, target, folder = (scratch_path(spark, n) for n in ("inbox", "converted", "files"))
     suppliers.select(print_line(suppliers, suppliers.columns, "\t").alias("value")).write.text(inbox)
     books = materialize(export_workbooks(customer_rows(spark, sf_dir)))
     saved = save_workbooks(spark, books, inbox)
     saved.write.parquet(scratch_path(spark, "saved"))
-    report = convert_batch(spark, inbox, target, Options(header=False, all_sheets=True))
+    _hard_files(spark, sf_dir, inbox)
+    options = Options(header=False, all_sheets=True, save_files=True, output_folder=folder)
+    report = convert_batch(spark, [inbox, f"{inbox}/gone.csv"], target, options)
+    hidden = F.col("path").endswith("_nations.csv")
     cells = spark.read.option("basePath", f"{target}/cells").parquet(f"{target}/cells")
-    lines = spark.read.text(f"{target}/lines", lineSep="\r\n")
-    text = cells.agg(F.count(F.lit(1)).alias("items"), checksum(F.col("text")).alias("checksum"))
-    sheets = lines.agg(F.count(F.lit(1)).alias("items"), checksum(F.col("value")).alias("checksum"))
-    results = text.select(F.lit("cells").alias("output"), "*").unionByName(
-        sheets.select(F.lit("lines").alias("output"), "*")
-    )
+
+    def items(df: DataFrame, name: str, sum_: F.Column) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("items"), sum_.alias("checksum")).select(F.lit(name).alias("output"), "items", "checksum")
+
+    hundredths = F.sum(F.round(F.col("num") * 100).cast("bigint"))
+    sheets = read_workbook_cells(spark, f"{folder}/*.xlsx")
+    results = items(cells.filter(~hidden), "cells", checksum(F.col("text")))
+    for more in (
+        items(cells.filter(hidden), "hidden cells", checksum(F.col("text"))),
+        items(spark.read.text(f"{target}/lines", lineSep="\r\n"), "lines", checksum(F.col("value"))),
+        items(read_lines(spark, f"{folder}/*.csv"), "lines of files", checksum(F.col("line"))),
+        items(sheets, "cells of files", F.coalesce(hundredths, F.lit(0).cast("bigint"))),
+    ):
+        results = results.unionByName(more)
     failed = batch_report(report).filter(F.col("status") == "failed").select(F.lit("failed").alias("output"),
         F.col("files").alias("items"), F.lit(0).cast("bigint").alias("checksum"))
     return results.unionByName(failed)

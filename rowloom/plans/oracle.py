@@ -142,6 +142,7 @@ COLUMNS = {
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
     "lineitem": [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
@@ -479,7 +480,8 @@ def oracle_sql() -> dict[str, str]:
     sql["charset_files"] = f"""
       WITH lines AS ({DOCUMENT_LINES})
       SELECT charset, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, {checksum('line')} AS checksum
-      FROM lines, (VALUES ('UTF-8'), ('windows-1252'), ('ISO-8859-1'), ('ISO-8859-15')) c(charset) GROUP BY charset"""
+      FROM lines, (VALUES ('UTF-8'), ('windows-1252'), ('ISO-8859-1'), ('ISO-8859-15'),
+        ('UTF-16LE'), ('UTF-16BE')) c(charset) GROUP BY charset"""
     sql["line_file_numbers"] = f"""
       SELECT event_type, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS ids, count(*) AS numbers,
              {checksum(f"concat_ws(';', event_id, user_id, {two_places('value')})")} AS checksum
@@ -500,8 +502,20 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["file_stream"] = counted_kinds(dropped, "col")
     supplier_cells = " UNION ALL ".join(f"SELECT {printed(c)} AS v FROM supplier" for c in COLUMNS["supplier"])
+    nation_cells = " UNION ALL ".join(f"SELECT {printed(c)} AS v FROM nation" for c in COLUMNS["nation"])
+    amounts = " UNION ALL ".join(
+        [f"SELECT {c} AS v FROM supplier" for c in ("s_suppkey", "s_nationkey", "s_acctbal", "NULL")]
+        + [f"SELECT {c} AS v FROM nation" for c in ("n_nationkey", "NULL", "n_regionkey")]
+    )
     sql["batch_conversion"] = f"""
       SELECT 'cells' AS output, count(*) AS items, {checksum('v')} AS checksum FROM ({supplier_cells})
-      UNION ALL SELECT 'lines', count(*), {checksum('line')} FROM (SELECT {line} AS line FROM customer)"""
-    sql["stream_report"] = "SELECT 'ok' AS status, CAST(1 AS BIGINT) AS times, count(*) AS lines FROM pages"
+      UNION ALL SELECT 'hidden cells', count(*), {checksum('v')} FROM ({nation_cells})
+      UNION ALL SELECT 'lines', count(*), {checksum('line')} FROM (SELECT {line} AS line FROM customer)
+      UNION ALL SELECT 'lines of files', count(*), {checksum('line')} FROM (SELECT {line} AS line FROM customer)
+      UNION ALL SELECT 'cells of files', count(*), CAST(sum(CAST(round(v * 100) AS BIGINT)) AS BIGINT) FROM ({amounts})
+      UNION ALL SELECT 'failed', 2, 0"""
+    sql["stream_report"] = """
+      SELECT 'ok' AS status, CAST(1 AS BIGINT) AS times, (SELECT count(*) FROM pages) + (SELECT count(*) FROM nation) AS lines,
+             CAST(2 AS BIGINT) AS hard_files
+      UNION ALL SELECT 'failed', 1, 0, 1"""
     return sql

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 from xml.sax.saxutils import quoteattr
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from rowloom.functions.cells import FORMAT_OF_STYLE, stored_value
 from rowloom.functions.numbers import number_text
 from rowloom.functions.refs import cell_ref
+from rowloom.session import scratch_path
+from rowloom.sinks.outputs import new_piece
 
 # Rows a sheet can hold, and the name of the sheet.
 SHEET_ROWS = 1048576
@@ -103,6 +106,62 @@ def cell_rows(cells: DataFrame) -> DataFrame:
     return cells.groupBy("path", "row").agg(packed.alias("cells"))
 
 
+def _stored(rows: DataFrame, rows_per_workbook: int, every: DataFrame | None = None) -> DataFrame:
+    """``(path, chunk, xml)`` of rows, dealt by workbook and in order; a null ``xml`` for a workbook that may have none."""
+    limit = min(rows_per_workbook, SHEET_ROWS)
+    chunk = F.floor((F.col("row") - 1) / F.lit(limit)).cast("int")
+    placed = rows.withColumn("chunk", chunk).withColumn("_at", F.col("row") - F.col("chunk").cast("bigint") * limit)
+    stored = placed.select("path", "chunk", "_at", row_xml(F.col("cells"), F.col("_at")).alias("xml"))
+    if every is not None:
+        none = F.lit(None).cast("string")
+        stored = stored.unionByName(every.select("path", F.lit(0).alias("chunk"), F.lit(0).cast("bigint").alias("_at"), none.alias("xml")))
+    return stored.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "_at").select("path", "chunk", "xml")
+
+
+class _Stream:
+    """A stream that is only written, so that a container goes to it piece by piece."""
+
+    def __init__(self, out: Any) -> None:
+        self.out, self.size = out, 0
+
+    def write(self, data: bytes) -> int:
+        data = bytes(data)
+        self.out.write(data)
+        self.size += len(data)
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+
+def _packed(batches: Iterator[pd.DataFrame], parts: dict[str, str], start: Callable[[], Any]) -> Iterator[tuple[str, int, Any]]:
+    """Rows that come workbook by workbook, written as containers to the streams that ``start`` gives."""
+    key = box = entry = stream = None
+
+    def finish() -> tuple[str, int, Any]:
+        entry.write(b"</sheetData></worksheet>")
+        entry.close()
+        box.close()
+        return key[0], key[1], stream
+
+    for batch in batches:
+        for (path, number), group in batch.groupby(["path", "chunk"], sort=False):
+            if (path, number) != key:
+                if key is not None:
+                    yield finish()
+                key, stream = (path, number), start()
+                box = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                for name, xml in parts.items():
+                    box.writestr(zipfile.ZipInfo(name), xml, zipfile.ZIP_DEFLATED)
+                info = zipfile.ZipInfo(_SHEET_ENTRY)
+                info.compress_type = zipfile.ZIP_DEFLATED
+                entry = box.open(info, "w", force_zip64=True)
+                entry.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+            entry.write("".join(x for x in group["xml"] if x is not None).encode())
+    if key is not None:
+        yield finish()
+
+
 def export_workbooks(rows: DataFrame, rows_per_workbook: int = SHEET_ROWS, sheet: str = SHEET_NAME) -> DataFrame:
     """``(path, chunk, content)`` of ``rows(path, row, cells)``, ``cells`` in column order.
 
@@ -110,37 +169,36 @@ def export_workbooks(rows: DataFrame, rows_per_workbook: int = SHEET_ROWS, sheet
     source and chunk; rows stream into the container in order, so a task holds the
     compressed workbook only.
     """
-    limit = min(rows_per_workbook, SHEET_ROWS)
-    chunk = F.floor((F.col("row") - 1) / F.lit(limit)).cast("int")
-    placed = rows.withColumn("chunk", chunk).withColumn("_at", F.col("row") - F.col("chunk").cast("bigint") * limit)
-    stored = placed.select("path", "chunk", "_at", row_xml(F.col("cells"), F.col("_at")).alias("xml"))
-    ordered = stored.repartition("path", "chunk").sortWithinPartitions("path", "chunk", "_at")
     parts = _fixed_parts(sheet)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = box = entry = buffer = None
-
-        def finish() -> pd.DataFrame:
-            entry.write(b"</sheetData></worksheet>")
-            entry.close()
-            box.close()
-            return pd.DataFrame({"path": [key[0]], "chunk": [key[1]], "content": [buffer.getvalue()]})
-
-        for batch in batches:
-            for (path, number), group in batch.groupby(["path", "chunk"], sort=False):
-                if (path, number) != key:
-                    if key is not None:
-                        yield finish()
-                    key, buffer = (path, number), io.BytesIO()
-                    box = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED)
-                    for name, xml in parts.items():
-                        box.writestr(zipfile.ZipInfo(name), xml, zipfile.ZIP_DEFLATED)
-                    info = zipfile.ZipInfo(_SHEET_ENTRY)
-                    info.compress_type = zipfile.ZIP_DEFLATED
-                    entry = box.open(info, "w", force_zip64=True)
-                    entry.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
-                entry.write("".join(group["xml"]).encode())
-        if key is not None:
-            yield finish()
-
-    return ordered.select("path", "chunk", "xml").mapInPandas(pack, "path string, chunk int, content binary")
+        for path, number, buffer in _packed(batches, parts, io.BytesIO):
+            yield pd.DataFrame({"path": [path], "chunk": [number], "content": [buffer.getvalue()]})
+
+    return _stored(rows, rows_per_workbook).mapInPandas(pack, "path string, chunk int, content binary")
+
+
+def workbook_pieces(rows: DataFrame, every: DataFrame, rows_per_workbook: int = SHEET_ROWS, sheet: str = SHEET_NAME) -> DataFrame:
+    """:func:`export_workbooks` as files: ``(path, chunk, uri, bytes)``, a table in the shared folder.
+
+    Each workbook streams into its file; a task holds none. ``every(path)`` names all sources: one without rows is an empty
+    workbook.
+    """
+    parts, folder = _fixed_parts(sheet), scratch_path(rows.sparkSession, "workbooks")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uris: list[str] = []
+
+        def start() -> _Stream:
+            uri, out = new_piece(folder)
+            uris.append(uri)
+            return _Stream(out)
+
+        for (path, number, stream) in _packed(batches, parts, start):
+            stream.out.close()
+            yield pd.DataFrame({"path": [path], "chunk": [number], "uri": [uris.pop(0)], "bytes": [stream.size]})
+
+    target = scratch_path(rows.sparkSession, "pieces")
+    schema = "path string, chunk int, uri string, bytes bigint"
+    _stored(rows, rows_per_workbook, every).mapInPandas(pack, schema).write.parquet(target)
+    return rows.sparkSession.read.schema(schema).parquet(target)

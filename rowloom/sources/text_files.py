@@ -1,24 +1,23 @@
 """Delimited text files: listing, charset, exact line numbers.
 
 Small files are read whole, one row per file, so that profile and lines need no shuffle.
-Large files are read as splittable lines: a first pass reduces each block to one row (its
+Large files are read as lines of byte ranges, once: a first pass reduces each range to one row (its
 number of lines, whether it is valid UTF-8), a running total over these gives the number of
-the first line of each block.
+the first line of each range. Every wanted file that cannot be read has a row with its reason.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions import charset as cs
-from rowloom.functions.refs import path_extension
 from rowloom.functions.split import line_array
 from rowloom.session import checked_broadcast, materialize, scratch_path
+from rowloom.sources.raw_files import line_ranges, whole_files
+from rowloom.sources.stores import every_file
 
 # File types converted.
 TEXT_TYPES = (".csv", ".txt", ".log")
@@ -28,11 +27,6 @@ WORKBOOK_TYPES = (".xlsx",)
 WHOLE_FILE_BYTES = 16 * 1024 * 1024
 
 
-def file_path() -> Column:
-    """Path of the file a row is read from, as the user would write it."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
 def literal_path(path: str) -> str:
     """A path to read that means itself, also where it holds pattern characters."""
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
@@ -40,56 +34,52 @@ def literal_path(path: str) -> str:
 
 def list_files(spark: SparkSession, paths: str | list[str], types: tuple[str, ...] = TEXT_TYPES + WORKBOOK_TYPES,
                recursive: bool = False) -> DataFrame:
-    """``files(path, extension, length, modified)`` of the given types, in any letter case.
+    """``files(path, extension, length, modified, message)`` of the given types, in any letter case.
 
-    Only the listing is read, not the content.
+    Hidden and empty files count too. A path that is not there or cannot be listed is a row with a message.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    listed = reader.load(paths).select(
-        file_path().alias("path"),
-        F.col("length"),
-        F.col("modificationTime").alias("modified"),
-    )
-    return listed.withColumn("extension", path_extension(F.col("path"))).filter(F.col("extension").isin(*types))
-
-
-def _wanted(types: tuple[str, ...]) -> Column:
-    return path_extension(F.col("_metadata.file_path")).isin(*types)
+    listed = every_file(spark, paths, recursive)
+    return listed.filter(F.col("extension").isin(*types) | F.col("message").isNotNull())
 
 
-def _reader(spark: SparkSession, recursive: bool):
-    return spark.read.option("recursiveFileLookup", str(recursive).lower())
-
-
-def detected_encoding(marked: Column, valid_utf8: Column, given: str | None) -> Column:
-    """UTF-8 if a byte order mark says so, else the given charset, else UTF-8 if the bytes are valid
-    UTF-8, else the fallback."""
+def detected_encoding(mark: Column, valid_utf8: Column, given: str | None) -> Column:
+    """What a byte order mark says, else the given charset, else UTF-8 if the bytes are valid UTF-8, else the fallback."""
     if given is not None and given not in cs.CHARSETS:
         raise ValueError(f"charset is one of {', '.join(cs.CHARSETS)}")
     found = F.when(valid_utf8, cs.UTF8).otherwise(cs.FALLBACK) if given is None else F.lit(given)
-    return F.when(marked, cs.UTF8).otherwise(found)
+    return F.coalesce(mark, found)
+
+
+def _files(spark: SparkSession, paths: str | list[str] | DataFrame, types: tuple[str, ...], recursive: bool) -> DataFrame:
+    """The readable files of a listing, or of what is at some paths."""
+    listed = paths if isinstance(paths, DataFrame) else list_files(spark, paths, types, recursive)
+    return listed.filter(F.col("extension").isin(*types) & F.col("message").isNull())
 
 
 def read_whole_files(
     spark: SparkSession,
-    paths: str | list[str],
+    paths: str | list[str] | DataFrame,
     encoding: str | None = None,
     types: tuple[str, ...] = TEXT_TYPES,
     max_bytes: int = WHOLE_FILE_BYTES,
     recursive: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
-    """``(path, encoding, utf16, lines array<string>)`` of the files up to ``max_bytes``. No shuffle."""
-    raw = (
-        _reader(spark, recursive).text(paths, wholetext=True)
-        .filter((F.col("_metadata.file_size") <= max_bytes) & _wanted(types))
-        .select(file_path().alias("path"), F.col("value").alias("_raw"))
-    )
-    decoded = (
-        raw.withColumn("encoding", detected_encoding(cs.has_utf8_bom(F.col("_raw")), F.is_valid_utf8("_raw"), encoding))
-        .withColumn("utf16", cs.has_utf16_bom(F.col("_raw")))
-        .withColumn("_text", cs.strip_bom(cs.decode_raw(F.col("_raw"), F.col("encoding"))))
-    )
-    return decoded.select("path", "encoding", "utf16", line_array(F.col("_text")).alias("lines"))
+    """``(path, encoding, lines array<string>, message)`` of the files up to ``max_bytes``; ``paths`` may be a listing.
+
+    No shuffle but that of the listing. With ``stored`` the files are read once and kept in the shared folder.
+    """
+    files = _files(spark, paths, types, recursive).filter((F.col("length") <= max_bytes) | (F.col("length") == 0))
+    raw = whole_files(files)
+    if stored:
+        target = scratch_path(spark, "files")
+        raw.write.parquet(target)
+        raw = spark.read.schema(raw.schema).parquet(target)
+    text = F.col("raw").cast("string")
+    decoded = raw.withColumn("_raw", text).withColumn(
+        "encoding", detected_encoding(F.col("mark"), F.is_valid_utf8("_raw"), encoding)
+    ).withColumn("_text", cs.decode_raw(F.col("_raw"), F.col("encoding")))
+    return decoded.select("path", "encoding", line_array(F.col("_text")).alias("lines"), "message")
 
 
 def explode_lines(whole: DataFrame) -> DataFrame:
@@ -105,126 +95,80 @@ def explode_lines(whole: DataFrame) -> DataFrame:
     )
 
 
-def scan_lines(
-    spark: SparkSession,
-    paths: str | list[str],
-    types: tuple[str, ...] = TEXT_TYPES,
-    above_bytes: int = -1,
-    recursive: bool = False,
-) -> DataFrame:
-    """``(path, block, seq, raw)``: raw lines of the files above a size, splittable.
-
-    ``seq`` grows by one per line inside a block, as a block is read by one task in order.
-    """
-    return (
-        _reader(spark, recursive).text(paths)
-        .filter((F.col("_metadata.file_size") > above_bytes) & _wanted(types))
-        .select(
-            file_path().alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.col("value").alias("raw"),
-        )
-    )
-
-
 def stored_scan(
     spark: SparkSession,
-    paths: str | list[str],
+    paths: str | list[str] | DataFrame,
     types: tuple[str, ...] = TEXT_TYPES,
     above_bytes: int = -1,
     recursive: bool = False,
 ) -> DataFrame:
-    """:func:`scan_lines` written once to the shared folder.
+    """``(path, block, seq, raw, mark, message)``: raw lines of the files above a size, written once to the shared folder.
 
-    Blocks and numbers come from one reading of the files: another plan of the same scan may cut the files
-    elsewhere, as the size of its splits follows the cores and settings of the moment.
+    Blocks, numbers and lines come from one reading of the files.
     """
+    files = _files(spark, paths, types, recursive).filter((F.col("length") > above_bytes) & (F.col("length") > 0))
     target = scratch_path(spark, "lines")
-    scan = scan_lines(spark, paths, types, above_bytes, recursive)
+    scan = line_ranges(files).withColumn("raw", F.col("raw").cast("string"))
     scan.write.parquet(target)
     return spark.read.schema(scan.schema).parquet(target)
 
 
-def marked_files(scan: DataFrame) -> DataFrame:
-    """``(path, marked)`` of the files of a scan: whether their first three bytes are a UTF-8 byte order mark.
+def block_table(scan: DataFrame, encoding: str | None = None) -> DataFrame:
+    """One row per block of :func:`stored_scan`: ``path, block, lines_before, encoding, total_lines, message``.
 
-    The line reader drops the mark unseen, so tasks read these bytes by path, one small row per file.
+    Summed up before the shuffle. A file of which one block could not be read has a message in all of them.
     """
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            found = []
-            for path in batch["path"]:
-                scheme, host, rest = re.fullmatch(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?)?(/.*)", path).groups()
-                system, root = fs.LocalFileSystem(), ""
-                if scheme not in (None, "file"):
-                    system, root = fs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
-                with system.open_input_file(root.rstrip("/") + rest) as there:
-                    found.append((path, there.read(3) == b"\xef\xbb\xbf"))
-            yield pd.DataFrame(found, columns=["path", "marked"])
-
-    return scan.filter("block = 0").select("path").distinct().mapInPandas(look, "path string, marked boolean")
-
-
-def block_table(scan: DataFrame, encoding: str | None = None) -> DataFrame:
-    """One row per block of :func:`stored_scan`: ``path, block, first_seq, lines_before, n,
-    encoding, utf16, total_lines``. Summed up before the shuffle."""
     blocks = scan.groupBy("path", "block").agg(
-        F.min("seq").alias("first_seq"),
-        F.count(F.lit(1)).alias("n"),
+        F.count("seq").alias("n"),
         F.bool_and(F.is_valid_utf8("raw")).alias("valid"),
-        F.min_by(F.substring(F.col("raw").cast("binary"), 1, 2), "seq").alias("start"),
+        F.max("mark").alias("mark"),
+        F.max("message").alias("message"),
     )
     whole = Window.partitionBy("path")
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    utf16 = (F.col("block") == 0) & cs.has_utf16_bom(F.col("start"))
-    marked = F.coalesce("marked", F.lit(False))
-    return blocks.join(marked_files(scan), "path", "left").select(
+    valid = F.coalesce(F.bool_and("valid").over(whole), F.lit(True))
+    return blocks.select(
         "path",
         "block",
-        "first_seq",
-        "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"),
-        detected_encoding(marked, F.bool_and("valid").over(whole), encoding).alias("encoding"),
-        F.bool_or(utf16).over(whole).alias("utf16"),
+        detected_encoding(F.max("mark").over(whole), valid, encoding).alias("encoding"),
         F.sum("n").over(whole).alias("total_lines"),
+        F.max("message").over(whole).alias("message"),
     )
 
 
 def number_lines(scan: DataFrame, blocks: DataFrame, head: int | None = None) -> DataFrame:
     """``lines(path, line_no, line)`` of a scan with its materialized block table.
 
-    With ``head`` only the first lines of each file, which only blocks that hold some take part in.
+    With ``head`` only the first lines of each file, which only blocks that hold some take part in. Files with a
+    message leave no lines.
     """
+    blocks = blocks.filter("message is null")
     if head is not None:
         blocks = blocks.filter(F.col("lines_before") < head)
-    starts = checked_broadcast(blocks.select("path", "block", "first_seq", "lines_before", "encoding"))
-    numbered = scan.join(starts, ["path", "block"]).withColumn(
-        "line_no", F.col("lines_before") + F.col("seq") - F.col("first_seq") + 1
-    )
+    starts = checked_broadcast(blocks.select("path", "block", "lines_before", "encoding"))
+    numbered = scan.join(starts, ["path", "block"]).withColumn("line_no", F.col("lines_before") + F.col("seq") + 1)
     if head is not None:
         numbered = numbered.filter(F.col("line_no") <= head)
-    line = cs.decode_raw(F.col("raw"), F.col("encoding"))
-    return numbered.select(
-        "path", "line_no", F.when(F.col("line_no") == 1, cs.strip_bom(line)).otherwise(line).alias("line")
-    )
+    return numbered.select("path", "line_no", cs.decode_raw(F.col("raw"), F.col("encoding")).alias("line"))
 
 
 def read_lines(
     spark: SparkSession,
-    paths: str | list[str],
+    paths: str | list[str] | DataFrame,
     encoding: str | None = None,
     types: tuple[str, ...] = TEXT_TYPES,
     whole_file_bytes: int = WHOLE_FILE_BYTES,
     recursive: bool = False,
 ) -> DataFrame:
-    """``lines(path, line_no, line)`` of text files of any size, each in its own charset."""
-    whole = read_whole_files(spark, paths, encoding, types, whole_file_bytes, recursive)
+    """``lines(path, line_no, line)`` of text files of any size, each in its own charset.
+
+    Files that cannot be read leave no lines; :func:`read_whole_files` and :func:`block_table` have their messages.
+    """
+    files = paths if isinstance(paths, DataFrame) else list_files(spark, paths, types, recursive)
+    whole = read_whole_files(spark, files, encoding, types, whole_file_bytes)
     small = explode_lines(whole.select("path", "lines"))
-    scan = stored_scan(spark, paths, types, whole_file_bytes, recursive)
+    scan = stored_scan(spark, files, types, whole_file_bytes)
     blocks = materialize(block_table(scan, encoding))
     if blocks.isEmpty():
         return small

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import Any
 from xml.parsers.expat import ParserCreate
 
 import pandas as pd
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from rowloom.functions.cells import BOOLEAN, SHARED, STRING, is_date_format, stored_kind, stored_text
 from rowloom.functions.numbers import finite, lenient_or_overflow
 from rowloom.functions.dates import serial_date
-from rowloom.functions.refs import path_extension, ref_column
+from rowloom.functions.refs import ref_column
 from rowloom.session import is_small, scratch_path
-from rowloom.sources.text_files import WORKBOOK_TYPES, file_path
+from rowloom.sources.stores import reason, store_of
+from rowloom.sources.text_files import WORKBOOK_TYPES, list_files
 
 PART_SCHEMA = "path string, part string, entry string, seq bigint, xml string"
 ROW_SCHEMA = "_r bigint, c array<struct<_r:string,_s:int,_t:string,v:string>>"
@@ -69,9 +71,17 @@ def _elements(stream, tag: str, within: str | None) -> Iterator[str]:
         check.Parse(b"", True)
 
 
-def _unzip_one(path: str, content: bytes, parts: tuple[str, ...]) -> Iterator[tuple]:
+def _open(path: str, content: bytes | None) -> Any:
+    """A container by its bytes, or by its path."""
+    if content is not None:
+        return io.BytesIO(content)
+    system, place = store_of(path)
+    return system.open_input_file(place)
+
+
+def _unzip_one(path: str, content: bytes | None, parts: tuple[str, ...]) -> Iterator[tuple]:
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as box:
+        with _open(path, content) as source, zipfile.ZipFile(source) as box:
             for part in parts:
                 pattern, tag, within = ENTRIES[part]
                 for entry in box.namelist():
@@ -80,22 +90,23 @@ def _unzip_one(path: str, content: bytes, parts: tuple[str, ...]) -> Iterator[tu
                             for seq, xml in enumerate(_elements(stream, tag, within)):
                                 yield path, part, entry.lstrip("/"), seq, xml
     except Exception as problem:  # a bad container is one error row, not a failed job
-        yield path, "error", None, 0, f"{type(problem).__name__}: {problem}"
+        yield path, "error", None, 0, reason(problem)
 
 
 def workbook_parts(files: DataFrame, *parts: str) -> DataFrame:
-    """``(path, part, entry, seq, xml)`` of ``files(path, content)``: the elements of some parts.
+    """``(path, part, entry, seq, xml)`` of ``files(path[, content])``: the elements of some parts.
 
-    One task per group of workbooks; elements are handed on as they are found. What cannot be
-    opened gives one row with part ``error``.
+    One task per group of workbooks; elements are handed on as they are found. Without ``content`` a workbook is read
+    from its path, entry by entry. What cannot be opened gives one row with part ``error``.
     """
+    held = "content" in files.columns
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "part", "entry", "seq", "xml"]
         rows: list[tuple] = []
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for row in _unzip_one(path, bytes(content), parts):
+            for path, content in zip(batch["path"], batch["content"] if held else [None] * len(batch)):
+                for row in _unzip_one(path, bytes(content) if held else None, parts):
                     rows.append(row)
                     if len(rows) >= _BATCH:
                         yield pd.DataFrame(rows, columns=names)
@@ -103,24 +114,41 @@ def workbook_parts(files: DataFrame, *parts: str) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "content").mapInPandas(unzip, PART_SCHEMA)
+    return files.select("path", *(["content"] if held else [])).mapInPandas(unzip, PART_SCHEMA)
 
 
 def stored_parts(files: DataFrame) -> DataFrame:
     """:func:`workbook_parts` of all parts, unzipped once and written to the shared folder by part.
 
-    What reads one part does not touch the others, and an error in any part is known to all.
+    What reads one part does not touch the others, and an error in any part is known to all. A cell that points beyond
+    the shared strings of its workbook is such an error.
     """
     target = scratch_path(files.sparkSession, "parts")
     workbook_parts(files, *ENTRIES).write.partitionBy("part").parquet(target)
+    parts = files.sparkSession.read.schema(PART_SCHEMA).parquet(target)
+    unresolved_strings(parts).write.mode("append").partitionBy("part").parquet(target)
     return files.sparkSession.read.schema(PART_SCHEMA).parquet(target)
 
 
-def read_workbooks(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """``files(path, content)`` of the workbooks among the given files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
-    wanted = path_extension(F.col("_metadata.file_path")).isin(*WORKBOOK_TYPES)
-    return files.filter(wanted).select(file_path().alias("path"), "content")
+def unresolved_strings(parts: DataFrame) -> DataFrame:
+    """An error row for each workbook with a cell that points to no shared string: only rows with such cells are read."""
+    pointing = stored_rows(parts.filter(F.col("xml").rlike(r"\st\s*=\s*[\"']s[\"']")))
+    index = F.transform(F.filter("c", lambda c: (c["_t"] == SHARED) & c["v"].isNotNull()), lambda c: c["v"].try_cast("bigint"))
+    # an index that is no number, or negative, counts as beyond every table
+    beyond = F.lit(2**62).cast("bigint")
+    last = F.array_max(F.transform(index, lambda i: F.when(i >= 0, i).otherwise(beyond)))
+    asked = pointing.select("path", last.alias("last")).groupBy("path").agg(F.max("last").alias("last"))
+    there = parts.filter(F.col("part") == "si").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    bad = asked.join(there, "path", "left").filter(F.col("last") >= F.coalesce("n", F.lit(0)))
+    return bad.select("path", F.lit("error").alias("part"), F.lit(None).cast("string").alias("entry"),
+                      F.lit(0).cast("bigint").alias("seq"), F.lit("a cell points beyond the shared strings").alias("xml"))
+
+
+def read_workbooks(spark: SparkSession, paths: str | list[str] | DataFrame, recursive: bool = False) -> DataFrame:
+    """``files(path)`` of the workbooks among the given files, or of a listing; they are opened by path."""
+    listed = paths if isinstance(paths, DataFrame) else list_files(spark, paths, WORKBOOK_TYPES, recursive)
+    wanted = listed.filter(F.col("extension").isin(*WORKBOOK_TYPES) & F.col("message").isNull()).select("path")
+    return wanted.repartition(max(1, min(wanted.count(), 4 * spark.sparkContext.defaultParallelism)))
 
 
 def workbook_sheets(parts: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from rowloom.functions.charset import CHARSETS, decode_raw, encode_raw
 from rowloom.plans.convert import Options, batch_report, convert_batch, read_text, target_paths, text_to_cells
 from rowloom.session import checked_broadcast, is_small, materialize, shared_dir
 from rowloom.sinks.text import write_lines
-from rowloom.sources.text_files import list_files, literal_path, read_lines, read_whole_files
+from rowloom.sources import raw_files, text_files
+from rowloom.sources.text_files import list_files, literal_path, read_lines, read_whole_files, stored_scan
 
 TEXT = "Name;Preis\nKäse ö ü ß €;5,50\nÄ;7\n"
 
@@ -37,7 +38,7 @@ def test_charsets_and_lines(spark, folder, whole_bytes):
     for r in sorted(rows, key=lambda r: (r["path"], r["line_no"])):
         texts.setdefault(name(r["path"]), []).append(r["line"])
     expected = TEXT.splitlines()
-    assert texts["utf8.csv"] == texts["bom.TXT"] == texts["windows.log"] == expected
+    assert texts["utf8.csv"] == texts["bom.TXT"] == texts["windows.log"] == texts["utf16.csv"] == expected
     assert texts["blank.csv"] == ["", "", "", "a;b", "1;2"]
     assert "other.pdf" not in texts and "empty.csv" not in texts
     given = read_lines(spark, literal_path(str(folder / "latin9.csv")), "ISO-8859-15", whole_file_bytes=whole_bytes)
@@ -52,23 +53,18 @@ def test_profile_of_files(spark, folder, whole_bytes):
     found = {name(r["path"]): r for r in source.profile.collect()}
     assert found["utf8.csv"]["encoding"] == "UTF-8" and found["windows.log"]["encoding"] == "windows-1252"
     assert found["blank.csv"]["start_line"] == 4 and found["blank.csv"]["total_lines"] == 5
-    assert found["utf8.csv"]["header_names"] == ["Name", "Preis"] and found["utf16.csv"]["utf16"]
+    assert found["utf8.csv"]["header_names"] == ["Name", "Preis"] and found["utf16.csv"]["encoding"] == "UTF-16LE"
     cells = {(name(r["path"]), r["ref"]): r["kind"] for r in text_to_cells(source).collect()}
     assert cells["bom.TXT", "B2"] == "decimal" and cells["windows.log", "B3"] == "decimal"
-    assert not any(k[0] == "utf16.csv" for k in cells)
+    assert cells["utf16.csv", "B2"] == "decimal" and not any(k[0] == "empty.csv" for k in cells)
 
 
-def test_line_numbers_over_many_blocks(spark, tmp_path):
+def test_line_numbers_over_many_blocks(spark, tmp_path, monkeypatch):
     for k in range(3):
         lines = [f"{k};{i};{'x' * (i % 50)}" for i in range(4000)]
         (tmp_path / f"f{k}.csv").write_bytes("\r\n".join(lines).encode())
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
-    try:
-        rows = read_lines(spark, str(tmp_path), whole_file_bytes=-1).collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr(text_files, "line_ranges", lambda files: raw_files.line_ranges(files, 8192))
+    rows = read_lines(spark, str(tmp_path), whole_file_bytes=-1).collect()
     assert len(rows) == 12000
     assert all(int(r["line"].split(";")[1]) == r["line_no"] - 1 for r in rows)
 
@@ -96,7 +92,7 @@ def test_invalid_bytes_under_a_given_charset(spark, folder):
 def test_listing_and_targets(spark, folder):
     files = list_files(spark, literal_path(str(folder)))
     rows = {name(r["path"]): r for r in target_paths(files, "/out").collect()}
-    assert set(rows) == {"utf8.csv", "bom.TXT", "windows.log", "latin9.csv", "utf16.csv", "blank.csv"}
+    assert set(rows) == {"utf8.csv", "bom.TXT", "windows.log", "latin9.csv", "utf16.csv", "blank.csv", "empty.csv"}
     assert rows["bom.TXT"]["target"] == "/out/bom.xlsx"
 
 
@@ -121,11 +117,11 @@ def test_batch_with_a_bad_file(spark, folder, tmp_path):
     target = tmp_path / "out"
     report = convert_batch(spark, literal_path(str(folder)), str(target))
     status = {name(r["path"]): r["status"] for r in report.collect()}
-    assert status.pop("bad.xlsx") == "failed" and status.pop("utf16.csv") == "failed"
-    assert set(status.values()) == {"ok"} and len(status) == 5
-    assert {r["status"]: r["files"] for r in batch_report(report).collect()} == {"ok": 5, "failed": 2}
+    assert status.pop("bad.xlsx") == "failed"
+    assert set(status.values()) == {"ok"} and len(status) == 7
+    assert {r["status"]: r["files"] for r in batch_report(report).collect()} == {"ok": 7, "failed": 1}
     cells = spark.read.parquet(f"{target}/cells/batch_id=0")
-    assert cells.select("path").distinct().count() == 5
+    assert cells.select("path").distinct().count() == 6
 
 
 def test_shared_folder_and_checked_broadcast(spark):
@@ -141,15 +137,7 @@ def test_large_files_are_not_opened_whole(spark, tmp_path):
     (tmp_path / "large.csv").write_text("a;b\n" * 5000)
     whole = read_whole_files(spark, str(tmp_path), max_bytes=1000)
     assert [name(r["path"]) for r in whole.select("path").collect()] == ["small.csv"]
-    assert whole.rdd.getNumPartitions() == 1
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df = read_whole_files(spark, str(tmp_path), max_bytes=1000).select("lines")
-        df.collect()
-        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
-        assert scan.metrics().apply("numFiles").value() == 1
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [r["path"].rsplit("/", 1)[1] for r in stored_scan(spark, str(tmp_path), above_bytes=1000).select("path").distinct().collect()] == ["large.csv"]
 
 
 def test_typing_large_files_compiles(spark, tmp_path):
@@ -164,21 +152,6 @@ def test_typing_large_files_compiles(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_no_line_is_lost_when_splits_change(spark, tmp_path):
-    (tmp_path / "big.txt").write_text("".join(f"{i};x\n" for i in range(1, 20001)))
-    settings = {"spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "1024"}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        lines = read_lines(spark, str(tmp_path / "big.txt"), whole_file_bytes=-1)
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
-        rows = lines.collect()
-    finally:
-        for name in settings:
-            spark.conf.unset(name)
-    assert sorted((r["line_no"], r["line"]) for r in rows) == [(i, f"{i};x") for i in range(1, 20001)]
-
-
 def test_mark_is_written_before_the_first_row_there_is(spark, tmp_path):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 3, "y"), ("b", 1, "z")], "src string, row int, line string")
     write_lines(df.filter("src = 'a'"), str(tmp_path / "one"), ["row"], bom=True)

@@ -1,6 +1,11 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from rowloom.operators.cells import column_plan, column_types, to_cells, to_typed, with_profile, with_typed_fields
+from rowloom.operators.cells import (
+    column_names, column_plan, column_types, to_cells, to_typed, with_profile, with_typed_fields,
+)
 from rowloom.operators.numbering import head_rows, number_rows
 from rowloom.operators.profile import profile_files
 from rowloom.sources.tables import text_lines
@@ -139,3 +144,24 @@ def test_typing_stage_compiles(spark):
         assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_column_names_differ_without_regard_to_case():
+    assert column_names(["a", "a", "a_1"], 3) == ["a", "a_2", "a_1"]
+    assert column_names(["ID", "id", "Id"], 3) == ["ID", "id_1", "Id_2"]
+    assert column_names(["path", "Line_No", "_rescued", "x"], 4) == ["path_1", "Line_No_1", "_rescued_1", "x"]
+    assert column_names(["_c2", "", "y"], 4) == ["_c2_1", "_c1", "y", "_c3"]
+    for seed in range(200):
+        rng = random.Random(seed)
+        names = [rng.choice(["a", "A", "a_1", "A_1", "a_2", "", "_c1", "_C3", "path"]) for _ in range(rng.randrange(12))]
+        made = [n.lower() for n in column_names(names, 12)]
+        assert len(set(made)) == 12 and not {"path", "line_no", "_rescued"} & set(made)
+        assert all(n == f"_c{i}" for i, n in enumerate(made) if re.fullmatch(r"_c[0-9]+", n))
+
+
+def test_typed_table_of_clashing_names(spark):
+    lines = spark.createDataFrame([("f", 1, "ID;id;a;a;a_1"), ("f", 2, "1;x;2;3;4;5"), ("f", 3, "y;x;2;q;4")], "path string, line_no long, line string")
+    columns = list(zip(column_names(["ID", "id", "a", "a", "a_1"], 5), ["integer", "text", "integer", "integer", "integer"]))
+    rows = to_typed(lines, columns, ";", True).orderBy("line_no").collect()
+    assert rows[0].asDict() == {"path": "f", "line_no": 2, "ID": 1, "id_1": "x", "a": 2, "a_2": 3, "a_1": 4, "_rescued": {"_c5": "5"}}
+    assert rows[1]["_rescued"] == {"ID": "y", "a_2": "q"}
