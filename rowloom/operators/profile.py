@@ -15,6 +15,7 @@ from rowloom.functions.split import (
     separator_count,
 )
 from rowloom.rules import DEFAULT_RULES, Rules, is_header_name, override_of
+from rowloom.session import checked_broadcast, materialize
 
 # Fixed value: lines looked at per source.
 ANALYZE_LINES = 100
@@ -97,6 +98,11 @@ def _found_separator(df: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
     df = df.withColumn(
         "_n", F.struct(*[separator_count(F.col("_text"), s).alias(f"c{i}") for i, s in enumerate(candidates)])
     )
+    return _best_separator(df, candidates).drop("_text")
+
+
+def _best_separator(df: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
+    """The separator of rows with the struct ``_n``, the count of each candidate."""
     counts = [F.col(f"_n.c{i}") for i in range(len(candidates))]
     best = F.greatest(*counts) if len(counts) > 1 else counts[0]
     df = df.withColumn("_best", best).withColumn("_sum", sum(counts[1:], counts[0]))
@@ -107,7 +113,7 @@ def _found_separator(df: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
     return (
         df.withColumn("separator", chain)
         .withColumn("separator_probability", share)
-        .drop("_text", "_n", "_best", "_sum")
+        .drop("_n", "_best", "_sum")
     )
 
 
@@ -141,7 +147,7 @@ def profile_files(
     lines: DataFrame,
     separator: str | None = None,
     header: bool | None = None,
-    analyze_lines: int = ANALYZE_LINES,
+    analyze_lines: int | None = ANALYZE_LINES,
     rules: Rules = DEFAULT_RULES,
     totals: DataFrame | None = None,
     candidates: tuple[str, ...] = AUTO_SEPARATORS,
@@ -149,8 +155,11 @@ def profile_files(
     """One profile per ``path`` of ``lines(path, line_no, line)``.
 
     One shuffle: the lines of the head of each source, at most ``analyze_lines``, and a count.
-    ``totals(path, total_lines)`` saves the count when it is known, and only the head is read on.
+    ``totals(path, total_lines)`` saves the count when it is known, and only the head is read on. With None all lines
+    are analyzed, see :func:`profile_lines`.
     """
+    if analyze_lines is None:
+        return profile_lines(lines, separator, header, rules, candidates)
     in_head = F.col("line_no") <= analyze_lines
     numbered = F.struct("line_no", "line")
     if totals is None:
@@ -166,3 +175,53 @@ def profile_files(
     heads = heads.select("path", ordered.alias("_head"), "_total")
     profiled = profile_heads(heads, "_head", "_total", separator, header, rules, candidates)
     return profiled.select("path", *PROFILE_COLUMNS)
+
+
+def profile_lines(
+    lines: DataFrame,
+    separator: str | None = None,
+    header: bool | None = None,
+    rules: Rules = DEFAULT_RULES,
+    candidates: tuple[str, ...] = AUTO_SEPARATORS,
+) -> DataFrame:
+    """One profile per ``path`` over all lines of sources of any size, the same as of a head that holds them all.
+
+    No lines are gathered: what a profile needs is a state of fixed size that merges (counts, least and most fields, the
+    first two content lines), summed up in each task before it is shuffled. Three passes over ``lines``, which should be
+    a stored table: where the content starts, the separators in it, and the fields that the chosen one gives.
+    """
+    solid = ~is_blank(F.col("line"))
+    starts = materialize(lines.groupBy("path").agg(
+        F.coalesce(F.min(F.when(solid, F.col("line_no"))), F.lit(0)).cast("bigint").alias("start_line"),
+        F.count(F.lit(1)).alias("total_lines"),
+    ))
+    content = lines.join(checked_broadcast(starts), "path").filter(F.col("line_no") >= F.col("start_line"))
+    in_text = F.col("start_line") > 0
+    counts = [F.sum(F.when(in_text, separator_count(F.col("line"), s)).otherwise(0)).alias(f"c{i}") for i, s in enumerate(candidates)]
+    later = solid & in_text & (F.col("line_no") > F.col("start_line"))
+    merged = content.groupBy("path").agg(
+        F.struct(*counts).alias("_n"),
+        F.coalesce(F.min_by("line", F.when(solid & in_text, F.col("line_no"))), F.lit("")).alias("_first"),
+        F.coalesce(F.min_by("line", F.when(later, F.col("line_no"))), F.lit("")).alias("_second"),
+    )
+    if separator is None:
+        merged = _best_separator(merged, candidates)
+    else:
+        merged = merged.drop("_n").withColumn("separator", F.lit(separator)).withColumn("separator_probability", F.lit(100.0))
+    chosen = materialize(merged)
+    sep = separator or F.col("separator")
+    split = content.join(checked_broadcast(chosen.select("path", "separator")), "path").withColumn(
+        "_fields", F.size(raw_fields(F.col("line"), sep)))
+    fields = split.groupBy("path").agg(
+        F.min_by("_fields", "line_no").alias("field_count"), (F.min("_fields") == F.max("_fields")).alias("is_field_count_equal"))
+    out = starts.join(chosen, "path").join(fields, "path").withColumn("_names", plain_names(F.col("_first"), sep))
+    found = _found_header(sep, rules) if header is None else F.lit(header)
+    named = F.col("has_header") & in_text
+    return (
+        out.withColumn("has_header", found)
+        .withColumn("header_names", F.when(named, F.col("_names")))
+        .withColumn("end_line", F.col("total_lines"))
+        .withColumn("analyzed_lines", F.col("total_lines"))
+        .withColumn("overrides", F.transform("header_names", lambda x: override_of(x, rules)))
+        .select("path", *PROFILE_COLUMNS)
+    )

@@ -49,7 +49,7 @@ class Options:
     separator: str | None = None
     candidates: tuple[str, ...] = AUTO_SEPARATORS
     header: bool | None = None
-    analyze_lines: int = ANALYZE_LINES
+    analyze_lines: int | None = ANALYZE_LINES  # None: all
     date_order: str = "dmy"
     rules: Rules = field(default_factory=lambda: DEFAULT_RULES)
     export_encoding: str = UTF8
@@ -100,7 +100,8 @@ def read_text(spark: SparkSession, paths: str | list[str] | DataFrame, options:
     files = paths if isinstance(paths, DataFrame) else list_files(spark, paths, types, options.recursive)
     every = read_whole_files(spark, files, options.encoding, types, size, stored=stored)
     whole = every.filter("message is null").drop("message")
-    heads = whole.withColumn("_head", F.slice("lines", 1, options.analyze_lines)).withColumn("_total", F.size("lines"))
+    head_of = F.col("lines") if options.analyze_lines is None else F.slice("lines", 1, options.analyze_lines)
+    heads = whole.withColumn("_head", head_of).withColumn("_total", F.size("lines"))
     small = profile_heads(
         heads, "_head", "_total", options.separator, options.header, options.rules, options.candidates
     )

@@ -182,8 +182,8 @@ def half_up_text(x: str) -> str:
 # --- profile of sources given as (path, line_no, line) ------------------------------------
 
 
-def profile(lines: str) -> str:
-    """CTEs ``profile`` and ``content`` over a query that gives path, line_no and line."""
+def profile(lines: str, head: int = 100) -> str:
+    """CTEs ``profile`` and ``content`` over the first lines of a query that gives path, line_no and line."""
     blank = rf"NOT regexp_matches(line, '[^\t\n\x0B\f\r ]')"
     counts = ", ".join(
         f"coalesce(sum(CASE WHEN start_line > 0 THEN length(line) - length(replace(line, {sep_literal(s)}, '')) END), 0) AS n{i}"
@@ -192,10 +192,10 @@ def profile(lines: str) -> str:
     return f"""
     lines AS ({lines}),
     sizes AS (SELECT path, count(*) AS total_lines,
-                     coalesce(min(CASE WHEN line_no <= 100 AND NOT ({blank}) THEN line_no END), 0) AS start_line
+                     coalesce(min(CASE WHEN line_no <= {head} AND NOT ({blank}) THEN line_no END), 0) AS start_line
               FROM lines GROUP BY path),
     content AS (SELECT l.*, start_line, total_lines FROM lines l JOIN sizes USING (path)
-                WHERE line_no <= 100 AND line_no >= start_line),
+                WHERE line_no <= {head} AND line_no >= start_line),
     counted AS (SELECT path, start_line, any_value(total_lines) AS total_lines, max(line_no) AS end_line,
                        {counts} FROM content GROUP BY path, start_line),
     chosen AS (SELECT *, greatest(n0, n1, n2, n3) AS best, n0 + n1 + n2 + n3 AS total FROM counted),
@@ -309,6 +309,10 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {profile(DOCUMENT_LINES)} SELECT {PROFILE_COLUMNS}, "
         "coalesce(array_to_string(names, '|'), '') AS header_names FROM profile"
     )
+    sql["full_line_profile"] = (
+        f"WITH {profile(DOCUMENT_LINES, 2**62)} SELECT {PROFILE_COLUMNS}, "
+        "coalesce(array_to_string(names, '|'), '') AS header_names FROM profile"
+    )
     sql["header_detect"] = (
         f"WITH {profile(TURN_LINES)} SELECT path, has_header, "
         "coalesce(array_to_string(names, '|'), '') AS header_names, "
@@ -477,6 +481,12 @@ def oracle_sql() -> dict[str, str]:
                   WHERE i NOT IN (0, 2) AND i <> top),
       free AS (SELECT p_name, i, row_number() OVER (PARTITION BY p_name ORDER BY i) AS k FROM numbers)
       SELECT p_partkey, a.p_name || '_' || i || '.xlsx' AS name FROM asked a JOIN free f ON a.p_name = f.p_name AND a.k = f.k"""
+    sql["sheet_rows"] = """
+      WITH odd AS (SELECT * FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 5 <> 0)
+      SELECT 'Odd' AS sheet, o_orderkey + 1 AS row, 'A' || (o_orderkey + 1) AS ref, 'number' AS kind, CAST(o_custkey AS VARCHAR) AS text FROM odd
+      UNION ALL SELECT 'Odd', o_orderkey + 1, 'B' || (o_orderkey + 1), CASE WHEN o_orderkey % 3 = 0 THEN 'empty' ELSE 'text' END,
+             CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END FROM odd"""
+    sql["file_rules"] = sql["name_rules"]
     sql["charset_files"] = f"""
       WITH lines AS ({DOCUMENT_LINES})
       SELECT charset, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, {checksum('line')} AS checksum

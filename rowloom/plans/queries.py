@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from xml.sax.saxutils import quoteattr
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +39,15 @@ from rowloom.operators.cells import (
 from rowloom.operators.densify import densify, render_lines
 from rowloom.operators.numbering import number_rows
 from rowloom.operators.profile import ANALYZE_LINES, profile_files, profile_heads
-from rowloom.rules import DEFAULT_RULES, is_header_name, override_of, overrides_of_names, resolve_overrides
-from rowloom.session import materialize
+from rowloom.rules import (
+    DEFAULT_RULES, Rules, is_header_name, load_rules, override_of, overrides_of_names, resolve_overrides,
+)
+from rowloom.session import materialize, scratch_path
 from rowloom.sinks.naming import free_names
 from rowloom.sinks.workbooks import export_workbooks
 from rowloom.sources.tables import print_line, print_value, table_head, table_lines
 from rowloom.sources.text_files import explode_lines
-from rowloom.sources.workbooks import resolve_cells, sheet_styles, workbook_cells
+from rowloom.sources.workbooks import PART_SCHEMA, resolve_cells, sheet_styles, workbook_cells
 
 # Tables printed as delimited text: separator and key of each.
 PRINTED = {
@@ -123,6 +127,13 @@ def document_line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiled.select(*PROFILE_REPORT, joined(F.col("header_names")).alias("header_names"))
 
 
+def full_line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document profiled by all of its lines, of which none are gathered."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), line_array(F.col("text")).alias("lines"))
+    profiled = profile_files(materialize(explode_lines(docs)), analyze_lines=None)
+    return profiled.select(*PROFILE_REPORT, joined(F.col("header_names")).alias("header_names"))
+
+
 def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header decision, names and types asked for, of each conversation turn as a source."""
     turns = table(spark, sf_dir, "conversations").select(
@@ -302,22 +313,35 @@ def typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.select(*customer.columns, F.col("_rescued").isNull().alias("complete"))
 
 
-def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def name_rules(spark: SparkSession, sf_dir: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Words of all documents looked up as field names."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("name"))
     counted = words.filter(F.col("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    ruled = counted.withColumn("is_header", is_header_name(F.col("name"))).withColumn(
-        "data_type", override_of(F.col("name"))
+    ruled = counted.withColumn("is_header", is_header_name(F.col("name"), rules)).withColumn(
+        "data_type", override_of(F.col("name"), rules)
     )
     return ruled.groupBy("data_type", "is_header").agg(
         F.count(F.lit(1)).alias("names"), F.sum("n").alias("words"), checksum(F.col("name")).alias("checksum")
     )
 
 
+def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of :func:`name_rules` by a rule file: the default rules written as XML and loaded."""
+    def element(name: str, **values: object) -> str:
+        return f"<{name} " + " ".join(f"{k}={quoteattr(str(v))}" for k, v in values.items()) + "/>"
+
+    fields = [element("Field", Pattern=p, IsRegex=str(r).lower()) for p, r in DEFAULT_RULES.header_patterns]
+    overrides = [element("Override", FieldNamePattern=p, IsRegex=str(r).lower(), DataType=t) for p, r, t in DEFAULT_RULES.type_overrides]
+    text = f"<Rules><HeaderFieldNames>{''.join(fields)}</HeaderFieldNames><DataTypeOverrides>{''.join(overrides)}</DataTypeOverrides></Rules>"
+    target = scratch_path(spark, "rules")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(target)
+    return name_rules(spark, sf_dir, load_rules(spark, target))
+
+
 def rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same words joined with a table of rules, the first rule wins."""
     words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", r"\s+")).alias("name"))
-    rules = F.broadcast(DEFAULT_RULES.override_table(spark))
+    rules = DEFAULT_RULES.override_table(spark)
     return resolve_overrides(words.filter(F.col("name") != ""), rules)
 
 
@@ -504,6 +528,25 @@ def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_typed_fields(settings).select("path", F.col("line_no").alias("row"), "cells")
 
 
+def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the stored rows of a workbook of two sheets, the second one chosen by its position: rows without cells
+    leave nothing, cells without a value are empty."""
+    orders = table(spark, sf_dir, "orders")
+    key, row = F.col("o_orderkey"), (F.col("o_orderkey") + 1).cast("string")
+    kind = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("<v>"), F.col("o_orderstatus"), F.lit("</v>")))
+    cells = F.concat(F.lit('<c r="A'), row, F.lit('"><v>'), F.col("o_custkey").cast("string"), F.lit('</v></c><c r="B'), row,
+                     F.lit('" t="str">'), kind, F.lit("</c>"))
+    xml = F.concat(F.lit('<row r="'), row, F.lit('">'), F.when(key % 5 == 0, "").otherwise(cells), F.lit("</row>"))
+    entry = F.concat(F.lit("xl/worksheets/sheet"), (key % 2).cast("string"), F.lit(".xml"))
+    names = [("sheet", 0, '<sheet name="Even" r:id="r0"/>'), ("sheet", 1, '<sheet name="Odd" r:id="r1"/>'),
+             *(("rel", i, f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>') for i in (0, 1))]
+    fixed = spark.createDataFrame([("orders.xlsx", part, "xl/workbook.xml", seq, xml) for part, seq, xml in names], PART_SCHEMA)
+    parts = fixed.unionByName(orders.select(
+        F.lit("orders.xlsx").alias("path"), F.lit("row").alias("part"), entry.alias("entry"), key.alias("seq"), xml.alias("xml")))
+    found = workbook_cells(fixed.select("path").distinct(), 1, parts=materialize(parts))
+    return found.select("sheet", "row", "ref", "kind", "text")
+
+
 def workbook_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers packed into one workbook per nation, unpacked, and resolved again."""
     # The parts of a workbook are read one kind at a time, so the workbooks are written first.
@@ -571,6 +614,9 @@ QUERIES = {
         typed_table,
         name_rules,
         rule_join,
+        file_rules,
+        full_line_profile,
+        sheet_rows,
         german_numbers,
         lenient_numbers,
         date_formats,

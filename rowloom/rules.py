@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.split import trim_space
+from rowloom.session import checked_broadcast, materialize
 
 # ---------------------------------------------------------------------------------------
 # Fixed values. Patterns of the default rule set, in order; matched anywhere in the trimmed
@@ -180,20 +182,76 @@ def overrides_of_names(spark: SparkSession, names: list[str], rules: Rules = DEF
     return [r["o"] for r in sorted(found)]
 
 
+# Letters of the pieces by which patterns of a rule table find names.
+GRAM = 3
+
+
+def required_text(pattern: str, is_regex: bool) -> str:
+    """The longest text that every name matching a pattern holds, in lower case, as far as it is plain to see.
+
+    Only ASCII letters, digits, blanks, ``_`` and ``-`` count, whose case all matches agree on. Alternatives, groups, and
+    what a quantifier follows are passed over.
+    """
+    if not is_regex:
+        parts = re.split(r"[^A-Za-z0-9 _-]", pattern)
+    else:
+        escaped = re.findall(r"(?s)\\(.)", pattern)
+        if re.search(r"[|()]", pattern) or any(c.isalnum() and c not in "dDwWsSbB" for c in escaped):
+            return ""
+        plain = re.sub(r"\[\^?\]?[^\[\]]*\]", "\0", re.sub(r"\\.", "\0", pattern))
+        if "[" in plain or "]" in plain:
+            return ""
+        plain = re.sub(r".(?:[*?+]|\{[^}]*\})+", "\0", plain)
+        parts = re.split(r"[^A-Za-z0-9 _-]", plain)
+    return max(parts, key=len, default="").lower()
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, with the letters beyond ASCII that a search without regard to case takes for ASCII ones as these."""
+    return F.translate(F.lower(text), "\u017f\u0131\u212a", "sik")
+
+
+def _grams(text: Column) -> Column:
+    """The different pieces of :data:`GRAM` letters of a text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(places, lambda i: F.substring(text, i, F.lit(GRAM))), lambda g: F.length(g) == GRAM))
+
+
 def resolve_overrides(names: DataFrame, rules: DataFrame, name: str = "name") -> DataFrame:
     """Names joined with a table of rules: ``data_type`` of the matching rule of least priority.
 
-    For rule sets that live in a table; ``override_of`` is the cheaper form for a rule list.
-    The rule table is small by nature, it is written by hand.
+    For rule sets that live in a table, of any number; ``override_of`` is the cheaper form for a rule list. A pattern
+    with a text of three letters that any match must hold is indexed by the piece of it that the fewest names hold: an
+    equi-join of that piece with the pieces of the names proposes the pairs that are matched. Patterns without such a
+    text are tried on all names; they are measured before they are broadcast.
     """
     key = _key(F.col(name))
     hit = F.when(F.col("is_regex"), F.expr("_key rlike concat('(?iu)', pattern)")).otherwise(
         F.col("_key").contains(F.lower("pattern"))
     )
-    distinct = names.select(name).distinct().withColumn("_key", key)
-    matched = distinct.join(rules, (F.col("_key") != "") & hit, "left")
-    first = F.coalesce(F.min_by("data_type", "priority"), F.lit("Auto"))
-    return matched.groupBy(name).agg(first.alias("data_type"))
+
+    @F.pandas_udf("string")
+    def required(pattern: pd.Series, is_regex: pd.Series) -> pd.Series:
+        return pd.Series([required_text(p or "", bool(r)) for p, r in zip(pattern, is_regex)])
+
+    ruled = materialize(rules.withColumn("_rule", F.monotonically_increasing_id()).withColumn(
+        "_text", required(F.col("pattern"), F.col("is_regex"))))
+    distinct = materialize(names.select(name).distinct().withColumn("_key", key))
+    indexed, others = ruled.filter(F.length("_text") >= GRAM), ruled.filter(F.length("_text") < GRAM)
+    spread = distinct.filter(F.col("_key") != "").select(name, "_key", F.explode(_grams(_folded(F.col("_key")))).alias("_gram"))
+    asked = indexed.select("_rule", F.explode(_grams(F.col("_text"))).alias("_gram"))
+    wanted = checked_broadcast(materialize(asked.select("_gram").distinct()))
+    # names that hold no piece of any pattern go no further
+    held = spread.join(wanted, "_gram", "left_semi")
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(often, "_gram", "left").groupBy("_rule").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    by_gram = checked_broadcast(materialize(indexed.join(rarest, "_rule")))
+    proposed = held.join(by_gram, "_gram").filter(hit).select(name, "data_type", "priority")
+    tried = distinct.join(checked_broadcast(others), (F.col("_key") != "") & hit).select(name, "data_type", "priority")
+    first = proposed.unionByName(tried).groupBy(name).agg(F.min_by("data_type", "priority").alias("data_type"))
+    found = distinct.select(name).join(first.withColumnRenamed(name, "_name"), F.col(name).eqNullSafe(F.col("_name")), "left")
+    return found.select(name, F.coalesce("data_type", F.lit("Auto")).alias("data_type"))
 
 
 def load_rules(spark: SparkSession, path: str) -> Rules:

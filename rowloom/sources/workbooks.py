@@ -17,7 +17,7 @@ from rowloom.functions.cells import BOOLEAN, SHARED, STRING, is_date_format, sto
 from rowloom.functions.numbers import finite, lenient_or_overflow
 from rowloom.functions.dates import serial_date
 from rowloom.functions.refs import ref_column
-from rowloom.session import is_small, scratch_path
+from rowloom.session import checked_broadcast, is_small, materialize, scratch_path
 from rowloom.sources.stores import reason, store_of
 from rowloom.sources.text_files import WORKBOOK_TYPES, list_files
 
@@ -226,15 +226,41 @@ def stored_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def resolve_cells(cells: DataFrame, strings: DataFrame) -> DataFrame:
-    """Stored cells with the columns of :func:`sheet_styles`, resolved to kind and text.
+# A shared string with more cells than this is joined from a small table instead of by a shuffle.
+HOT_STRING = 1 << 16
 
-    One join, with the shared strings by index. Cells that point to none get a key of their own
-    spread over negative numbers, so that they do not meet in one task.
+
+def hot_strings(cells: DataFrame, strings: DataFrame, least: int | None = None) -> DataFrame:
+    """The shared strings that more than ``least`` cells point to: at most all cells / ``least``.
+
+    Counted in each task before the shuffle, which a very common string does not burden.
+    """
+    pointing = cells.filter(F.col("t") == SHARED).select("path", F.col("v").try_cast("bigint").alias("idx"))
+    counted = pointing.groupBy("path", "idx").agg(F.count(F.lit(1)).alias("n"))
+    common = counted.filter(F.col("n") > (HOT_STRING if least is None else least)).select("path", "idx")
+    return materialize(strings.join(checked_broadcast(materialize(common)), ["path", "idx"]))
+
+
+def with_shared(cells: DataFrame, strings: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """``cells`` with ``shared``, the string that each points to.
+
+    Cells of ``hot`` strings find them in that table, which is broadcast if its size allows it. Cells that point to
+    none, or to a hot one, get a key of their own spread over negative numbers, so that they do not meet in one task.
     """
     spread = -1 - (F.col("row_seq") % 1024)
-    shared_index = F.when(F.col("t") == SHARED, F.col("v").try_cast("bigint"))
-    joined = cells.withColumn("idx", F.coalesce(shared_index, spread)).join(strings, ["path", "idx"], "left")
+    index = F.when(F.col("t") == SHARED, F.col("v").try_cast("bigint"))
+    if hot is None:
+        return cells.withColumn("idx", F.coalesce(index, spread)).join(strings, ["path", "idx"], "left")
+    found = cells.withColumn("idx", index).join(
+        checked_broadcast(hot.select("path", "idx", F.col("shared").alias("_hot"))), ["path", "idx"], "left")
+    rest = found.withColumn("idx", F.when(F.col("_hot").isNull(), F.col("idx")))
+    joined = rest.withColumn("idx", F.coalesce("idx", spread)).join(strings, ["path", "idx"], "left")
+    return joined.withColumn("shared", F.coalesce("_hot", "shared")).drop("_hot")
+
+
+def resolve_cells(cells: DataFrame, strings: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Stored cells with the columns of :func:`sheet_styles`, resolved to kind and text; see :func:`with_shared`."""
+    joined = with_shared(cells, strings, hot)
     dated = F.coalesce(F.array_contains("dated", F.col("s")), F.lit(False))
     numeric = F.col("t").isNull() | ~F.col("t").isin(SHARED, STRING, BOOLEAN)
     return (
@@ -272,7 +298,8 @@ def workbook_cells(
     """``cells`` of ``files(path, content)``: one sheet by position, or all with ``None``.
 
     The size of the sheets with their dated styles is measured: as a rule they are broadcast to the rows.
-    Rows are joined whole, before their cells are spread out, and only then the shared strings. A workbook
+    Rows are joined whole, before their cells are spread out, and only then the shared strings: broadcast where they
+    are small, else by a shuffle, but for the strings that very many cells point to. A workbook
     with an error in any part has no cells. ``parts`` are the :func:`stored_parts`, if they are there already.
     """
     parts = stored_parts(files) if parts is None else parts
@@ -284,7 +311,10 @@ def workbook_cells(
     if is_small(styled):
         styled = F.broadcast(styled)
     rows = stored_rows(parts).join(styled, ["path", "entry"])
-    return resolve_cells(stored_cells(rows), shared_strings(parts))
+    cells, strings = stored_cells(rows), shared_strings(parts)
+    if is_small(strings):
+        return resolve_cells(cells, F.broadcast(strings))
+    return resolve_cells(cells, strings, hot_strings(cells, strings))
 
 
 def read_workbook_cells(
