@@ -350,7 +350,8 @@ def edited(kind, words, other, share):
             out[i] = other[i % len(other)]
         return out
     middle = len(words) // 2
-    return {"appended": words + other[:n], "cut": words[:-n], "inserted": words[:middle] + other[:n] + words[middle:]}[kind]
+    return {"appended": words + other[:n], "cut": words[:-n], "inserted": words[:middle] + other[:n] + words[middle:],
+            "prepended": other[:n] + words}[kind]
 
 
 def test_near_copies_by_kind_of_edit(spark):
@@ -359,14 +360,14 @@ def test_near_copies_by_kind_of_edit(spark):
 
     docs = table(spark, "/root/testdata/sf0.01", "documents").select("text").distinct().orderBy("text").collect()
     texts = [w for r in docs if 60 <= len(w := (r["text"] or "").lower().split()) <= 600]
-    kinds = {"substituted": 0.02, "appended": 0.17, "cut": 0.16, "inserted": 0.13}
+    kinds = {"substituted": 0.02, "appended": 0.17, "cut": 0.16, "inserted": 0.13, "prepended": 0.17}
     rows, wanted = [], defaultdict(list)
 
     def shingles(w):
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
-    for n, words in enumerate(texts[:160]):
-        kind = list(kinds)[n % 4]
+    for n, words in enumerate(texts[:200]):
+        kind = list(kinds)[n % 5]
         copy = edited(kind, words, texts[-1 - n], kinds[kind])
         a, b = shingles(words), shingles(copy)
         if len(a & b) >= 0.8 * len(a | b):
@@ -375,7 +376,36 @@ def test_near_copies_by_kind_of_edit(spark):
     made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, made, DATA).select("doc_id").collect()}
     for kind, pairs in wanted.items():
-        assert len(pairs) >= 20 and sum(b not in kept for _, b in pairs) >= 0.85 * len(pairs), kind
+        assert len(pairs) >= 20 and sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs), kind
+
+
+def test_random_points_cost_in_proportion():
+    """Twice the points of a random trie cost about twice the time, at the budget of the near-dedup stage."""
+    import time
+
+    import corpus_pipeline
+
+    def seconds(n):
+        values = np.sort(np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64))
+        none = np.zeros(n, np.int64)
+        best = 9.0
+        for _ in range(2):
+            start = time.process_time()
+            simhash.trie_links(values, none, none, none, np.full(n, corpus_pipeline.NEAR_BITS), simhash.Forest(np.arange(n)))
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert seconds(160_000) <= 2.4**2 * seconds(40_000)
+
+
+def test_window_fingerprints():
+    kind = simhash.Fingerprint(1, count=6, window=24)
+    words = text_of(5, 300).split()
+    own = simhash.fingerprint(" ".join(words), kind)
+    assert len(set(own)) > 3 and simhash.fingerprint("", kind) == simhash.fingerprint(None, kind) == [0] * 6
+    for other in (words + text_of(6, 40).split(), words[40:], text_of(7, 40).split() + words):
+        assert sum(a == b for a, b in zip(own, simhash.fingerprint(" ".join(other), kind))) >= 3
+    assert simhash.fingerprint("One", kind) == simhash.fingerprint("one", kind) and len(set(simhash.fingerprint("one", kind))) == 1
 
 
 def test_fingerprints_of_one_text():
