@@ -15,12 +15,13 @@ from rowloom.llm import decontaminate, langid, mixing, queries, simhash, token_s
 from rowloom.llm.components import written
 from rowloom.llm.text import id_bucket
 
-# Near copies of the pipeline: four fingerprints of the different long words find candidates, which must also agree on
-# five-word shingles. Text appended, cut off or inserted at a Jaccard similarity of 0.8 moves 9 of 64 bits on average,
-# so one fingerprint in two or three is within 10. On the shingles 0.8 moves 39 of 256 bits; 50 leaves room for chance.
-NEAR_BITS = 10
-NEAR_TRIES = 4
-LONG_WORD = 6
+# Near copies of the pipeline: fingerprints of six windows of 24 words find candidates, which must also agree on five-word
+# shingles. At a Jaccard similarity of 0.8 to 0.9 seven windows in ten differ in at most two bits, whether words were
+# changed, added or cut off, so nearly all pairs have one. On the shingles 0.8 moves 39 of 256 bits; 50 leaves room for
+# chance.
+NEAR_BITS = 2
+NEAR_TRIES = 6
+NEAR_WINDOW = 24
 SHINGLES = simhash.Fingerprint(words=5, count=4)
 SHINGLE_BITS = 50
 
@@ -34,8 +35,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
-    found = simhash.classes(docs.select("doc_id", "text"), words=1, long=LONG_WORD, tries=NEAR_TRIES, max_bits=NEAR_BITS,
-                            check=SHINGLES, check_bits=SHINGLE_BITS)
+    found = simhash.classes(docs.select("doc_id", "text"), words=1, tries=NEAR_TRIES, max_bits=NEAR_BITS,
+                            window=NEAR_WINDOW, check=SHINGLES, check_bits=SHINGLE_BITS)
     return simhash.representatives(docs, written(found, "classes"))
 
 
