@@ -9,8 +9,9 @@ up, and only languages x dimensions numbers reach the driver.
 
 Trigrams are taken around each letter, in lower case; a neighbour that is no letter counts as a blank. Defined
 results: null text or a text without letters gives ``und`` and score 0; so does every text if nothing could be
-learned. Ties go to the language that sorts first. Texts of any length are read whole. Columns of the input
-other than those named are ignored.
+learned. Ties go to the language that sorts first. Texts of any length are read whole. An empty table
+gives no rows, and teaches nothing. Training ignores columns other than those named; ``predict`` and ``keep_known`` keep
+them, but for columns of the names that ``predict`` adds.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ UNDETERMINED = "und"
 DIMENSIONS = 512
 # Languages are few by nature; their vectors go to every task, so their number is checked.
 MAX_LANGUAGES = 10_000
+# Trigram vectors held at once: texts of many different letters have very many trigrams.
+VECTOR_ROWS = 1 << 15
 # Largest table of letter triples; beyond it trigrams are found by sorting instead.
 DENSE_KEYS = 1 << 22
 
@@ -58,8 +61,8 @@ class LetterSpace:
             self.vectors[point] = (random.integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1).astype(np.int8)
         return self.vectors[point]
 
-    def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of the distinct trigrams; of each trigram its vector's row and its text."""
+    def trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Letter vectors; the distinct trigrams as numbers made of letter rows; each trigram's place among them and its text."""
         chunk = CodePoints(texts)
         self._learn(chunk.points)
         letters = self.lower[chunk.points]
@@ -82,20 +85,31 @@ class LetterSpace:
         else:
             distinct, rows = np.unique(keys, return_inverse=True)
         own = np.array([self._vector(int(p)) for p in alphabet], np.int8).reshape(m, self.dimensions)
-        vectors = np.roll(own, 2, axis=1)[distinct // (m * m)] * np.roll(own, 1, axis=1)[distinct // m % m]
-        vectors = (vectors * own[distinct % m]).astype(np.float32)
-        return vectors, rows, chunk.owner(at)
+        return own, distinct, rows, chunk.owner(at)
+
+    def bound(self, own: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+        """The vectors of some distinct trigrams."""
+        m = len(own)
+        vectors = np.roll(own[distinct // (m * m)], 2, axis=1) * np.roll(own[distinct // m % m], 1, axis=1)
+        return (vectors * own[distinct % m]).astype(np.float32)
 
     def bundle(self, texts: list[str], group: np.ndarray | None = None, groups: int | None = None) -> np.ndarray:
-        """Sum of the trigram vectors of each text, or of each group of texts."""
-        vectors, rows, owner = self.trigrams(texts)
+        """Sum of the trigram vectors of each text, or of each group of texts; the sums are exact in any order."""
+        own, distinct, rows, owner = self.trigrams(texts)
         if group is not None:
             owner = group[owner]
         n = len(texts) if groups is None else groups
-        width = max(1, len(vectors))
         out = np.zeros((n, self.dimensions), np.float64)
+        for low in range(0, len(distinct), VECTOR_ROWS):
+            some = distinct[low : low + VECTOR_ROWS]
+            part = slice(None) if len(some) == len(distinct) else (rows >= low) & (rows < low + len(some))
+            self._add(out, self.bound(own, some), rows[part] - low, owner[part], sorted_=group is None)
+        return out
+
+    def _add(self, out: np.ndarray, vectors: np.ndarray, rows: np.ndarray, owner: np.ndarray, sorted_: bool) -> None:
+        n, width = len(out), max(1, len(vectors))
         step = max(1, (1 << 22) // width)  # bounds the table of counts
-        if group is not None and n > step:
+        if not sorted_ and n > step:
             order = np.argsort(owner, kind="stable")
             owner, rows = owner[order], rows[order]
         for first in range(0, n, step):
@@ -104,8 +118,7 @@ class LetterSpace:
             if lo < hi:
                 flat = (owner[lo:hi] - first) * width + rows[lo:hi]
                 counts = np.bincount(flat, minlength=(last - first) * width).reshape(last - first, width)
-                out[first:last] = counts.astype(np.float32) @ vectors
-        return out
+                out[first:last] += counts.astype(np.float32) @ vectors
 
 
 @dataclass(frozen=True)

@@ -7,12 +7,14 @@ together by stochastic gradient descent in numpy, on bags of hashed features tha
 As the average is linear, a trained model needs one number per row of the table (the difference of the two
 classes), which is all that scoring looks up: the same result as averaging vectors, without their width.
 
-Training takes at most ``sample`` rows per class (the smallest hashes of the id), so that the bags fit on the
-driver; a bag has at most ``buckets`` entries however long its text. Everything else covers all rows.
+Training takes at most ``sample`` rows per class (the smallest hashes of the id), and of these as many as have ``entries``
+features together, so that the bags fit on the driver; a bag has at most ``buckets`` entries however long its text.
+Everything else covers all rows.
 
 Defined results: a null or empty text has an empty bag and gets the score of the output layer's bias; without
 labels of both classes every score is the share of class 1 (0.5 without labels). Several labels of one id count
-as their maximum. Ids that repeat in the documents are scored row by row.
+as their maximum. Ids that repeat in the documents are scored row by row. Rows with a null id are scored, and no
+label is theirs. An empty table gives no rows. Other columns stay as they are, but for one named ``score``.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.llm.components import written
 from rowloom.llm.text import CodePoints, SpanHasher, map_batches, mix, text_slices
 
 SAMPLE = 2500  # training rows per class, at most
+ENTRIES = 1 << 23  # features of all training rows, at most: what the driver holds of them is 64 MB
 BUCKETS = 1 << 16
 WIDTH = 16
 EPOCHS = 6
@@ -110,9 +115,14 @@ def _bags(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", text: str = "text",
-          sample: int = SAMPLE, buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS,
+          sample: int = SAMPLE, entries: int = ENTRIES, buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS,
           rate: float = RATE, seed: int = 6) -> QualityModel:
-    """Learn from the ``labels`` (0 or 1) of ``docs``; both are taken as given, so hold rows out before."""
+    """Learn from the ``labels`` (0 or 1) of ``docs``; both are taken as given, so hold rows out before.
+
+    The model is fitted on at most ``sample`` ids of each class, those of the smallest hash, and of these on as many as
+    have ``entries`` different features together, texts counted alike for both classes. Of rows that share an id the
+    smallest text counts.
+    """
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("_key").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("_key").agg(F.max("label").alias("label"))
@@ -123,15 +133,32 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * sample small rows, so the broadcast is bounded; the texts are not shuffled.
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")
-    bags = _bags(rows, "text", buckets).limit(4 * sample).collect()
-    bags.sort(key=lambda r: (r["place"], r["label"], r["ids"]))
-    target = np.array([r["label"] for r in bags], np.float64)
+    rows = rows.groupBy("_key", "label", "place").agg(F.min("text").alias("text"))
+    bags = written(_bags(rows, "text", buckets), "bags")
+    # A small row per text tells how many fit; only the features of these reach the driver, as arrays.
+    kinds = bags.select("label").distinct().count()
+    sizes = Window.partitionBy("label").orderBy("place", F.size("ids")).rowsBetween(Window.unboundedPreceding, 0)
+    fit = bags.withColumn("_sum", F.sum(F.size("ids")).over(sizes)).filter(F.col("_sum") <= entries // max(1, kinds))
+    table = fit.select("label", "place", "ids", "counts").toArrow()
+    table = table.take(pc.sort_indices(table, sort_keys=[("place", "ascending"), ("label", "ascending")]))
+    target = table.column("label").to_numpy().astype(np.float64)
     if len(set(target.tolist())) < 2:
         share = min(max(target.mean() if len(target) else 0.5, 1e-6), 1 - 1e-6)
         return QualityModel(np.zeros(buckets), float(np.log(share / (1 - share))))
-    ids = [np.array(r["ids"], np.int64) for r in bags]
-    shares = [np.array(r["counts"], np.float32) / max(1, sum(r["counts"])) for r in bags]
-    del bags
+    ids, shares = [], []
+    for chunk_ids, chunk_counts in zip(table.column("ids").chunks, table.column("counts").chunks):
+        cuts = chunk_ids.offsets.to_numpy()
+        each = np.split(chunk_ids.values.to_numpy()[: cuts[-1]], cuts[1:-1]), np.split(chunk_counts.values.to_numpy()[: cuts[-1]], cuts[1:-1])
+        for own, counts in zip(*each):
+            ids.append(own)
+            shares.append(counts.astype(np.float32) / max(1, int(counts.sum())))
+    del table
+    return descend(ids, shares, target, buckets, width, epochs, rate, seed)
+
+
+def descend(ids: list[np.ndarray], shares: list[np.ndarray], target: np.ndarray, buckets: int, width: int, epochs: int,
+            rate: float, seed: int) -> QualityModel:
+    """Stochastic gradient descent on bags: the features of each text, their shares, and its label (0 or 1)."""
     random = np.random.default_rng(seed)
     table = (random.random((buckets, width), np.float32) - 0.5) / width
     out = np.zeros((width, 2), np.float32)

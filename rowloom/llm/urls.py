@@ -174,14 +174,15 @@ def judge(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str =
         F.count(F.lit(1)).alias("suffix_rows"),
         ((F.coalesce(F.sum(is_block), F.lit(0)) + 1) / (F.count(is_block) + 2)).alias("suffix_blocked"),
     )
-    known = _features(rows.join(checked_broadcast(written(statistics, "suffixes")), "suffix"))
+    counted = rows.join(checked_broadcast(written(statistics, "suffixes")), "suffix")
     place = F.xxhash64(F.coalesce(F.col("url"), F.lit("")), F.lit(seed))
     training = None
-    for value in (ALLOW, BLOCK):
-        part = known.filter(F.col("ruled") == value).select("ruled", "features", place.alias("place"))
-        part = part.orderBy("place", "features").limit(sample // 2)
+    for value in (ALLOW, BLOCK):  # chosen by their URLs, so that only the chosen ones need features
+        part = counted.filter(F.col("ruled") == value).select("ruled", "url", "suffix_rows", "suffix_blocked", place.alias("place"))
+        part = part.orderBy("place", "url").limit(sample // 2)
         training = part if training is None else training.unionByName(part)
-    learned = training.collect()
+    learned = _features(training).select("ruled", "features", "place").collect()
+    known = _features(counted)
     learned.sort(key=lambda r: (r["place"], r["ruled"], r["features"]))
     x = np.array([r["features"] for r in learned], np.float64).reshape(len(learned), len(lexical("")) + 2)
     trees = fit(x, np.array([r["ruled"] == BLOCK for r in learned], np.float64))
