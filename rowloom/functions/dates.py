@@ -13,32 +13,47 @@ MIN_YEAR = 1900
 MAX_YEAR = 2100
 
 _DAY_MS = 86400000
-_TIME = r"(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?))?\s*\z"
+_TIME = r"(?:[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?(?: ?[AaPp][Mm]|Z)?))?\s*\z"
+_HALF_DAY = r"[AaPp][Mm]\z"
+# Orders of day and month; with a 2 also years of two digits, those up to 29 in this century and the others in the last.
+DATE_ORDERS = ("dmy", "mdy", "dmy2", "mdy2")
 
 # Date patterns, and the order the groups of the second take in an ISO date.
 _YEAR_FIRST = rf"\A\s*[0-9]{{4}}([-/])[0-9]{{1,2}}\1[0-9]{{1,2}}{_TIME}"
-_YEAR_LAST = r"\A\s*([0-9]{{1,2}})([{marks}])([0-9]{{1,2}})\2([0-9]{{4}})" + _TIME.replace("{", "{{").replace("}", "}}")
-_DAY_FIRST = "$4-$3-$1 $5"
-_MONTH_FIRST = "$4-$1-$3 $5"
+_YEAR_LAST = r"\A\s*([0-9]{{1,2}})([{marks}])([0-9]{{1,2}})\2({year})" + _TIME.replace("{", "{{").replace("}", "}}")
+_DAY_FIRST = "{century}$4-$3-$1 $5"
+_MONTH_FIRST = "{century}$4-$1-$3 $5"
+_YEARS = (("[0-9]{4}", ""), ("[0-2][0-9]", "20"), ("[3-9][0-9]", "19"))
 
 
 def parse_date(value: Column, date_order: str = "dmy") -> Column:
     """Date with optional time of day as ``timestamp_ntz``, else null.
 
-    Year first, German, and day first or month first by ``date_order``. The first character
+    Year first, German, and day first or month first by ``date_order``, one of :data:`DATE_ORDERS`. A time may be of
+    twelve hours with AM or PM, or of UTC with a Z. The first character
     spares most texts the patterns; what fits one is put in ISO order and cast.
     """
-    if date_order not in ("dmy", "mdy"):
-        raise ValueError("date_order is 'dmy' or 'mdy'")
+    if date_order not in DATE_ORDERS:
+        raise ValueError(f"date_order is one of {', '.join(DATE_ORDERS)}")
     iso = F.when(value.rlike(_YEAR_FIRST), F.trim(F.replace(value, F.lit("/"), F.lit("-"))))
-    if date_order == "dmy":
-        year_last = [(_YEAR_LAST.format(marks="./-"), _DAY_FIRST)]
+    if date_order.startswith("dmy"):
+        year_last = [("./-", _DAY_FIRST)]
     else:
-        year_last = [(_YEAR_LAST.format(marks="."), _DAY_FIRST), (_YEAR_LAST.format(marks="/-"), _MONTH_FIRST)]
-    for pattern, order in year_last:
-        iso = iso.when(value.rlike(pattern), F.rtrim(F.regexp_replace(value, pattern, order)))
+        year_last = [(".", _DAY_FIRST), ("/-", _MONTH_FIRST)]
+    for year, century in _YEARS[: 3 if date_order.endswith("2") else 1]:
+        for marks, order in year_last:
+            pattern = _YEAR_LAST.format(marks=marks, year=year)
+            iso = iso.when(value.rlike(pattern), F.rtrim(F.regexp_replace(value, pattern, order.format(century=century))))
     first = F.ascii(value)
-    return F.when(first.between(48, 57) | first.between(1, 32), iso.try_cast("timestamp_ntz"))
+    # The one-element array has the ISO form worked out once.
+    return F.get(F.transform(F.array(F.when(first.between(48, 57) | first.between(1, 32), iso)), _moment), F.lit(0))
+
+
+def _moment(iso: Column) -> Column:
+    """A moment in ISO order; of half days by its pattern, of UTC without its mark."""
+    half = F.upper(F.regexp_replace(F.replace(iso, F.lit("T"), F.lit(" ")), r" ?([AaPp][Mm])\z", " $1"))
+    of_half = F.try_to_timestamp(half, F.lit("yyyy-M-d h:mm[:ss][.SSSSSS] a")).cast("timestamp_ntz")
+    return F.when(iso.rlike(_HALF_DAY), of_half).otherwise(F.rtrim(iso, F.lit("Z")).try_cast("timestamp_ntz"))
 
 
 def in_date_years(dt: Column) -> Column:

@@ -44,18 +44,22 @@ def lenient(v: str) -> str:
 
 def date(v: str) -> str:
     """Year first, German, or day first; NULL if it is no valid date."""
-    time = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?"
+    time = r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?( ?[AaPp][Mm]|Z)?)?"
     shape = (
         rf"^{SPACE}*([0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}|[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}"
         rf"|[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}}|[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}"
         rf"|[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}){time}{SPACE}*$"
     )
     days = ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d-%m-%Y", "%d/%m/%Y"]
-    times = ["", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f"]
+    whole = [" %H:%M", " %H:%M:%S", " %H:%M:%S.%f"]
+    times = ["", *whole, *(t + "Z" for t in whole)]
+    halves = [t.replace("%H", "%I") + space + "%p" for t in whole for space in (" ", "")]
+    half_formats = ", ".join(literal(d + t) for d in days for t in halves)
     formats = ", ".join(literal(d + t) for d in days for t in times)
     return (
         f"CASE WHEN regexp_matches({v}, {literal(shape)}) "
-        f"THEN try_strptime(replace(trim({v}), 'T', ' '), [{formats}]) END"
+        f"THEN CASE WHEN regexp_matches({v}, '[AaPp][Mm]{SPACE}*$') THEN try_strptime(replace(trim({v}), 'T', ' '), [{half_formats}]) "
+        f"ELSE try_strptime(replace(trim({v}), 'T', ' '), [{formats}]) END END"
     )
 
 

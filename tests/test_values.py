@@ -92,6 +92,19 @@ def test_dates_by_order(values):
     assert values(lambda v: parse_date(v, "mdy"), ["1/31/2025 7:05"]) == [dt.datetime(2025, 1, 31, 7, 5)]
 
 
+def test_dates_as_people_type_them(values):
+    texts = {
+        "12/31/2024 10:00 AM": dt.datetime(2024, 12, 31, 10), "12/31/2024 12:05 am": dt.datetime(2024, 12, 31, 0, 5),
+        "31.12.2024 1:02:03PM": dt.datetime(2024, 12, 31, 13, 2, 3), "2024-12-31T11:59:59.5 pm": dt.datetime(2024, 12, 31, 23, 59, 59, 500000),
+        "2024-12-31T10:00:00Z": dt.datetime(2024, 12, 31, 10), "31.12.2024 10:00Z": dt.datetime(2024, 12, 31, 10),
+        "2024-12-31 13:00 PM": None, "2024-12-31Z": None, "31.12.24": None, "2024/1/2 0:30 AM": None,
+    }
+    assert values(lambda v: parse_date(v, "mdy"), list(texts)) == list(texts.values())
+    short = {"31.12.24": 2024, "1.2.29 10:00": 2029, "1.2.30": 1930, "1-2-99": 1999, "1/2/00": 2000, "1.2.3": None, "32.1.24": None}
+    assert [d and d.year for d in values(lambda v: parse_date(v, "dmy2"), list(short))] == list(short.values())
+    assert values(lambda v: parse_date(v, "mdy2"), ["1/31/25", "31.1.25", "31/1/25"]) == [dt.datetime(2025, 1, 31)] * 2 + [None]
+
+
 def test_refs(values):
     letters = {0: "A", 25: "Z", 26: "AA", 51: "AZ", 52: "BA", 701: "ZZ", 702: "AAA", 1377: "AZZ", 1378: "BAA", 16383: "XFD"}
     assert values(column_letters, list(letters), "int") == list(letters.values())
