@@ -373,6 +373,16 @@ def oracle_sql() -> dict[str, str]:
              count(*) FILTER (kind = 'date') AS dates,
              {checksum(f"concat_ws(':', ({letters('col')}) || row, {style}, v)")} AS checksum
       FROM typed GROUP BY path"""
+    sql["unlike_sources"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS path, count(*) AS rows, CAST(sum({k}) AS BIGINT) AS keys, CAST(sum(CAST(round({a} * 100) AS BIGINT)) AS BIGINT) AS cents, "
+        f"CAST(sum({d}) AS BIGINT) AS days, {checksum(n)} AS names, CAST(0 AS BIGINT) AS rescued FROM {t}"
+        for t, k, a, d, n in (
+            ("orders", "o_orderkey", "o_totalprice", "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))", "o_orderpriority"),
+            ("customer", "c_custkey", "c_acctbal", "NULL::BIGINT", "c_name"),
+            ("part", "p_partkey", "p_retailprice", "NULL::BIGINT", "p_name"),
+            ("supplier", "s_suppkey", "s_acctbal", "NULL::BIGINT", "s_name"),
+        )
+    )
     sql["typed_table"] = """
       SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, TRUE AS complete FROM customer"""
     words = "SELECT unnest(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS name FROM {}"

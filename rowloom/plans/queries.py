@@ -38,6 +38,7 @@ from rowloom.operators.cells import (
 )
 from rowloom.operators.densify import densify, render_lines
 from rowloom.operators.numbering import number_rows
+from rowloom.operators.variants import typed_sources
 from rowloom.operators.profile import ANALYZE_LINES, profile_files, profile_heads
 from rowloom.rules import (
     DEFAULT_RULES, Rules, is_header_name, load_rules, override_of, overrides_of_names, resolve_overrides,
@@ -272,6 +273,33 @@ def typed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("name", *TYPE_REPORT)
 
 
+def unlike_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables of different columns printed with header lines, found out, and read as one table of typed rows."""
+    printed = None
+    for name, (sep, key) in PRINTED.items():
+        df = table(spark, sf_dir, name)
+        lines = table_lines(df, F.lit(name), F.col(key), df.columns, sep).withColumn("line_no", F.col("line_no") + 1)
+        header = spark.range(1).select(F.lit(name).alias("path"), F.lit(1).cast("bigint").alias("line_no"), F.lit(sep.join(df.columns)).alias("line"))
+        printed = lines.unionByName(header) if printed is None else printed.unionByName(lines).unionByName(header)
+    printed = materialize(printed)
+    profile = materialize(profile_files(printed, header=True))
+    typed = typed_sources(with_profile(printed, profile, measured=True), profile)
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("row", f"$.{name}", kind)
+
+    amount = F.coalesce(*[field(c, "double") for c in ("o_totalprice", "c_acctbal", "p_retailprice", "s_acctbal")])
+    key = F.coalesce(*[field(c, "bigint") for c in ("o_orderkey", "c_custkey", "p_partkey", "s_suppkey")])
+    return typed.groupBy("path").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(key).alias("keys"),
+        F.sum(F.round(amount * 100).cast("bigint")).alias("cents"),
+        F.sum(F.date_diff(field("o_orderdate", "timestamp_ntz").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")).alias("days"),
+        checksum(F.coalesce(*[field(c, "string") for c in ("o_orderpriority", "c_name", "p_name", "s_name")])).alias("names"),
+        F.count("_rescued").alias("rescued"),
+    )
+
+
 def _column_names(profile: DataFrame) -> DataFrame:
     """Header names of the one printed source, by position: as many rows as it has columns."""
     return profile.select("path", F.posexplode("header_names").alias("col", "name"))
@@ -612,6 +640,7 @@ QUERIES = {
         column_type_report,
         document_cells,
         typed_table,
+        unlike_sources,
         name_rules,
         rule_join,
         file_rules,

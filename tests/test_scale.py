@@ -103,3 +103,30 @@ def test_many_rules_equal_the_nested_loop(spark):
 ])
 def test_required_text(pattern, is_regex, text):
     assert required_text(pattern, is_regex) == text
+
+
+def test_unlike_sources_in_one_table(spark):
+    import datetime as dt
+
+    from rowloom.operators.profile import profile_files
+    from rowloom.operators.cells import with_profile
+    from rowloom.operators.variants import typed_rows, typed_sources
+
+    files = {
+        "clash": ["ID;id;a;a;a_1", "1;x;2;3;4;5", "y;x;2;q;4"] + ["7;z;1;1;1"] * 3,
+        "dates": ["", "Datum,Preis,,Text", "31.12.2024,1.5,7,\"\"", "1.1.2025,2,,\"a,b\"", "nie,2", ""],
+        "bare": ["1|2", "3|x"],
+    }
+    lines = spark.createDataFrame([(p, i, x) for p, rows in files.items() for i, x in enumerate(rows, 1)], "path string, line_no long, line string")
+    profile = profile_files(lines)
+    typed = typed_sources(with_profile(lines, profile), profile)
+    got = {(r["path"], r["line_no"]): (r["row"].toPython(), r["_rescued"]) for r in typed.collect()}
+    assert got["clash", 2] == ({"ID": "1", "id_1": "x", "a": 2, "a_2": "3", "a_1": 4, "_c5": 5}, None)
+    assert got["clash", 3][0] == {"ID": "y", "id_1": "x", "a": 2, "a_2": "q", "a_1": 4} and ("clash", 1) not in got
+    assert got["dates", 3] == ({"Datum": "31.12.2024", "Preis": 1.5, "_c2": 7, "Text": ""}, None)
+    assert got["dates", 5] == ({"Datum": "nie", "Preis": 2.0}, None) and ("dates", 6) not in got
+    assert {k for k in got if k[0] == "bare"} <= {("bare", 1), ("bare", 2)}
+    plans = spark.createDataFrame([("dates", ["day", "price"], ["date", "integer"])], "path string, names array<string>, types array<string>")
+    rows = {r["line_no"]: (r["row"].toPython(), r["_rescued"]) for r in typed_rows(with_profile(lines, profile), plans).collect()}
+    assert rows[3] == ({"day": dt.datetime(2024, 12, 31)}, {1: "1.5", 2: "7", 3: '""'})
+    assert rows[5] == ({"price": 2}, {0: "nie"}) and typed_rows(with_profile(lines, profile).limit(0), plans).count() == 0
