@@ -17,7 +17,8 @@ The text of assistant turns is under the loss mask. Tokens are those of a byte-l
 library, or code points without one; a turn's head, text and end are tokenized apart.
 
 Defined results: null roles and texts are empty; null turns come first; repeated turns are kept, ordered by role and
-text; a null conversation id is a conversation of its own.
+text; a null conversation id is a conversation of its own; other ids must be whole numbers. Texts of any length are taken
+whole. An empty table gives an empty forest. Columns other than those named are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ is bounded by its length times the items whose pieces it holds.
 
 Defined results: a null text counts as empty; an item without words matches nothing; an item shorter than
 1 / rate characters must occur unchanged, as whole words. Repeated ids are judged row by row; of an item that occurs
-several times in a text, the match with the smallest distance is reported, the first of equal ones.
+several times in a text, the match with the smallest distance is reported, the first of equal ones. Ids must be whole
+numbers or null. Texts of any length are searched whole. An empty table of documents or items gives no matches. Other
+columns are ignored by ``contaminated`` and kept by ``clean``.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ over the set; the fingerprint keeps the low 16 bits of each, in hex. The share o
 estimate of the Jaccard similarity, up to one chance in 65,536 per place.
 
 Defined results: null texts count as empty; an empty text has the fingerprint of all ones, so two empty texts
-are alike. Equal texts have equal fingerprints. Repeated ids are rows of their own.
+are alike. Equal texts have equal fingerprints. Repeated ids are rows of their own. Texts of any length are taken whole, a
+longer one than a piece by itself. An empty table gives no rows. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations

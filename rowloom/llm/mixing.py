@@ -15,7 +15,8 @@ with most of the corpus is spread over all tasks.
 
 Defined results: null text has no words; null sources are a source of their own, last in order; a source
 without words has target 0. Weights of documents that are null count as 1, those not above 0 as 1e-6.
-Repeated rows of an id have the same key and are ordered by their words.
+Repeated rows of an id have the same key and are ordered by their words. An empty table gives an empty plan. Other
+columns of the documents stay with ``mixed``; a plan has the columns named here alone.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ in lower case.
 
 Defined results: a null text counts as empty; fewer words than a shingle make one shingle of all; no word
 gives fingerprint zero, which links like any other. Repeated ids are rows of their own that share a class by
-their texts; a null id is never the smallest of a class unless the class has no other.
+their texts; a null id is never the smallest of a class unless the class has no other. Texts of any length are taken
+whole. An empty table gives no rows. Columns other than id and text are ignored by ``classes`` and kept by
+``representatives``, which joins by names that no column of its input should have (``_llm_key, _llm_hash, _llm_rows``).
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Tokenizing: byte-level BPE never joins across a single blank between two charact
 so a text is cut there, and a word that a worker has met is looked up instead of encoded again. The result
 is that of encoding the whole text at once. The vocabulary file is named by a path; tasks read it there.
 
-Defined results: a null text is empty, an empty text is the end id alone. Repeated keys are rows of their own.
+Defined results: a null text is empty, an empty text is the end id alone. Repeated keys are rows of their own;
+keys must be whole numbers or null, which come first. An empty table gives an empty manifest. Columns other than key and
+text are ignored, whatever their names.
 A task writes its shards as it reads, and rolls to a new one at ``shard_ids`` ids; the shards of a lost attempt
 are not in the manifest and are never read.
 """

@@ -8,7 +8,9 @@ statistics are counted over all rows; the trees learn from at most ``sample`` la
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; path: then up to ``?``, ``#`` or
 the end. Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is judged
-by the trees; without labelled URLs everything is allowed, with one verdict only that is the verdict for all.
+by the trees; without labelled URLs everything is allowed, with one verdict only that is the verdict for all. Of rules of
+equal length that fit, the last of the list counts. URLs of any length are taken whole. Repeated ids are judged row by
+row. An empty table gives no rows. Columns other than id and URL are ignored, whatever their names.
 """
 
 from __future__ import annotations

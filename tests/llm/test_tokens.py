@@ -61,7 +61,8 @@ def test_shards(spark):
 
     plain = Tokenizer.from_file(PATH)
     rows = [(5, "b c"), (None, "null id"), (2, None), (2, ""), (-7, "a  b"), (9, TRICKY[-2]), (9, "same id"), (5, "b c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("extra", "start")
+    clashing = "doc_id long, text string, start int, n_tokens int, part string, seq int, key string, path int, ids int, sha string"
+    docs = spark.createDataFrame([(*r, 1, 2, "x", 3, "k", 4, 5, "s") for r in rows], clashing)
     manifest = write_tokens(docs, PATH, shard_ids=8)
     assert manifest.count() > 3
     expected, start = [], 0
