@@ -1,6 +1,6 @@
 """Blocks of documents as numbered words, and exchanges of what blocks hold in common.
 
-A block holds the words of some documents: its vocabulary and one number per word. Blocks are written once, as files in
+A block holds the words of some documents: its vocabulary with hashes, and one number per word. Blocks are written once, as files in
 the shared folder, so that every later pass reads the same words without parsing a text again, and so that a repeated
 task sees the same block. A block is bounded by the bytes of its texts; a longer text is a block of its own.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.components import written
 from rowloom.llm.files import locate, new_file
 from rowloom.llm.text import map_batches
-from rowloom.llm.words import Numbers
+from rowloom.llm.words import Numbers, word_hashes
 from rowloom.session import scratch_path
 
 # Bytes of text in a block, and words in a bucket (one of each is what a task holds in memory).
@@ -37,35 +37,49 @@ MANIFEST = "uri string, units bigint, words bigint"
 ANSWERS = "uri string, round int, bucket int, blob binary"
 
 
-class Block(NamedTuple):
-    """Units (texts or pieces of texts) of words; ``ends`` are their ends in ``ids``."""
+class Block:
+    """Units (texts or pieces of texts) of words: ``ids`` are the words' places in ``vocabulary``, ``ends`` the ends of the
+    units in ``ids``, ``of`` the place of each unit's tag in ``tags``. Strings are made only when they are asked for."""
 
-    vocabulary: list[bytes]
-    ids: np.ndarray
-    ends: np.ndarray
-    tags: list
+    FIELDS = {"vocabulary": pa.binary(), "hashes": pa.uint64(), "ids": pa.int32(), "ends": pa.int64(), "tags": pa.string(),
+              "of": pa.int32()}
 
+    def __init__(self, vocabulary: pa.Array, ids: np.ndarray, ends: np.ndarray, tags: list, of: np.ndarray,
+                 hashes: np.ndarray | None = None) -> None:
+        self.vocabulary, self.ids, self.ends, self.tags, self.of = vocabulary, ids, ends, tags, of
+        self.hashes = word_hashes(self.words) if hashes is None else hashes
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.vocabulary.to_pylist()
+
+    @cached_property
     def unit(self) -> np.ndarray:
         """The unit of each word."""
         return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
 
 
 def save_block(folder: str, block: Block) -> str:
-    table = pa.table({name: pa.array([list(value) if name in ("vocabulary", "tags") else value], pa.list_(kind))
-                      for name, value, kind in zip(Block._fields, block,
-                                                   (pa.binary(), pa.int32(), pa.int64(), pa.string()))})
+    table = pa.table({name: pa.array([getattr(block, name)], pa.list_(kind)) if name not in ("vocabulary", "tags")
+                      else _one_list(getattr(block, name), kind) for name, kind in Block.FIELDS.items()})
     uri, stream = new_file(folder, "block")
     with stream, pa.ipc.new_stream(stream, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return uri
 
 
+def _one_list(values: pa.Array | list, kind: pa.DataType) -> pa.Array:
+    values = pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def load_block(uri: str) -> Block:
     system, path = locate(uri)
     with system.open_input_stream(path) as stream:
         table = pa.ipc.open_stream(stream).read_all()
-    values = [table.column(name).chunk(0).values for name in Block._fields]
-    return Block(values[0].to_pylist(), values[1].to_numpy(), values[2].to_numpy(), values[3].to_pylist())
+    got = {name: table.column(name).chunk(0).values for name in Block.FIELDS}
+    numbers = {name: got[name].to_numpy() for name in ("hashes", "ids", "ends", "of")}
+    return Block(got["vocabulary"], numbers["ids"], numbers["ends"], got["tags"].to_pylist(), numbers["of"], numbers["hashes"])
 
 
 # Units of one text: lists of words, each with a tag.
@@ -77,10 +91,11 @@ def write_blocks(texts: DataFrame, parse: Parse, name: str) -> DataFrame:
     folder = scratch_path(texts.sparkSession, name)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, ids, ends, tags, size, at = Numbers(), [], [], [], 0, 0
+        numbers, ids, ends, tags, of, size, at = Numbers(), [], [], {}, [], 0, 0
 
         def block() -> pa.RecordBatch:
-            uri = save_block(folder, Block(list(numbers), np.concatenate(ids or [np.zeros(0, np.int32)]), np.array(ends, np.int64), tags))
+            vocabulary = pa.array(list(numbers), pa.binary())
+            uri = save_block(folder, Block(vocabulary, np.concatenate(ids), np.array(ends, np.int64), list(tags), np.array(of, np.int32)))
             return pa.RecordBatch.from_pydict({"uri": [uri], "units": [len(ends)], "words": [at]})
 
         for batch in batches:
@@ -88,14 +103,15 @@ def write_blocks(texts: DataFrame, parse: Parse, name: str) -> DataFrame:
                 text = text or b""
                 if size and size + len(text) > BLOCK_BYTES:
                     yield block()
-                    numbers, ids, ends, tags, size, at = Numbers(), [], [], [], 0, 0
+                    numbers, ids, ends, tags, of, size, at = Numbers(), [], [], {}, [], 0, 0
                 size += len(text) + 1
                 units = parse(text)
                 ids.append(numbers([w for words in units for w in words]))
+                place = tags.setdefault(tag, len(tags))
                 for words in units:
                     at += len(words)
                     ends.append(at)
-                    tags.append(tag)
+                    of.append(place)
         if size:
             yield block()
 

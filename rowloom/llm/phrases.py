@@ -57,14 +57,10 @@ class Grams:
 
     def __init__(self, block: Block, got: dict, buckets: int, longest: int) -> None:
         self.block, self.buckets = block, buckets
-        names: dict[str, int] = {}
-        tags = np.fromiter((names.setdefault(t, len(names)) for t in block.tags), np.int64, len(block.tags))
-        self.groups = list(names)
-        self.group = tags[block.unit()]
-        words = word_hashes(block.vocabulary)
-        seeds = word_hashes([t.encode() for t in self.groups])
+        self.group = block.of[block.unit]
+        seeds = word_hashes([t.encode() for t in block.tags])
         # the group is part of every word, so phrases of two groups differ
-        self.points = words[block.ids] ^ seeds[self.group]
+        self.points = block.hashes[block.ids] ^ seeds[self.group]
         self.left = np.repeat(block.ends, np.diff(block.ends, prepend=0)) - np.arange(len(block.ids))
         self.places = {}
         self.hash = SpanHasher()
@@ -116,8 +112,8 @@ class Grams:
 
     def rows(self, starts: np.ndarray, n: int, counts: np.ndarray, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
         """The phrases as text."""
-        vocabulary = pa.array(self.block.vocabulary, pa.binary())
-        groups = pa.array(self.groups, pa.string())
+        vocabulary = self.block.vocabulary
+        groups = pa.array(self.block.tags, pa.string())
         for low in range(0, len(starts), size):
             part = starts[low : low + size]
             words = [vocabulary.take(pa.array(self.block.ids[part + i])) for i in range(n)]
@@ -159,7 +155,7 @@ def phrase_counts(df: DataFrame, group: str = "lang", text: str = "text", least:
         grams = Grams(block, got, buckets, longest)
         singles = np.arange(len(block.ids))
         # a word may stand in several groups of one block
-        keys = grams.group * max(len(block.vocabulary), 1) + block.ids
+        keys = grams.group.astype(np.int64) * max(len(block.vocabulary), 1) + block.ids
         _, first, counts = np.unique(keys, return_index=True, return_counts=True)
         yield from grams.rows(singles[first], 1, counts)
         for n in range(2, longest + 1):

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.blocks import Block, bucket_count, bucket_slices, exchange, per_block, write_blocks
 from rowloom.llm.text import BASE, SpanHasher, mix
-from rowloom.llm.words import Numbers, number_hashes, ranges, sliding_min, word_hashes
+from rowloom.llm.words import Numbers, number_hashes, ranges, sliding_min
 
 # Words of a window, and of the grams whose smallest hash is the anchor of a window.
 WORDS, GRAM = 13, 3
@@ -57,7 +57,7 @@ class Windows(NamedTuple):
 
 
 def _windows(block: Block, words: int) -> Windows:
-    hashes = word_hashes(block.vocabulary)[block.ids]
+    hashes = block.hashes[block.ids]
     n = len(hashes) - words + 1
     if n <= 0:
         return Windows(hashes, *[np.zeros(0, t) for t in (np.int64, np.uint64, np.int64)])
@@ -66,9 +66,9 @@ def _windows(block: Block, words: int) -> Windows:
         grams = grams * np.uint64(BASE) + hashes[i : len(grams) + i]
     # minima are small numbers; mixed anew they spread over all buckets
     anchors = mix(sliding_min(mix(grams), words - GRAM + 1) ^ np.uint64(BASE))
-    unit = block.unit()
-    named = np.array([tag is not None for tag in block.tags])
-    ids = np.array([int(tag) if tag is not None else 0 for tag in block.tags], np.int64)
+    unit = block.unit
+    named = np.array([tag is not None for tag in block.tags])[block.of]
+    ids = np.array([int(tag) if tag is not None else 0 for tag in block.tags], np.int64)[block.of]
     first = np.flatnonzero((unit[:n] == unit[words - 1 :]) & named[unit[:n]])
     return Windows(hashes, first, anchors[first], ids[unit[first]])
 
@@ -154,7 +154,7 @@ def _text(block: Block, stretches: Stretches, part: slice, words: int) -> bytes:
     first = stretches.first[part]
     sizes = stretches.counts[first] + words - 1
     flat = block.ids[ranges(stretches.starts[first], sizes)]
-    text = b" ".join(map(block.vocabulary.__getitem__, flat.tolist()))
+    text = b" ".join(map(block.words.__getitem__, flat.tolist()))
     packed = zstandard.ZstdCompressor(level=1).compress(text)
     return (len(first).to_bytes(8, "little") + stretches.documents[first].astype("<i8").tobytes()
             + stretches.counts[first].astype(np.uint8).tobytes() + packed)
@@ -284,13 +284,14 @@ def _results(block: Block, removed: np.ndarray, rows: int = 256) -> Iterator[pa.
     starts = [0, *ends[:-1]]
     for low in range(0, len(ends), rows):
         out: list[tuple] = []
-        for start, end, tag in zip(starts[low : low + rows], ends[low : low + rows], block.tags[low : low + rows]):
+        tags = [block.tags[i] for i in block.of[low : low + rows].tolist()]
+        for start, end, tag in zip(starts[low : low + rows], ends[low : low + rows], tags):
             gone = removed[start:end]
             ids = block.ids[start:end]
             edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])))) if gone.any() else np.zeros(0, np.int64)
             spans = [{"start": s, "length": e - s} for s, e in zip(edges[::2].tolist(), edges[1::2].tolist())]
             left = ids[~gone] if spans else ids
-            kept = b" ".join(map(block.vocabulary.__getitem__, left.tolist()))
+            kept = b" ".join(map(block.words.__getitem__, left.tolist()))
             out.append((None if tag is None else int(tag), len(ids), len(ids) - len(left), spans, kept))
         keys, n, n_removed, spans, kept = zip(*out)
         yield pa.RecordBatch.from_arrays([

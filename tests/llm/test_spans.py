@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowloom.llm import blocks, phrases, queries, repeats, runs
@@ -157,7 +158,9 @@ def test_phrases_of_one_fingerprint_keep_their_counts(spark, monkeypatch):
     monkeypatch.setattr(SpanHasher, "__call__", lambda self, *args: call(self, *args) % np.uint64(7))
     rows = list(some_phrases())[:60]
     numbers, ids, ends, tags = phrases_block(rows)
-    block = blocks.Block(list(numbers), np.array(ids, np.int32), np.array(ends), tags)
+    names = list(dict.fromkeys(tags))
+    of = np.array([names.index(t) for t in tags], np.int32)
+    block = blocks.Block(pa.array(list(numbers), pa.binary()), np.array(ids, np.int32), np.array(ends), names, of)
     got = {n: {} for n in (1, 2, 3)}
     for n in (2, 3, 4):
         asked = phrases.Grams(block, {i: got[i] for i in range(1, n - 1)}, 1, n)
@@ -174,7 +177,7 @@ def test_phrases_of_one_fingerprint_keep_their_counts(spark, monkeypatch):
         plain = Counter()
         for start, end, tag in zip([0, *ends], ends, tags):
             for i in range(start, end - n + 1):
-                plain[tag, b" ".join(block.vocabulary[x] for x in ids[i : i + n]).decode()] += 1
+                plain[tag, b" ".join(block.words[x] for x in ids[i : i + n]).decode()] += 1
         assert names == plain
 
 
