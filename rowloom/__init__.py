@@ -12,6 +12,7 @@ from rowloom.functions.split import split_fields  # noqa: E402
 from rowloom.operators.cells import column_plan, column_types, to_cells, to_typed, with_profile  # noqa: E402
 from rowloom.operators.densify import densify, render_lines  # noqa: E402
 from rowloom.operators.profile import profile_files  # noqa: E402
+from rowloom.operators.variants import typed_rows, typed_sources  # noqa: E402
 from rowloom.plans.convert import (  # noqa: E402
     Options,
     batch_report,
@@ -25,6 +26,7 @@ from rowloom.plans.convert import (  # noqa: E402
 from rowloom.rules import DEFAULT_RULES, Rules, is_header_name, load_rules, resolve_overrides  # noqa: E402
 from rowloom.sinks.text import write_lines  # noqa: E402
 from rowloom.sinks.workbooks import export_workbooks  # noqa: E402
+from rowloom.sources.stores import every_file  # noqa: E402
 from rowloom.sources.tables import table_lines, text_lines  # noqa: E402
 from rowloom.sources.text_files import list_files, read_lines  # noqa: E402
 from rowloom.sources.workbooks import read_workbook_cells  # noqa: E402
@@ -39,6 +41,7 @@ __all__ = [
     "column_types",
     "convert_batch",
     "densify",
+    "every_file",
     "export_workbooks",
     "is_header_name",
     "list_files",
@@ -57,6 +60,8 @@ __all__ = [
     "text_to_workbooks",
     "to_cells",
     "to_typed",
+    "typed_rows",
+    "typed_sources",
     "watch_folder",
     "with_profile",
     "workbooks_to_lines",
