@@ -149,7 +149,8 @@ def mixed(docs: DataFrame, plan: DataFrame, key: str = "doc_id", text: str = "te
     plan = written(plan.select(F.col(key).alias("_llm_key"), F.col("source").alias("_llm_source"), "size", "times"), "taken")
     often = plan.groupBy("_llm_key", "_llm_source").agg(F.count(F.lit(1)).alias("_llm_rows"), F.max("times").cast("int").alias("_llm_times"))
     often = written(often.filter("_llm_times > 0"), "often")
-    joined = docs.join(often, F.col(key).eqNullSafe(F.col("_llm_key")) & F.col(source).eqNullSafe(F.col("_llm_source")))
+    # The texts are dealt by id once, at any size; how often each is taken is as much as the documents are.
+    joined = docs.join(often.hint("merge"), F.col(key).eqNullSafe(F.col("_llm_key")) & F.col(source).eqNullSafe(F.col("_llm_source")))
     again = F.explode(F.array_repeat(F.lit(0), F.col("_llm_times"))).alias("_llm_again")
     single = joined.filter("_llm_rows = 1").select(*[F.col(c) for c in docs.columns], again).drop("_llm_again")
     if often.filter("_llm_rows > 1").isEmpty():
