@@ -25,7 +25,10 @@ def print_value(df: DataFrame, name: str) -> Column:
     exact = text.try_cast("decimal(38,18)")
     digits = F.regexp_replace(exact.cast("string"), r"(\.[0-9]{2}[0-9]*?)0+\z", "$1")
     # what 38 digits do not hold stays as Spark prints it
-    return F.when((exact.cast(data_type) == F.col(name)) & ~digits.contains("E"), digits).otherwise(text)
+    plain = F.when((exact.cast(data_type) == F.col(name)) & ~digits.contains("E"), digits).otherwise(text)
+    # without an exponent the text of a double is exact, and needs at most a second place
+    one_place = F.substring(text, -2, 1) == "."
+    return F.when(text.contains("E"), plain).when(one_place, F.concat(text, F.lit("0"))).otherwise(text)
 
 
 def print_kind(df: DataFrame, name: str) -> Column:
