@@ -29,6 +29,7 @@ PERMUTATIONS = 128
 # 21 bands of 6 places: a pair with similarity 0.8 shares a band with a chance of 99.8 %.
 BANDS, ROWS = 21, 6
 SIMILARITY = 0.8
+ROUNDING = 1e-9  # room for sums of similarities, which are quotients of whole numbers
 # Texts that are hashed at once: the hashes of their shingles stay in the processor's cache.
 PIECE = 1 << 18
 
@@ -163,8 +164,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Rows with the same set of shingles count once. Two rows link if they share a band and the exact Jaccard similarity
     of their shingles is at least ``similarity``; classes are the closure of links, so a row can be less like the
     smallest one than that. Within a band every member is compared with the smallest one (the leader); those that
-    are alike need no comparison among themselves and are compared with those that are not, which then go into
-    another round, until none is left. A large group of near copies costs one comparison per member and band.
+    are alike need no comparison among themselves and leave; the others go into another round, until none is left.
+    One that leaves is compared with one that stays only where both can be alike: the Jaccard distance is a metric, so
+    their distances to the leader differ by at most that of the two. So a band costs one comparison per member and
+    round, and more only for members at the edge of a group.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,9 +202,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         alike = shared / F.greatest(F.size("shingles") + F.size("others") - shared, F.lit(1))
         return both.select("a", "b", alike.alias("similarity"))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return written(likeness(pairs.distinct()).filter(F.col("similarity") >= similarity).select("a", "b"), "links")
-
+    alike_enough = F.col("similarity") >= similarity
     wide = 4 * ROWS
     band = F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", 1 + i * wide, wide)) for i in range(BANDS)]))
     open_ = written(points.select("same", "id", band.alias("band")), "bands")
@@ -211,12 +212,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         lead = open_.groupBy("band").agg(first.alias("lead"), F.count(F.lit(1)).alias("n"))
         member = open_.join(lead.filter("n > 1"), "band").filter(F.col("same") != F.col("lead.same"))
         member = written(member.select("band", "same", "id", F.col("lead.same").alias("leader")), "members")
-        near = linked(member.select(F.col("leader").alias("a"), F.col("same").alias("b")))
-        told = near.select(F.col("a").alias("leader"), F.col("b").alias("same"))
-        open_ = written(member.join(told, ["leader", "same"], "left_anti").select("same", "id", "band"), "bands")
-        gone = member.join(told, ["leader", "same"], "left_semi").select("band", F.col("same").alias("x"))
-        across = gone.join(open_.select("band", F.col("same").alias("y")), "band")
-        across = linked(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        told = written(likeness(member.select(F.col("leader").alias("a"), F.col("same").alias("b")).distinct()), "told")
+        near = written(told.filter(alike_enough).select("a", "b"), "links")
+        told = member.join(told.select(F.col("a").alias("leader"), F.col("b").alias("same"), "similarity"), ["leader", "same"])
+        told = written(told, "told")
+        open_ = written(told.filter(~alike_enough).select("same", "id", "band"), "bands")
+        gone = told.filter(alike_enough).select("band", F.col("same").alias("x"), F.col("similarity").alias("sx"))
+        edge = told.filter(~alike_enough & (F.col("similarity") >= 2 * similarity - 1 - ROUNDING))
+        edge = edge.select("band", F.col("same").alias("y"), F.col("similarity").alias("sy"))
+        across = gone.join(edge, "band").filter(F.col("sy") >= F.col("sx") + similarity - 1 - ROUNDING)
+        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        across = written(likeness(across).filter(alike_enough).select("a", "b"), "links")
         found = found.unionByName(near).unionByName(across)
     roots = components(found)
     rooted = written(points.select("same", "id").join(roots, F.col("same") == F.col("node"), "left").select(

@@ -206,8 +206,14 @@ def test_near_duplicates(spark, edge):
     assert {(1, 1), (2, 1), (3, 1), (11, 1), (None, 1), (4, 4), (5, 4), (6, 4), (7, 7), (9, 9), (10, 10)} <= got
 
 
-def test_near_duplicates_in_chains(spark):
-    """Texts that resemble the next one but not the one after it: one class, as brute force says."""
+@pytest.mark.parametrize(("bands", "places"), [(21, 6), (16, 1)])
+def test_near_duplicates_in_chains(spark, monkeypatch, bands, places):
+    """Texts that resemble the next one but not the one after it: one class, as brute force says.
+
+    Also with bands of one place, in which unrelated texts meet.
+    """
+    monkeypatch.setattr(minhash, "BANDS", bands)
+    monkeypatch.setattr(minhash, "ROWS", places)
     texts = {}
     for chain in range(4):
         words = [f"c{chain}w{i}" for i in range(700)]
