@@ -6,8 +6,9 @@ size. Shards follow each other in ascending key order (null first, ties by text)
 place of a document is found by select on the boundary code, without a table of 64-bit offsets.
 
 Tokenizing: byte-level BPE never joins across a single blank between two characters that are no white space,
-so a text is cut there, and a word that a worker has met is looked up instead of encoded again. The result
-is that of encoding the whole text at once. The vocabulary file is named by a path; tasks read it there.
+so a text is cut there, and a word that a worker has met is looked up instead of encoded again. A new word of common
+letters, digits and signs is cut further, where the vocabulary itself cuts it, and only pieces that are new are
+encoded. The result is that of encoding the whole text at once. The vocabulary file is named by a path; tasks read it there.
 
 Defined results: a null text is empty, an empty text is the end id alone. Repeated keys are rows of their own;
 keys must be whole numbers or null, which come first. An empty table gives an empty manifest. Columns other than key and
@@ -22,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,13 @@ END_ID = 2
 SHARD_IDS = 1 << 24
 KNOWN_WORDS = 1 << 20  # different words a Python worker remembers
 JOINED = 256  # words encoded in one call
+# Letters and marks whose kind no version of Unicode doubts, and the pieces that a byte-level vocabulary cuts words of them
+# into, a line end between two of them included. ``<`` is none of them, as special tokens begin with it.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SIGNS = "!\"#$%&'()*+,\\-./:;=>?@\\[\\\\\\]^_`{|}~"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|\n")
+PLAIN_WORD = re.compile(f"[{LETTERS}0-9{SIGNS}]+(?:\n[{LETTERS}0-9{SIGNS}]+)*")
+PLAIN_CHARACTERS = {chr(i) for i in range(0x250) if re.match(f"[ \n{LETTERS}0-9{SIGNS}]", chr(i))}
 READ_IDS = 1 << 20  # ids of a shard that a reader holds
 MAGIC = b"RLTOKEF1"
 # width of an id, documents, documents with null key, ids, first key, offset of the boundaries, of the keys, magic
@@ -45,6 +54,37 @@ FOOTER = "<IQQQqQQ8s"
 MANIFEST = "part int, seq int, path string, documents bigint, ids bigint"
 
 
+class Known(dict):
+    """Numbers of texts in the order in which they are met, and the ids each stands for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, text: str) -> int:
+        self[text] = n = len(self)
+        self.new.append(text)
+        return n
+
+    def numbers(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, texts), np.int64, len(texts))
+
+    def add(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the new texts: each has ``lengths`` of them from its place in ``starts`` on."""
+        self.starts = np.concatenate([self.starts, len(self.ids) + starts])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+        self.new = []
+
+    def spread(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts with these numbers, one after the other, and how many each has."""
+        lengths = self.lengths[at]
+        stops = np.cumsum(lengths)
+        places = np.arange(int(stops[-1]) if len(stops) else 0)
+        return self.ids[places + np.repeat(self.starts[at] - stops + lengths, lengths)], lengths
+
+
 class WordTokenizer:
     """Whole texts to ids with a byte-level BPE vocabulary of the tokenizers library."""
 
@@ -63,22 +103,65 @@ class WordTokenizer:
             self.bytes_of[i] = len(token)
         self.known = known
         self.blank = re.compile(r"(?<=\S) (?=\S)")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-        self.odd = np.zeros(0, bool)  # words that may not be encoded by themselves
+        self.words, self.pieces = Known(), Known()
+        self.cuttable = self._cuttable()
+        if self.cuttable:
+            from tokenizers import pre_tokenizers
+
+            one = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.byte_level = {ord(c): one.pre_tokenize_str(c)[0][0] for c in PLAIN_CHARACTERS}
+            self.of_pieces = Tokenizer.from_file(path)
+            self.of_pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\0")
+
+    def _cuttable(self) -> bool:
+        """Does the vocabulary cut texts as :data:`PIECE` does, and hold no added token of plain characters alone?"""
+        import json
+
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        added = [t["content"] for t in made["added_tokens"]]
+        return (
+            made["normalizer"] is None and made["model"]["type"] == "BPE" and not made["model"].get("dropout")
+            and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+            and all(set(x) - PLAIN_CHARACTERS for x in added)
+        )
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Encode new pieces, none of which the vocabulary cuts further."""
+        parts, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for first in range(0, len(pieces), JOINED):
+            joined = "\0".join(pieces[first : first + JOINED]).translate(self.byte_level)
+            stops = np.flatnonzero(np.frombuffer((joined + "\0").encode("utf-32-le"), "<u4") == 0)
+            ids = np.array(self.of_pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), stops - np.arange(len(stops))) + 1
+            parts.append(ids)
+            lengths.append(np.diff(cuts, prepend=0))
+        sizes = np.concatenate(lengths)
+        self.pieces.add(np.concatenate(parts), np.cumsum(sizes) - sizes, sizes)
+
     def _learn(self, words: list[str]) -> None:
-        """Encode new words without blanks in them, each with the blank before it."""
-        odd = [w for w in words if not w or w.strip() != w]
-        plain = [w for w in words if w and w.strip() == w] if odd else words
-        parts, lengths = [], [np.zeros(len(odd), np.int64)]
+        """Encode new words without blanks in them, each with the blank before it.
+
+        Words of common characters are looked up by their pieces, so that a word with a comma behind it is not encoded
+        again. Words that may not be encoded by themselves get no ids.
+        """
+        fits = [m is not None for m in map(PLAIN_WORD.fullmatch, words)] if self.cuttable else [False] * len(words)
+        plain_at = [i for i, word in enumerate(words) if not fits[i] and word and word.strip() == word]
+        plain = [words[i] for i in plain_at]
+        if len(self.pieces) > self.known:
+            self.pieces = Known()
+        # one call for all words: a blank belongs to the first piece of the word behind it
+        cut = PIECE.findall("".join([" " + word for word in compress(words, fits)]))
+        at = self.pieces.numbers(cut)
+        if self.pieces.new:
+            self._learn_pieces(self.pieces.new)
+        ids, of_piece = self.pieces.spread(at)
+        firsts = np.flatnonzero(np.fromiter((p[0] == " " for p in cut), bool, len(cut)))
+        of_cut = np.add.reduceat(of_piece, firsts) if len(cut) else of_piece
+        parts, lengths = [ids], [of_cut]
         for first in range(0, len(plain), JOINED):
             joined = " " + " ".join(plain[first : first + JOINED])
             data = np.frombuffer(joined.encode(), np.uint8)
@@ -87,25 +170,23 @@ class WordTokenizer:
             cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), stops) + 1
             parts.append(ids)
             lengths.append(np.diff(cuts, prepend=0))
-        self.words.update(zip(odd + plain, range(len(self.words), len(self.words) + len(words))))
-        self.ids = np.concatenate([self.ids, *parts])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))])
-        self.odd = np.concatenate([self.odd, np.arange(len(words)) < len(odd)])
+        found, order = np.concatenate(lengths), np.concatenate([np.flatnonzero(fits), np.array(plain_at, np.int64)])
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[order], sizes[order] = np.cumsum(found) - found, found
+        self.words.add(np.concatenate(parts), starts, sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [text.split(" ") for text in texts]
         words = [w for p in pieces for w in p[1:]]
         if len(self.words) > self.known:
-            self._forget()
-        if new := set(words).difference(self.words):
-            self._learn(list(new))
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        lengths = self.ends[at + 1] - self.ends[at]
-        stops = np.cumsum(lengths)
-        flat = self.ids[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(self.ends[at] - stops + lengths, lengths)]
+            self.words = Known()
+        at = self.words.numbers(words)
+        if self.words.new:
+            self._learn(self.words.new)
+        flat, lengths = self.words.spread(at)
         counts = np.cumsum([0, *(len(p) - 1 for p in pieces)])
-        ends = np.concatenate([[0], stops])[counts]
-        odd = np.concatenate([[0], np.cumsum(self.odd[at])])[counts]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[counts]
+        odd = np.concatenate([[0], np.cumsum(lengths == 0)])[counts]
         firsts = self._raw([p[0] for p in pieces])
         out = []
         for i, (text, first) in enumerate(zip(texts, firsts)):

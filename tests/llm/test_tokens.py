@@ -41,6 +41,52 @@ def test_any_text(pair, texts):
     assert [x.tolist() for x in words.encode(texts)] == [whole(plain, t) for t in texts]
 
 
+def test_words_by_their_pieces(pair):
+    """A new word made of known pieces is not encoded again, and the ids stay those of whole texts."""
+    plain = pair[1]
+    words = WordTokenizer(PATH)
+    words.encode(["go house Straße quinze a, b. c!! 12 x.\nx\nhouse."])
+    calls = []
+    for name in ("tokenizer", "of_pieces"):
+        setattr(words, name, Counted(getattr(words, name), calls))
+    text = "go house, Straße. quinze!! house.\nhouse 12, quinze.\nx Straße"
+    assert [x.tolist() for x in words.encode([text])] == [whole(plain, text)]
+    assert calls == [["go"]]  # the first word, which has no blank before it
+
+
+class Counted:
+    def __init__(self, tokenizer, calls):
+        self.tokenizer, self.calls = tokenizer, calls
+
+    def encode_batch_fast(self, texts, **options):
+        self.calls.append(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aZéſɏ'sdmltvre1²,.<|>!\n ª日\t"), max_size=40), max_size=4))
+def test_any_word(pair, texts):
+    words, plain = pair
+    assert [x.tolist() for x in words.encode(texts)] == [whole(plain, t) for t in texts]
+
+
+def test_other_vocabulary(tmp_path):
+    """A vocabulary that cuts texts otherwise, or adds tokens of plain letters, keeps its own ids."""
+    from tokenizers import AddedToken, Tokenizer, pre_tokenizers
+
+    texts = ["one two, three.\nFour", "x two,, wordy word"]
+    for change in ("digits", "added"):
+        other = Tokenizer.from_file(PATH)
+        if change == "digits":
+            other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(), other.pre_tokenizer])
+        else:
+            other.add_tokens([AddedToken("wordy")])
+        other.save(str(tmp_path / f"{change}.json"))
+        words = WordTokenizer(str(tmp_path / f"{change}.json"))
+        assert not words.cuttable
+        assert [x.tolist() for x in words.encode(texts)] == [whole(other, t) for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**60) | st.integers(0, 3000), max_size=2000))
 def test_elias_fano(numbers):
