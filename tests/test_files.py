@@ -6,7 +6,7 @@ from rowloom.plans.convert import Options, batch_report, convert_batch, read_tex
 from rowloom.session import checked_broadcast, is_small, materialize, shared_dir
 from rowloom.sinks.text import write_lines
 from rowloom.sources import raw_files, text_files
-from rowloom.sources.text_files import list_files, literal_path, read_lines, read_whole_files, stored_scan
+from rowloom.sources.text_files import block_table, list_files, literal_path, read_lines, read_whole_files, stored_scan
 
 TEXT = "Name;Preis\nKäse ö ü ß €;5,50\nÄ;7\n"
 
@@ -160,3 +160,39 @@ def test_mark_is_written_before_the_first_row_there_is(spark, tmp_path):
     write_lines(df, str(tmp_path / "two"), ["row"], ["src"], bom=True)
     for folder in ("src=a", "src=b"):
         assert b"".join(p.read_bytes() for p in sorted((tmp_path / "two" / folder).glob("part-*"))).count(b"\xef\xbb\xbf") == 1
+
+
+def test_lines_of_bytes():
+    """Lines of a range are cut as ``bytes.splitlines`` does, and batches keep their numbers."""
+    import itertools
+
+    from rowloom.sources.raw_files import _line_batch, _lines
+
+    for n in range(7):
+        for letters in itertools.product(b"a\r\n\xe9", repeat=n):
+            data, places = _lines(bytes(letters))
+            expected = bytes(letters).splitlines()
+            rows = _line_batch("p", 4, 1, data, places[1:], None).to_pylist() if len(places) > 1 else []
+            assert len(places) - 1 == len(expected)
+            assert [(r["seq"], r["raw"]) for r in rows] == list(enumerate(expected))[1:]
+
+
+def test_blocks_are_counted_without_sorting_lines(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\ntwo\r\n\xff\n")
+    table = block_table(stored_scan(spark, str(tmp_path / "a.txt")))
+    assert table.first()["total_lines"] == 3
+    assert "SortAggregate" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("charset", ["ISO-8859-1", "ISO-8859-15", "windows-1252"])
+def test_every_character_of_a_charset(spark, charset):
+    """Each character alone and beside others, ASCII lines among them, as Python's codec says."""
+    codec = {"ISO-8859-1": "latin-1", "ISO-8859-15": "iso8859-15", "windows-1252": "cp1252"}[charset]
+    defined = [bytes([b]).decode(codec, "ignore") for b in range(256) if b not in (10, 13)]
+    texts = [t for c in defined if c for t in (c, f"a{c}é")] + ["", "plain", "中€Š\U0001f600x"]
+    rows = spark.createDataFrame(enumerate(texts), "i int, t string").select(
+        "i", encode_raw(F.col("t"), charset).alias("r")).select("i", F.col("r").cast("binary").alias("b"), decode_raw(F.col("r"), charset).alias("t"))
+    got = {r["i"]: (bytes(r["b"]), r["t"]) for r in rows.collect()}
+    for i, text in enumerate(texts):
+        data = text.encode(codec, "replace")
+        assert got[i] == (data, data.decode(codec)), text
