@@ -160,3 +160,18 @@ def test_fractions_of_a_second(values):
     import datetime
     half = datetime.datetime(1899, 12, 31, 0, 0, 0, 500000)
     assert values(date_serial, [half], "timestamp_ntz") == [1 + 0.5 / 86400]
+
+
+def test_iso_dates_are_cast_as_they_stand(spark):
+    """ISO order takes the short way, with the results of the long one: a blank before makes a text take that."""
+    import re
+
+    texts = ["2024-01-31", "2024-02-30", "0000-00-00", "2024-01-01 00:00:11.172425", "2024-01-01 00:00:11.1", "2024-13-01 01:02:03",
+             "2024-01-01 24:00:00", "2024-01-01 23:59:60", "1582-10-10", "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_date(F.col("t")).alias("short"),
+                                                                         parse_date(F.concat(F.lit(" "), F.col("t"))).alias("long"))
+    rows = df.select("t", F.col("short").cast("string").alias("short"), F.col("long").cast("string").alias("long")).collect()
+    assert [(r["t"], r["short"]) for r in rows] == [(r["t"], r["long"]) for r in rows]
+    assert rows[3]["short"] == "2024-01-01 00:00:11.172425" and rows[1]["short"] is None
+    plan = re.sub(r"t#\d+", "t", df._jdf.queryExecution().optimizedPlan().toString())
+    assert "THEN try_cast(t as timestamp_ntz) ELSE transform" in plan
