@@ -10,7 +10,10 @@ it first, and the walk below each value of the block is a piece of work of its o
 counts once, so groups of copies do not grow the work. A piece with more than ``CELL`` fingerprints is cut by
 walking four more levels in Spark, or all levels on which its nodes have one child: each pair of nodes below it that
 are there and within the budget becomes a piece. Texts with one fingerprint but different check words cannot be cut
-by it; above ``CELL`` they are cut into ranges, and each pair of ranges is a piece, in one block only. Pieces
+by it. Walked, very many of them would be handed on level by level once for each node near them, so a fingerprint of more
+than a quarter of ``CELL`` texts does not take part in the walk: its texts are a piece, and so are they and all texts
+within the budget of it. Above ``CELL`` such pieces are cut into ranges, and each pair of ranges is a piece. So a text is
+dealt once more for each such fingerprint near it, and one that has it once per range of the others. Pieces
 hand on the links of a spanning forest, at most one per fingerprint, so that groups of near copies do not
 emit all their pairs; components over these reach the same documents as all links would.
 
@@ -37,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.components import components, written
+from rowloom.llm.components import components, discard, written
 from rowloom.llm.text import BASE, MIX_A, map_batches, mix
 from rowloom.session import checked_broadcast
 
@@ -307,20 +310,38 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
     cell_columns = ["cell", "side", "depth", "budget", "value", *carried]
     cells_schema = "cell string, side int, depth int, budget int, value bigint, " + ", ".join(f"{c} bigint" for c in carried)
 
+    hot = _hot_values(points, prints, cell_rows // 4)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, more = batch.num_rows, batch.columns[len(prints) :]
-            for trie, block in ((t, b) for t in range(len(prints)) for b in range(blocks)):
-                depth = starts[block + 1] - starts[block]
-                value = rotated(batch.column(trie).to_numpy().view(np.uint64), np.full(n, starts[block]))
-                head = (value >> np.uint64(64 - depth)).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{trie}:{block}:{x:x}" for x in head]), pa.array(np.zeros(n, np.int32)),
-                     pa.array(np.full(n, depth, np.int32)), pa.array(np.full(n, max_bits, np.int32)),
-                     pa.array(value.view(np.int64)), *more],
+            more = batch.columns[len(prints) :]
+
+            def emit(rows: np.ndarray, cell: list[str], side: int, depth: int, budget: int, value: np.ndarray) -> pa.RecordBatch:
+                numbers = (pa.array(np.full(len(rows), x, np.int32)) for x in (side, depth, budget))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(cell, pa.string()), *numbers, pa.array(value.view(np.int64)), *(c.take(pa.array(rows)) for c in more)],
                     names=cell_columns,
                 )
 
+            for trie in range(len(prints)):
+                value = batch.column(trie).to_numpy().view(np.uint64)
+                common = np.isin(value, hot[trie])
+                for h in hot[trie]:
+                    # what has the fingerprint, and what is near it; of two such fingerprints the smaller one has the pair
+                    mine = np.flatnonzero(value == h)
+                    near = np.flatnonzero((np.bitwise_count(value ^ h) <= max_bits) & (value != h) & (~common | (value > h)))
+                    for rows, kind, side in ((mine, "=", 0), (mine, "~", 1), (near, "~", 2)):
+                        if len(rows):
+                            yield emit(rows, [f"{trie}:0:{kind}{h:x}"] * len(rows), side, BITS, 0, value[rows])
+                rows = np.flatnonzero(~common)
+                if not len(rows):
+                    continue
+                for block in range(blocks):
+                    depth = starts[block + 1] - starts[block]
+                    turned = rotated(value[rows], np.full(len(rows), starts[block]))
+                    head = (turned >> np.uint64(64 - depth)).tolist()
+                    yield emit(rows, [f"{trie}:{block}:{x:x}" for x in head], 0, depth, max_bits, turned)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = len(cell_columns)
         for batch in batches:
@@ -360,6 +381,7 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
             # One fingerprint on each side: ranges of rows against each other, in the first block that has the pair.
             rows = np.flatnonzero(equal)
             if len(rows):
+                # pieces of common fingerprints are of no block but the first
                 block = np.array([int(c.split(":")[1]) for c in cell.take(pa.array(rows)).to_pylist()])
                 differ = rotated((and1 ^ and2)[rows], (BITS - np.array(starts)[block]) % BITS)
                 seen = np.zeros(len(rows), bool)
@@ -440,7 +462,7 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
 
     work = map_batches(points.select(*prints, *carried), deal, cells_schema)
     parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    out = None
+    out, past = None, []
     while work is not None:
         one, two = F.col("side") < 2, F.col("side") == 2
         sizes = work.groupBy("cell").agg(
@@ -452,6 +474,7 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
         small = work if large.isEmpty() else work.join(large.select("cell"), "cell", "left_anti")
         # A cell without rows on its other side has no pairs.
         large = large.filter((F.col("least") == 0) | ((F.col("n1") > 0) & (F.col("n2") > 0))).select("cell", "n1", "n2")
+        done, past = past, []
         if large.isEmpty():
             work = None
         else:
@@ -464,14 +487,24 @@ def links(points: DataFrame, max_bits: int, check_bits: int = 0, cell_rows: int
             ).join(large, "cell"), "shape")
             shaped = rest.join(shape, "cell").select(*_columns(cells_schema), *[F.col(c).cast("bigint") for c in SHAPE])
             work = written(map_batches(shaped, cut, cells_schema), "cells")
+            past = [work]
+            done += [rest, shape]
         # The sign bit flipped makes the order of signed numbers that of unsigned ones.
         order = F.col("value").bitwiseXOR(F.lit(-(2**63)).cast("bigint"))
         dealt = small.select(*_columns(cells_schema)).repartition("cell").sortWithinPartitions("cell", "side", order)
         pairs = written(map_batches(dealt, join, "a bigint, b bigint"), "pairs")
         out = pairs if out is None else out.unionByName(pairs)
+        discard(points, [file.rsplit("/", 1)[0] for table in done for file in table.inputFiles()[:1]])
     return out
 
 
+def _hot_values(points: DataFrame, prints: list[str], most: int) -> list[np.ndarray]:
+    """Of each trie the fingerprints that more than ``most`` points have: at most all points / ``most``."""
+    each = points.select(F.posexplode(F.array(*prints)).alias("trie", "value"))
+    found = each.groupBy("trie", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).collect()
+    return [np.sort(np.array([r["value"] for r in found if r["trie"] == t], np.int64).view(np.uint64)) for t in range(len(prints))]
+
+
 # What a large cell holds on each side: rows, children over the next levels as a bit set, bits all values have, any has.
 SHAPE = ["n1", "n2", "has1", "has2", "and1", "and2", "or1", "or2"]
 CHILD = (f"shiftleft(1L, cast(shiftrightunsigned(value, {BITS} - depth - least({SPLIT_BITS}, {BITS} - depth))"

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import zlib
 from collections import defaultdict
 
@@ -348,6 +349,40 @@ def test_hot_fingerprint(spark, monkeypatch, copies):
     assert tables["cells"] < 40 * len(rows)
 
 
+def test_hot_fingerprint_with_many_near(spark, monkeypatch):
+    """Points of one fingerprint are not dealt again for each of many fingerprints near it, and past tables are removed."""
+    random, rows, tables = np.random.default_rng(5), [], []
+    base, other = (int(x) for x in random.integers(0, 2**62, 2))
+    checks = random.integers(0, 2**62, 4).tolist()
+    for n in range(400):
+        # 200 points of one fingerprint, 40 of one a bit away, others of fingerprints one to three bits away, or of any
+        flips = {1 << b for b in random.choice(62, n % 3 + 1, False).tolist()}
+        fp = base if n < 200 else base ^ 1 if n < 240 else base ^ sum(flips) if n < 380 else other ^ sum(flips)
+        rows.append((fp, checks[n % 4] ^ sum({1 << b for b in random.integers(0, 62, n % 6).tolist()})))
+    rows = list(dict.fromkeys(rows))
+
+    def counted(df, name):
+        table = written(df, name)
+        if name in ("rest", "cells"):
+            tables.append((table.count(), table.inputFiles()[:1]))
+        return table
+
+    monkeypatch.setattr(simhash, "written", counted)
+    points = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, fp0 long, check1 long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(points, 2, 5, cell_rows=96)).collect()}
+    root = list(range(len(rows)))
+    for _ in range(8):
+        for i, x in enumerate(rows):
+            for j, y in enumerate(rows):
+                if (x[0] ^ y[0]).bit_count() <= 2 and (x[1] ^ y[1]).bit_count() <= 5:
+                    root[i] = root[j] = min(root[i], root[j])
+    assert [roots.get(i, i) for i in range(len(rows))] == root
+    assert 4 < len(set(root)) < len(rows)
+    # the points of the fingerprint twice, once more per range; walked down the trie with all near them 1,000 times
+    assert sum(n for n, _ in tables) < 20 * len(rows)
+    assert not any(os.path.exists("/" + f.split(":", 1)[-1].lstrip("/")) for _, files in tables for f in files)
+
+
 def edited(kind, words, other, share):
     n = max(1, int(len(words) * share))
     if kind == "substituted":
