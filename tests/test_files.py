@@ -1,9 +1,19 @@
+import contextlib
+import hashlib
+import re
+from pathlib import Path
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.functions.charset import CHARSETS, decode_raw, encode_raw
+from rowloom.functions.charset import CHARSETS, UTF16BE, UTF16LE, decode_raw, encode_raw
+from rowloom.plans import file_queries
 from rowloom.plans.convert import Options, batch_report, convert_batch, read_text, target_paths, text_to_cells
-from rowloom.session import checked_broadcast, is_small, materialize, shared_dir
+from rowloom.plans.queries import CHECKSUM_MODULUS
+from rowloom.session import (
+    SHUFFLE_CLEANUP, checked_broadcast, is_small, materialize, scratch_folder, scratch_path, shared_dir,
+)
 from rowloom.sinks.text import write_lines
 from rowloom.sources import raw_files, text_files
 from rowloom.sources.text_files import block_table, list_files, literal_path, read_lines, read_whole_files, stored_scan
@@ -196,3 +206,55 @@ def test_every_character_of_a_charset(spark, charset):
     for i, text in enumerate(texts):
         data = text.encode(codec, "replace")
         assert got[i] == (data, data.decode(codec)), text
+
+
+def test_one_charset_at_a_time(spark, tmp_path, monkeypatch):
+    """What charset_files writes for a charset goes when it has been read; of two bytes a character, file by file."""
+    random = np.random.default_rng(3)
+    texts = ["\n".join("".join(map(chr, random.integers(32, 127, 99))) for _ in range(30)) for _ in range(600)]
+    texts += [None, "äö\r\nß\rend\n"]
+    size = sum(len(x or "") for x in texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(shared_dir(spark).removeprefix("file://"), "rowloom")
+    before = set(shared.rglob("*"))
+    sizes = []
+
+    def there():
+        return sum(f.stat().st_size for f in set(shared.rglob("*")) - before if f.is_file())
+
+    def watched(*args, **named):
+        out = read_lines(*args, **named)
+        sizes.append(there())
+        return out
+
+    monkeypatch.setattr(file_queries, "read_lines", watched)
+    cleanup = spark.conf.get(SHUFFLE_CLEANUP)
+    rows = file_queries.charset_files(spark, str(tmp_path)).collect()
+    lines = [x for text in texts if text for x in re.sub("\r\n?", "\n", text).removesuffix("\n").split("\n")]
+    digest = sum(int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines) % CHECKSUM_MODULUS
+    assert sorted(r["charset"] for r in rows) == sorted([*CHARSETS, UTF16LE, UTF16BE])
+    assert {tuple(r)[1:] for r in rows} == {(len(lines), sum(map(len, lines)), digest)}
+    # a charset's files, the lines and what is stored to read the files; all charsets together are more than 12 times the texts
+    assert len(sizes) == 12 and max(sizes) < 4 * size
+    assert not there() and spark.conf.get(SHUFFLE_CLEANUP) == cleanup
+
+
+@pytest.mark.parametrize("failing", [False, True])
+def test_scratch_folder(spark, failing):
+    """Paths made in a scratch folder go with it, also those of folders inside and after a failure; others stay."""
+    def made(name):
+        path = scratch_path(spark, name)
+        spark.range(3).write.parquet(path)
+        return Path(path.removeprefix("file://"))
+
+    outside = made("outside")
+    with contextlib.suppress(OSError):
+        with scratch_folder(spark, "outer"):
+            first = made("first")
+            with scratch_folder(spark, "inner"):
+                second = made("second")
+            assert first.exists() and not second.exists()
+            if failing:
+                raise OSError
+    assert outside.exists() and not first.exists() and made("later").parent == outside.parent
