@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.session import scratch_path
+from rowloom.session import remove, scratch_path, short_shuffles
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -16,16 +16,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared folder, and its path."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with short_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(df: DataFrame, paths: list[str]) -> None:
     """Remove tables in the shared folder that nothing reads any more."""
-    context = df.sparkSession.sparkContext
     for path in paths:
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        remove(df.sparkSession, path)
 
 
 def components(links: DataFrame) -> DataFrame:
